@@ -91,10 +91,10 @@ def closing(rest: DataFrame) -> DataFrame:
     the sum closer.
     """
     sizes = F.floor(F.log("size") / F.log(F.lit(1.25)))
-    one = rest.filter(F.col("size") < 2 * F.col("_gap")).groupBy("source", sizes.alias("_class")).agg(F.min(F.struct("_v", "_tag", "size")).alias("_d"), F.first("_gap").alias("_gap"))
+    one = rest.filter(F.col("size") <= F.col("_gap")).groupBy("source", sizes.alias("_class")).agg(F.min(F.struct("_v", "_tag", "size")).alias("_d"), F.first("_gap").alias("_gap"))
     each = one.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("_d.size").alias("size"), F.col("_d._tag").alias("tag"))), asc=False).alias("_ds"), F.first("_gap").alias("_gap"))
     nothing = F.struct(F.col("_gap").alias("gap"), F.expr("cast(array() as array<bigint>)").alias("tags"))
-    add = lambda acc, d: F.when(F.abs(acc["gap"] - d["size"]) < F.abs(acc["gap"]), F.struct((acc["gap"] - d["size"]).alias("gap"), F.concat(acc["tags"], F.array(d["tag"])).alias("tags"))).otherwise(acc)
+    add = lambda acc, d: F.when(d["size"] <= acc["gap"], F.struct((acc["gap"] - d["size"]).alias("gap"), F.concat(acc["tags"], F.array(d["tag"])).alias("tags"))).otherwise(acc)
     return each.select("source", F.aggregate("_ds", nothing, add)["tags"].alias("_closing"))
 
 
