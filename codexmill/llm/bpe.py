@@ -156,6 +156,19 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return thin(docs).mapInArrow(lambda b: digested(b, spec), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded_sha256: ids and the digest of what they decode to."""
+    spec = spec_of(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in encoded(batches, spec, decode=True):
+            lists = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in b["ids"].to_pylist()]
+            sha = [hashlib.sha256(x.encode()).hexdigest() for x in b["decoded"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "ids": pa.array(lists, pa.list_(pa.int32())), "decoded_sha256": sha})
+
+    return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def word_table(docs: DataFrame, path: str) -> DataFrame:
     """word, ids: the distinct words of the whole corpus, each encoded once."""
     spec = spec_of(path)

@@ -34,3 +34,19 @@ def text_of(name: str = "text") -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def text_hash() -> Column:
+    """Tells the rows of one doc_id apart when decisions about rows meet the rows again."""
+    return F.xxhash64(text_of())
+
+
+def take(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs, with its columns, as often as ``decided`` (doc_id, text_hash, n) says in sum.
+
+    Rows that repeat both doc_id and text are one here: their decisions add up.
+    """
+    sums = decided.filter(F.col("n") > 0).groupBy(F.col("doc_id").alias("_cm_id"), F.col("text_hash").alias("_cm_hash")).agg(F.sum("n").cast("int").alias("_cm_n"))
+    own = docs.withColumn("_cm_own", text_hash())
+    met = own.join(sums, F.col("doc_id").cast("long").eqNullSafe(F.col("_cm_id")) & (F.col("_cm_own") == F.col("_cm_hash"))).dropDuplicates(["_cm_id", "_cm_own"])
+    return met.withColumn("_cm_k", F.explode(F.sequence(F.lit(1), F.col("_cm_n")))).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, take, text_hash, text_of
 from .components import components
 
 WORDS = 5
@@ -86,7 +86,7 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
         for text in batch["_text"]:
             grams = shingles(text.as_py(), words)
             out.append(band_hashes(grams, bands, rows) if len(grams) else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_key"], pa.array(out, pa.list_(pa.int64()))], ["doc_id", "_key", "_bands"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_key"], batch["text_hash"], pa.array(out, pa.list_(pa.int64()))], ["doc_id", "_key", "text_hash", "_bands"])
 
 
 def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def verify(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = FAMILY_BLOCK) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, class_size, copies, kept.
+    """One row per input row: doc_id, class_id, n_links, class_size, copies, kept, text_hash.
 
     * Documents are linked when the Jaccard measure of their sets of ``words``-word runs
       is at least ``threshold``. Words are lower-cased and split at white space; a text of
@@ -177,8 +177,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     * An empty table gives no rows; other columns play no part.
     """
     bands, rows = banding(threshold, recall)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("_key"), text_of().alias("_text"))
-    base = source.mapInArrow(lambda b: signatures(b, words, bands, rows), "doc_id long, _key string, _bands array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("_key"), text_of().alias("_text"), text_hash().alias("text_hash"))
+    base = source.mapInArrow(lambda b: signatures(b, words, bands, rows), "doc_id long, _key string, text_hash long, _bands array<long>")
     base = cut(base.withColumn("_tag", F.monotonically_increasing_id()))
     texts = base.groupBy("_key", "_bands").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("copies"))
 
@@ -193,7 +193,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     winners = base.groupBy("_key", "doc_id").agg(F.min("_tag").alias("_tag"))
     keepers = winners.join(told, F.col("_key") == F.col("_k")).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("_root").alias("_w_root")).agg(F.min("_tag").alias("_w_tag"))
     told = told.join(keepers, F.col("_root") == F.col("_w_root"))
-    return base.join(told, F.col("_key") == F.col("_k")).select("doc_id", "class_id", "n_links", "class_size", "copies", (F.col("_tag") == F.col("_w_tag")).alias("kept"))
+    return base.join(told, F.col("_key") == F.col("_k")).select("doc_id", "class_id", "n_links", "class_size", "copies", (F.col("_tag") == F.col("_w_tag")).alias("kept"), "text_hash")
 
 
 def bucket_ties(texts: DataFrame) -> DataFrame:
@@ -217,3 +217,8 @@ def verified_links(source: DataFrame, texts: DataFrame, ties: DataFrame, words:
     links = found.groupBy("u").agg(F.sum("n").alias("n_links"))
     roots = components(found.select("u", "v"))
     return links.join(roots, F.col("u") == F.col("node")).select(F.col("u").alias("_key"), F.col("root").alias("_root"), "n_links")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that ``jaccard_join`` keeps: one of each class."""
+    return take(docs, jaccard_join(docs, words, threshold).select("doc_id", "text_hash", F.col("kept").cast("int").alias("n")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, take, text_hash, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -33,7 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, size, source_size, target, copies, taken, text_hash.
 
     * size counts the maximal runs of characters other than space and the ASCII
       controls 9 to 13; a null text has none.
@@ -47,7 +47,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     """
     bits = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text_of(), F.lit(seed)), 11)
     rows = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), ((bits.cast("double") + 0.5) / F.lit(float(2**53))).alias("_u"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), ((bits.cast("double") + 0.5) / F.lit(float(2**53))).alias("_u"), text_hash().alias("text_hash"))
         .withColumn("_tag", F.monotonically_increasing_id())
     )
     plan = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
@@ -74,13 +74,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     slice_ = ranked.filter(in_slice).withColumn("_in", F.sum("size").over(order) <= left)
     sure = alive & (F.col("_b1") < F.col("_at1")) | alive & (F.col("_b1") == F.col("_at1")) & (F.col("_b2") < F.col("_at2")) | alive & F.col("_at1").isNull()
     drawn = ranked.filter(~F.coalesce(in_slice, F.lit(False))).withColumn("_in", F.coalesce(sure, F.lit(False))).unionByName(slice_)
-    drawn = cut(drawn.select("doc_id", "source", "size", "source_size", "target", "_whole", "_want", "_v", "_tag", "_in"))
+    drawn = cut(drawn.select("doc_id", "source", "size", "source_size", "target", "_whole", "_want", "_v", "_tag", "_in", "text_hash"))
 
     got = drawn.groupBy("source").agg(F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0)).alias("_got"))
     rest = on_source(drawn.filter(~F.col("_in") & F.col("_v").isNotNull() & (F.col("size") > 0)), of(got)).withColumn("_gap", F.col("_want") - F.col("_got"))
     out = on_source(drawn, of(closing(rest)), how="left")
     copies = F.col("_whole") + F.when(F.col("_in") | F.coalesce(F.array_contains("_closing", F.col("_tag")), F.lit(False)), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.col("_tag"))
+    return out.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "text_hash")
 
 
 def closing(rest: DataFrame) -> DataFrame:
@@ -129,3 +129,8 @@ def crossing(ranked: DataFrame, among: Column, bucket: str, want: Column) -> Dat
     running = F.sum("_words").over(Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0))
     over = sums.withColumn("_before", running - F.col("_words")).filter(F.col("_before") + F.col("_words") > F.col("_goal"))
     return over.groupBy("source").agg(F.min(F.struct(F.col(bucket).alias("at"), F.col("_before").alias("before"))).alias("_x")).select("source", F.col("_x.at").alias("_at"), F.col("_x.before").alias("_before"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, each as often as it is taken."""
+    return take(docs, mix_sources(docs, weights, most, seed).select("doc_id", "text_hash", F.col("copies").alias("n")))

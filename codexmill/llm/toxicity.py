@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,19 +183,34 @@ def term_counts(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterato
     yield flush()
 
 
-def scored(batches: Iterator[pa.RecordBatch], model: np.ndarray, lexicon: dict[str, float], prior: float, unmatched: float) -> Iterator[pa.RecordBatch]:
-    restorer, terms = Restorer(LetterModel(model)), ahocorasick.Automaton()
-    for term, weight in lexicon.items():
-        terms.add_word(term, (term, weight))
-    terms.make_automaton()
+class Scorer:
+    """Scores of texts under a letter model and a lexicon."""
+
+    def __init__(self, model: np.ndarray, lexicon: dict[str, float], prior: float, unmatched: float):
+        self.restorer, self.lexicon, self.prior, self.unmatched = Restorer(LetterModel(model)), lexicon, prior, unmatched
+        self.terms = ahocorasick.Automaton()
+        for term, weight in lexicon.items():
+            self.terms.add_word(term, (term, weight))
+        self.terms.make_automaton()
+
+    def score(self, text: str) -> tuple[float, list[str]]:
+        hits = dict(hit for _, hit in self.terms.iter(plain(self.restorer.text(text)))) if self.lexicon else {}
+        logit = self.prior + max(hits.values()) + 0.5 * math.log(len(hits)) if hits else self.unmatched
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), sorted(h.strip() for h in hits)
+
+
+def scored(batches: Iterator[pa.RecordBatch], *model: object) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(*model)
     for batch in batches:
-        out, words = [], []
-        for text in batch["text"].to_pylist():
-            hits = dict(hit for _, hit in terms.iter(plain(restorer.text(text)))) if lexicon else {}
-            logit = prior + max(hits.values()) + 0.5 * math.log(len(hits)) if hits else unmatched
-            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
-            words.append(sorted(h.strip() for h in hits))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": pa.array(out, pa.float64()), "terms": pa.array(words, pa.list_(pa.string()))})
+        found = [scorer.score(text) for text in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": pa.array([f[0] for f in found], pa.float64()), "terms": pa.array([f[1] for f in found], pa.list_(pa.string()))})
+
+
+def passed(batches: Iterator[pa.RecordBatch], column: int, threshold: float, *model: object) -> Iterator[pa.RecordBatch]:
+    """The rows, whole, whose text scores below the threshold."""
+    scorer = Scorer(*model)
+    for batch in batches:
+        yield batch.filter(pa.array([scorer.score(text or "")[0] < threshold for text in batch.column(column).to_pylist()], pa.bool_()))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -219,7 +235,7 @@ def sampled_labels(labels: DataFrame, name: str, usable: Column, per_class: int)
     return some[0].unionByName(some[1]), [sizes.get(k, 0) for k in (0, 1)]
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame, counts: np.ndarray, sizes: list[int], most: int = TERMS, support: int = SUPPORT) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, sample: DataFrame, counts: np.ndarray, most: int = TERMS, support: int = SUPPORT) -> dict[str, float]:
     """Terms with their log odds, from the sampled documents; near copies count once.
 
     A term counts where its excess in toxic documents could not come from trying as
@@ -259,12 +275,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     * Repeated rows are scored alike; a null doc_id is not held out; an empty table gives
       no rows; other columns play no part.
     """
-    spark = docs.sparkSession
+    sent = learned(docs, labels, folds, held_out, per_class)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    out = rows.mapInArrow(lambda b: scored(b, *sent.value), "doc_id long, score double, terms array<string>")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "terms")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs, with all their columns, that ``toxicity`` predicts 0 for."""
+    sent, column = learned(docs, labels, folds, held_out, per_class), docs.columns.index("text")
+    return docs.mapInArrow(lambda b: passed(b, column, threshold, *sent.value), docs.schema)
+
+
+def learned(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int) -> Broadcast:
+    """The letter model's counts, the lexicon, and the logits of the prior and of a text without terms."""
     counts = letter_model(docs)
     sample, sizes = sampled_labels(labels, "toxic", fold(F.col("doc_id"), folds) != held_out, per_class)
-    lexicon = learn_lexicon(docs, sample, counts, sizes)
+    lexicon = learn_lexicon(docs, sample, counts)
     prior = math.log((sizes[1] + 0.5) / (sizes[0] + 0.5)) if sum(sizes) else -2.0
-    sent = spark.sparkContext.broadcast((counts.astype(np.float64), lexicon))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    out = rows.mapInArrow(lambda b: scored(b, sent.value[0], sent.value[1], prior, min(prior, -4.0)), "doc_id long, score double, terms array<string>")
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "terms")
+    return docs.sparkSession.sparkContext.broadcast((counts, lexicon, prior, min(prior, -4.0)))
