@@ -1,16 +1,56 @@
-"""The corpus pipeline: documents in, mixed and encoded documents out."""
+"""The corpus pipeline: documents in, a mixed and encoded corpus out.
+
+Each stage is (name, function) with function(spark, docs, sf_dir) -> DataFrame. Stages
+are run one by one, their results written as Parquet and read again; all but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from codexmill.llm.bpe import round_trip
+from codexmill.llm.common import table
+from codexmill.llm.exact_dedup import distinct_documents
+from codexmill.llm.jaccard_join import one_of_each
+from codexmill.llm.mixing import mixed_documents
+from codexmill.llm.queries import tokenizer_path
+from codexmill.llm.toxicity import clean_documents
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays."""
+    return distinct_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard measure of 0.8 on five-word runs, one stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text of the mix, and the digest of what they decode to."""
+    return round_trip(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
+#: The stages learn and draw by hash; SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
