@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,16 @@ from .common import text_of
 
 #: The published word pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
+#: Words given to the tokenizer at a time, and rows of an output batch.
+ENCODED_WORDS, OUT_ROWS = 2_000, 500
 
 
 class Codec:
     """Words to ids and ids to text for one tokenizer file's content."""
 
     def __init__(self, spec: str, table_words: int = TABLE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -60,8 +64,8 @@ class Codec:
         if len(self.table) + len(new) > self.table_words and self.table:
             self.table.clear()
             new = list(words)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), ENCODED_WORDS):
+            part = new[a : a + ENCODED_WORDS]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.table[word] = np.array(found.ids, dtype="<u4").tobytes()
 
@@ -97,24 +101,25 @@ def spec_of(path: str) -> str:
         return f.read()
 
 
-def encoded(batches: Iterator[pa.RecordBatch], spec: str, decode: bool) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple[Codec, list, list[bytes]]]:
+    """The codec, doc_ids and ids of a few hundred rows at a time."""
     codec = Codec(spec)
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        ids = [codec.encode(t) for t in texts]
-        out = {"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-        if decode:
-            back = [codec.decode(x) for x in ids]
-            out |= {"decoded": pa.array(back, pa.string())}
-        yield pa.RecordBatch.from_pydict(out)
+        for at in range(0, batch.num_rows, OUT_ROWS):
+            some = batch.slice(at, OUT_ROWS)
+            yield codec, some["doc_id"].to_pylist(), [codec.encode(t.as_py()) for t in some["text"]]
 
 
-def digested(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[pa.RecordBatch]:
-    """As encoded, with digests in place of ids and texts, so that only these leave Python."""
-    for batch in encoded(batches, spec, decode=True):
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        ids, back = batch["ids"].to_pylist(), batch["decoded"].to_pylist()
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": batch["n_tokens"], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(x.encode()) for x in back]})
+def sha(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
+
+
+def thin_rows(doc_ids: list, ids: list[bytes]) -> dict[str, pa.Array]:
+    return {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+
+
+def lists(ids: list[bytes]) -> pa.Array:
+    return pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
 
 
 def thin(docs: DataFrame) -> DataFrame:
@@ -122,7 +127,7 @@ def thin(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int), n_tokens, one row per input row.
+    """doc_id, n_tokens, ids (array of int), one row per input row.
 
     Null and empty texts have no ids; repeated rows are encoded each; an empty table
     gives no rows; other columns play no part.
@@ -130,11 +135,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spec = spec_of(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in encoded(batches, spec, decode=False):
-            lists = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "ids": pa.array(lists, pa.list_(pa.int32())), "n_tokens": b["n_tokens"]})
+        for _, doc_ids, ids in encoded(batches, spec):
+            yield pa.RecordBatch.from_pydict(thin_rows(doc_ids, ids) | {"ids": lists(ids)})
 
-    return thin(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -153,7 +157,12 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: a whole round trip of every text."""
     spec = spec_of(path)
-    return thin(docs).mapInArrow(lambda b: digested(b, spec), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codec, doc_ids, ids in encoded(batches, spec):
+            yield pa.RecordBatch.from_pydict(thin_rows(doc_ids, ids) | {"ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(codec.decode(x).encode()) for x in ids]})
+
+    return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -161,10 +170,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     spec = spec_of(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in encoded(batches, spec, decode=True):
-            lists = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in b["ids"].to_pylist()]
-            sha = [hashlib.sha256(x.encode()).hexdigest() for x in b["decoded"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "ids": pa.array(lists, pa.list_(pa.int32())), "decoded_sha256": sha})
+        for codec, doc_ids, ids in encoded(batches, spec):
+            yield pa.RecordBatch.from_pydict(thin_rows(doc_ids, ids) | {"ids": lists(ids), "decoded_sha256": [sha(codec.decode(x).encode()) for x in ids]})
 
     return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 

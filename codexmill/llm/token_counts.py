@@ -20,7 +20,7 @@ from .bpe import byte_of_letter, spec_of
 from .common import text_of
 
 #: Distinct words whose counts a task remembers before it begins anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 #: The byte that a word begins with in the vocabulary; a space in byte-level vocabularies.
 START = b" "
 
