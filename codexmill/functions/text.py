@@ -80,7 +80,7 @@ def frontmatter(c: Column) -> Column:
 
 def title_of(body: Column) -> Column:
     """The first line that begins with #, without the marks; null if it says nothing or none is there."""
-    first = F.filter(F.split(body, "\n"), lambda line: F.startswith(strip(line), F.lit("#")))[0]
+    first = F.get(F.filter(F.split(body, "\n"), lambda line: F.startswith(strip(line), F.lit("#"))), F.lit(0))
     return F.nullif(strip(F.regexp_replace(strip(first), "^#+", "")), F.lit(""))
 
 
@@ -244,7 +244,7 @@ def table_markdown(c: Column) -> Column:
     width = F.array_max(F.transform(rows, F.size))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    lines = F.concat(F.array(line(rows[0])), F.array(rule), F.transform(F.slice(rows, 2, F.size(rows)), line))
+    lines = F.concat(F.array(line(F.get(rows, F.lit(0)))), F.array(rule), F.transform(F.slice(rows, 2, F.size(rows)), line))
     return F.when(F.size(rows) > 0, F.array_join(lines, "\n")).otherwise("")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def communities(nodes: DataFrame, weights: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """(id, community): local moves by modularity gain, as joins and sums.
@@ -14,10 +16,12 @@ def communities(nodes: DataFrame, weights: DataFrame, rounds: int = 10, resoluti
     that turns with the round, move to the best one, ties to the smaller name. Labels are
     deterministic. The rounds are fixed in number and each is materialised.
     """
-    both = weights.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(weights.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")).persist()
+    both = weights.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(weights.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    both = cut(both)
     degree = both.groupBy("id").agg(F.sum("weight").alias("k"))
-    total = weights.agg(F.sum("weight").alias("m"))
-    state = nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("community")).persist()
+    total = cut(weights.agg(F.sum("weight").alias("m")))
+    state = nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("community"))
+    state = cut(state)
     for turn in range(rounds):
         sums = state.groupBy("community").agg(F.sum("k").alias("total"))
         near = both.join(state.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w"))
@@ -30,11 +34,7 @@ def communities(nodes: DataFrame, weights: DataFrame, rounds: int = 10, resoluti
         moved = options.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == 1)
         turn_of = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
         moved = moved.select("id", F.when(turn_of, F.col("community")).otherwise(F.col("mine")).alias("_new"))
-        new = state.join(moved, "id", "left").select("id", "k", F.coalesce("_new", "community").alias("community")).persist()
-        new.count()
-        state.unpersist()
-        state = new
-    both.unpersist()
+        state = cut(state.join(moved, "id", "left").select("id", "k", F.coalesce("_new", "community").alias("community")))
     named = state.groupBy("community").agg(F.min("id").alias("name"))
     return state.join(named, "community").select("id", F.col("name").alias("community"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .store import DIRECTIONS, live
 
 MOST_HOPS, MOST_NODES = 3, 100
@@ -152,11 +153,11 @@ def cascade(changed: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int =
     """
     ties = edges.filter(F.col("label") == "supports").select(F.col("source_node_id").alias("_s"), F.col("target_node_id").alias("_t"))
     notes = nodes.filter((F.col("type") == "exogenous") & (F.col("status") == "active")).select(F.col("id").alias("_id"))
-    seen = changed.toDF("id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = frontier = cut(changed.toDF("id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
         new = frontier.join(ties, F.col("id") == F.col("_s")).select(F.col("_t").alias("id")).distinct()
         frontier = new.join(notes, F.col("id") == F.col("_id"), "left_semi").join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(frontier)
         seen = seen.unionByName(frontier)
     return seen.filter(F.col("depth") > 0).orderBy("depth", "id").limit(most)
 
@@ -168,16 +169,13 @@ def chain_order(nodes: DataFrame, links: DataFrame, rounds: int = 20) -> DataFra
     """
     before = links.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("up"))
     state = nodes.select("id").join(before, "id", "left").withColumn("head", F.coalesce("up", "id")).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1))
-    state = state.select("id", "up", "head", "depth").persist()
+    state = cut(state.select("id", "up", "head", "depth"))
     for _ in range(rounds):
         far = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("head").alias("_h"))
         going = state.filter(F.col("up").isNotNull())
         if not going.limit(1).count():
             break
-        new = state.join(far, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), F.coalesce("_h", "head").alias("head"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")).persist()
-        new.count()
-        state.unpersist()
-        state = new
+        state = cut(state.join(far, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), F.coalesce("_h", "head").alias("head"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
     return state.select("id", F.when(F.col("up").isNull(), F.col("head")).alias("head"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 

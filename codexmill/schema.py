@@ -9,18 +9,24 @@ from pyspark.sql import types as T
 ACTIVE, STALE, SUPERSEDED, DELETED = "active", "stale", "superseded", "deleted"
 ENDOGENOUS, EXOGENOUS = "endogenous", "exogenous"
 
-#: Columns are STRING timestamps in ISO form, always UTC, so that text order is time order.
-NODES = T.StructType.fromDDL(
-    "id string, body string, type string, title string, original_document_name string, source_path string, "
-    "source_ranges array<struct<start:int,end:int>>, source_version string, source_material_hash string, entity string, "
-    "claims array<string>, keywords array<string>, summary string, cluster string, status string, created_at string, updated_at string"
-)
-EDGES = T.StructType.fromDDL("id string, source_node_id string, target_node_id string, label string, summary string, created_at string, valid_at string, invalid_at string, expired_at string, source_episode_ids array<string>")
-ITEMS = T.StructType.fromDDL("id string, node_id string, field string, text string, ordinal int, start_char int, end_char int, source_path string, source_hash string")
-VECTORS = T.StructType.fromDDL("id string, embedding array<float>")
-SOURCES = T.StructType.fromDDL("document_name string, source_hash string, ingested_at string")
-META = T.StructType.fromDDL("key string, value string")
-JOBS = T.StructType.fromDDL("id string, type string, payload string, user_id string, status string, created_at string, started_at string, finished_at string, result string, error string")
+LISTS = {"claims": T.ArrayType(T.StringType()), "keywords": T.ArrayType(T.StringType()), "source_episode_ids": T.ArrayType(T.StringType()), "embedding": T.ArrayType(T.FloatType())}
+RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+KINDS = LISTS | {"source_ranges": RANGES, "ordinal": T.IntegerType(), "start_char": T.IntegerType(), "end_char": T.IntegerType()}
+
+
+def schema(names: str) -> T.StructType:
+    """Columns by name; all that ``KINDS`` doesn't name are strings."""
+    return T.StructType([T.StructField(n, KINDS.get(n, T.StringType())) for n in names.split()])
+
+
+#: Times are strings in ISO form, always UTC, so that text order is time order.
+NODES = schema("id body type title original_document_name source_path source_ranges source_version source_material_hash entity claims keywords summary cluster status created_at updated_at")
+EDGES = schema("id source_node_id target_node_id label summary created_at valid_at invalid_at expired_at source_episode_ids")
+ITEMS = schema("id node_id field text ordinal start_char end_char source_path source_hash")
+VECTORS = schema("id embedding")
+SOURCES = schema("document_name source_hash ingested_at")
+META = schema("key value")
+JOBS = schema("id type payload user_id status created_at started_at finished_at result error")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
