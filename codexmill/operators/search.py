@@ -27,7 +27,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
 
     The corpus is docs (id, text) as given, whatever the documents' state. Only terms
     that some query asks for are counted; lengths and the number of documents come from
-    the same pass. Scores are rounded to 6 places, so that sums in another order agree.
+    the same pass. Scores are rounded to 9 places, so that sums in another order
+    agree and terms of the least weight still tell documents apart.
     """
     asked = term_table(queries)
     terms = docs.select("id", index_terms(F.col("text")).alias("_t"))
@@ -40,7 +41,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weights = weights.select("term", idf.alias("idf"), "mean").join(asked, "term")
     part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def best(scores: DataFrame, k: int, order: list | None = None, by: str = "query_id") -> DataFrame:

@@ -58,7 +58,7 @@ asked AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnes
 tf AS (SELECT id, len(t) AS length, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM doc_terms) WHERE term IN (SELECT term FROM asked) GROUP BY id, t, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scores AS (
-  SELECT query_id, id, round(sum(weight * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score
+  SELECT query_id, id, round(sum(weight * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 9) AS score
   FROM tf JOIN df USING (term) JOIN asked USING (term) CROSS JOIN stats GROUP BY query_id, id)"""
 
 

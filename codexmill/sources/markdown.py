@@ -24,7 +24,7 @@ def folder_name(path: Column) -> Column:
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, folder, content) of every .md file below root."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     path = F.url_decode(F.col("_metadata.file_path"))
     return files.select(path.alias("path"), file_name(path).alias("name"), folder_name(path).alias("folder"), F.col("value").alias("content"))
 
