@@ -6,9 +6,11 @@ every word that is new to it once, and joins the ids back by position. Decoding
 join of each id with its piece. ``word_table`` builds the same table for a whole corpus
 as a DataFrame.
 
-The tables are kept per task, not joined across the corpus: a corpus-wide join would
-send every word position through two shuffles (see the README for figures). A table is
+The tables of ``encode``, ``digests`` and ``round_trip`` are kept per task. A table is
 dropped and begun anew when it holds ``TABLE_WORDS`` words, so memory is bounded.
+``encode_joined`` and ``decode_joined`` do the same with one table of the whole corpus
+and joins by word and by id; they send every word position through two shuffles (see
+the README for figures) and give the same rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import text_of
+from .common import cut, text_of
 
 #: The published word pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,3 +197,31 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"word": b["word"], "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return thin(docs).mapInArrow(split, "word string").distinct().mapInArrow(code, "word string, ids array<int>")
+
+
+def encode_joined(docs: DataFrame, path: str) -> DataFrame:
+    """What ``encode`` returns, by a join of every word position with ``word_table``."""
+    spec = spec_of(path)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(spec)
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"_tag": b["_tag"], "words": pa.array([codec.words(t) for t in b["text"].to_pylist()], pa.list_(pa.string()))})
+
+    rows = cut(thin(docs).withColumn("_tag", F.monotonically_increasing_id()))
+    at = rows.select("_tag", "text").mapInArrow(split, "_tag long, words array<string>").select("_tag", F.posexplode("words").alias("pos", "word"))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "ids")))
+    met = at.join(word_table(rows, path), "word").groupBy("_tag").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
+    ids = F.coalesce("ids", F.expr("cast(array() as array<int>)"))
+    return rows.drop("text").join(met, "_tag", "left").select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"))
+
+
+def decode_joined(tokens: DataFrame, path: str) -> DataFrame:
+    """What ``decode`` returns for the ids of whole texts, by a join of every id with its piece."""
+    codec = Codec(spec_of(path))
+    pieces = tokens.sparkSession.createDataFrame([(i, bytes(piece).hex()) for i, piece in enumerate(codec.pieces)], "id int, piece string")
+    rows = cut(tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").withColumn("_tag", F.monotonically_increasing_id()))
+    at = rows.select("_tag", F.posexplode("ids").alias("pos", "id"))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "piece")))
+    met = at.join(F.broadcast(pieces), "id").groupBy("_tag").agg(F.array_join(F.transform(in_order, lambda x: x["piece"]), "").alias("hex"))
+    return rows.drop("ids").join(met, "_tag", "left").select("doc_id", F.coalesce(F.unhex("hex").cast("string"), F.lit("")).alias("text"))
