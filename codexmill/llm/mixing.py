@@ -42,7 +42,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     * The draw is a hash of doc_id and text: reruns agree, whatever the partitions.
       Rows repeated in full draw the same number and are told apart by position only.
     * A long document in the draw's last place can leave a gap. It is closed with the
-      first documents of the rank not drawn, one for each class of sizes at most.
+      first documents of the rank not drawn, one for each class of sizes at most; where
+      these leave more open than a longer document would exceed, that is taken too.
     * An empty table gives no rows.
     """
     bits = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text_of(), F.lit(seed)), 11)
@@ -87,15 +88,20 @@ def closing(rest: DataFrame) -> DataFrame:
     """Per source, the tags of further documents that fill the gap to the words wanted.
 
     Of each class of sizes (a factor of 1.25 wide, so some tens of classes) the first
-    document in the rank can be had; from the largest down, each is added that brings
-    the sum closer.
+    document in the rank can be had; from the largest down, each is added that fits.
+    The smallest document over the gap comes last, if it leaves less over than its
+    absence leaves open.
     """
-    sizes = F.floor(F.log("size") / F.log(F.lit(1.25)))
-    one = rest.filter(F.col("size") <= F.col("_gap")).groupBy("source", sizes.alias("_class")).agg(F.min(F.struct("_v", "_tag", "size")).alias("_d"), F.first("_gap").alias("_gap"))
+    over = F.col("size") > F.col("_gap")
+    kind = F.when(over, -1).otherwise(F.floor(F.log("size") / F.log(F.lit(1.25))))
+    first = F.struct(F.when(over, F.col("size").cast("double")).otherwise(F.col("_v")).alias("_o"), "_v", "_tag", "size")
+    one = rest.groupBy("source", kind.alias("_class")).agg(F.min(first).alias("_d"), F.first("_gap").alias("_gap"))
     each = one.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("_d.size").alias("size"), F.col("_d._tag").alias("tag"))), asc=False).alias("_ds"), F.first("_gap").alias("_gap"))
     nothing = F.struct(F.col("_gap").alias("gap"), F.expr("cast(array() as array<bigint>)").alias("tags"))
     add = lambda acc, d: F.when(d["size"] <= acc["gap"], F.struct((acc["gap"] - d["size"]).alias("gap"), F.concat(acc["tags"], F.array(d["tag"])).alias("tags"))).otherwise(acc)
-    return each.select("source", F.aggregate("_ds", nothing, add)["tags"].alias("_closing"))
+    filled = each.select("source", F.aggregate("_ds", nothing, add).alias("_f"), F.filter("_ds", lambda d: d["size"] > F.col("_gap")).alias("_over"))
+    last = F.transform(F.filter("_over", lambda d: d["size"] < 2 * F.col("_f.gap")), lambda d: d["tag"])
+    return filled.select("source", F.concat("_f.tags", last).alias("_closing"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:

