@@ -1,16 +1,13 @@
 """BPE encoding and decoding over tables of distinct words.
 
 Texts are split into words (the pieces that merges never cross) inside Spark's tasks.
-A task keeps a table of the distinct words it has met with the ids of each, encodes
-every word that is new to it once, and joins the ids back by position. Decoding is a
-join of each id with its piece. ``word_table`` builds the same table for a whole corpus
-as a DataFrame.
-
-The tables of ``encode``, ``digests`` and ``round_trip`` are kept per task. A table is
-dropped and begun anew when it holds ``TABLE_WORDS`` words, so memory is bounded.
-``encode_joined`` and ``decode_joined`` do the same with one table of the whole corpus
-and joins by word and by id; they send every word position through two shuffles (see
-the README for figures) and give the same rows.
+The distinct words of the corpus meet in one table, where each is encoded once; ids are
+joined back by position, and with their pieces for decoding. ``digests`` and
+``round_trip`` do so with packed places (see ``by_word_table``).
+
+``encode`` and ``decode`` keep a table of distinct words per task, dropped and begun anew
+when it holds ``TABLE_WORDS`` words, so memory is bounded. ``encode_joined`` and
+``decode_joined`` send every word position through two shuffles. All give the same rows.
 """
 
 from __future__ import annotations
@@ -18,11 +15,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,10 +31,29 @@ from .common import cut, text_of
 #: The published word pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_WORDS = 150_000
+#: Word places of a chunk, of which a text is never parted.
+CHUNK_WORDS = 500_000
 #: Words given to the tokenizer at a time, and rows of an output batch.
 ENCODED_WORDS, OUT_ROWS = 2_000, 500
 
 
+class Splitter:
+    """Texts to words, the pieces that merges never cross."""
+
+    def __init__(self, added: Iterable[str]):
+        self.split, self.added = regex.compile(PATTERN).findall, list(added)
+        self.fence = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+
+    def words(self, text: str) -> list[str]:
+        """The text's words in order; an added token is a word of its own."""
+        if self.fence is None or not any(a in text for a in self.added):
+            return self.split(text)
+        out: list[str] = []
+        for k, part in enumerate(self.fence.split(text)):
+            out += [part] if k % 2 else self.split(part)
+        return out
+
+
 class Codec:
     """Words to ids and ids to text for one tokenizer file's content."""
 
@@ -44,22 +62,12 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = regex.compile(PATTERN).findall
         self.added = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
-        self.fence = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.words = Splitter(self.added).words
         self.table: dict[str, bytes] = {}
         self.table_words = table_words
         self.pieces = id_pieces(self.tokenizer, self.added)
 
-    def words(self, text: str) -> list[str]:
-        """The text's words in order; an added token is a word of its own."""
-        if self.fence is None or not any(a in text for a in self.added):
-            return self.split(text)
-        out: list[str] = []
-        for k, part in enumerate(self.fence.split(text)):
-            out += [part] if k % 2 else self.split(part)
-        return out
-
     def learn(self, words: set[str]) -> None:
         """Encodes the words that the table lacks, each once."""
         new = [w for w in words if w not in self.table]
@@ -156,26 +164,118 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: a whole round trip of every text."""
+def numbered(batches: Iterator[pa.RecordBatch], added: list[str], chunk_words: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows: their texts as numbers of the chunk's distinct words, frequent ones first."""
+    splitter, chunk = Splitter(added), TaskContext.get().partitionId() << 32
+    pack = zstandard.ZstdCompressor(level=3).compress
+    numbers: dict[str, int] = {}
+    doc_ids, texts, total = [], [], 0
+
+    def closed() -> pa.RecordBatch:
+        flat = np.concatenate(texts)
+        order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        words = list(numbers)
+        planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T)  # low bytes together, high bytes together
+        row = {"chunk": [chunk], "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))}
+        return pa.RecordBatch.from_pydict(row | {"places": [pack(planes.tobytes())], "words": [pack(json.dumps([words[i] for i in order]).encode())]})
+
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            words = splitter.words(text.as_py())
+            for word in set(words).difference(numbers):
+                numbers[word] = len(numbers)
+            doc_ids.append(doc_id)
+            texts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            total += len(words) + 1
+            if total >= chunk_words:
+                yield closed()
+                numbers, doc_ids, texts, total, chunk = {}, [], [], 0, chunk + 1
+    if doc_ids:
+        yield closed()
+
+
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each chunk, with their numbers."""
+    for batch in batches:
+        for chunk, packed in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            words = json.loads(zstandard.decompress(packed))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(words), pa.int64()), "no": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
+
+
+def placed(places: np.ndarray, lengths: np.ndarray, no: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the words at all places in order, and where each text's begin and end."""
+    size, start = np.zeros((2, int(max(places.max(initial=-1), no.max(initial=-1))) + 1), dtype=np.int64)
+    size[no], start[no] = np.diff(offsets), offsets[:-1]
+    each = size[places]
+    ends = np.r_[0, np.cumsum(each)]
+    at = np.repeat(start[places] - ends[:-1], each) + np.arange(ends[-1])
+    return values[at], ends[np.r_[0, np.cumsum(lengths)]]
+
+
+def assembled(chunk: pa.Table, words: pa.Table, with_ids: bool) -> pa.Table:
+    """The rows of one chunk from its places and the ids and bytes of its words."""
+    lengths = np.array(chunk["lengths"][0].as_py(), dtype=np.int64)
+    packed = np.frombuffer(zstandard.decompress(chunk["places"][0].as_py()), dtype=np.uint8)
+    places = np.ascontiguousarray(packed.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    no, ids, written = words["no"].to_numpy(), words["ids"].to_pylist(), words["bytes"].to_pylist()
+    offsets = [np.r_[0, np.cumsum([len(x) for x in column], dtype=np.int64)] for column in (ids, written)]
+    tokens, cuts = placed(places, lengths, no, offsets[0], np.frombuffer(b"".join(ids), dtype=np.uint8))
+    raw, ends = placed(places, lengths, no, offsets[1], np.frombuffer(b"".join(written), dtype=np.uint8))
+    tokens, raw = tokens.tobytes(), raw.tobytes()
+    own = [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    back = [sha(raw[a:b].decode("utf-8", errors="replace").encode()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    shown = {"ids": lists(own)} if with_ids else {"ids_sha256": pa.array([sha(x) for x in own], pa.string())}
+    return pa.table(thin_rows(chunk["doc_ids"][0].as_py(), own) | shown | {"decoded_sha256": pa.array(back, pa.string())})
+
+
+def by_word_table(docs: DataFrame, path: str, with_ids: bool, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """Every text encoded and decoded through one table of the corpus's distinct words.
+
+    Tasks split texts into words and keep them as chunks: places, and the distinct words
+    that these number. The distinct words of all chunks meet in one table, where each is
+    encoded once and its ids are joined with their pieces; ids and bytes go back to the
+    chunks by word, and to the places by number. So what is shuffled is the packed places
+    once and the distinct words of each chunk, not a row for each word of the corpus.
+    """
     spec = spec_of(path)
+    codec = Codec(spec)
+    added = list(codec.added)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codec, doc_ids, ids in encoded(batches, spec):
-            yield pa.RecordBatch.from_pydict(thin_rows(doc_ids, ids) | {"ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(codec.decode(x).encode()) for x in ids]})
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Codec(spec)
+        for b in batches:
+            words = b["word"].to_pylist()
+            own.learn(set(words))
+            yield pa.RecordBatch.from_pydict({"word": b["word"], "ids": lists([own.table[w] for w in words])})
+
+    # rows of a fixed number, that of the vocabulary; ids as their four bytes, pieces as theirs
+    columns = {"id": pa.array(range(len(codec.pieces)), pa.int32()), "four": [i.to_bytes(4, "little").hex() for i in range(len(codec.pieces))], "piece": [bytes(x).hex() for x in codec.pieces]}
+    pieces = docs.sparkSession.createDataFrame(pa.table(columns))
+    chunks = cut(thin(docs).mapInArrow(lambda b: numbered(b, added, chunk_words), "chunk long, doc_ids array<long>, lengths array<int>, places binary, words binary"))
+    words = chunks.select("chunk", "words").mapInArrow(listed, "chunk long, no int, word string")
+    table = words.select("word").distinct().mapInArrow(code, "word string, ids array<int>")
+    at = table.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
+    met = at.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "four", "piece"))).alias("s"))
+    joined = lambda name: F.unhex(F.array_join(F.transform("s", lambda x: x[name]), ""))
+    found = words.join(met.select("word", joined("four").alias("ids"), joined("piece").alias("bytes")), "word").select("chunk", "no", "ids", "bytes")
+    shown = "ids array<int>" if with_ids else "ids_sha256 string"
+    return chunks.drop("words").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda c, w: assembled(c, w, with_ids), f"doc_id long, n_tokens long, {shown}, decoded_sha256 string")
 
-    return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: a whole round trip of every text.
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int), decoded_sha256: ids and the digest of what they decode to."""
-    spec = spec_of(path)
+    Null and empty texts have no ids; repeated rows are encoded each; an empty table
+    gives no rows; other columns play no part.
+    """
+    return by_word_table(docs, path, with_ids=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codec, doc_ids, ids in encoded(batches, spec):
-            yield pa.RecordBatch.from_pydict(thin_rows(doc_ids, ids) | {"ids": lists(ids), "decoded_sha256": [sha(codec.decode(x).encode()) for x in ids]})
 
-    return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded_sha256: ids and the digest of what they decode to."""
+    return by_word_table(docs, path, with_ids=True)
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:

@@ -47,6 +47,20 @@ def test_digests(spark, docs, path):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids[i], "<u4").tobytes()).hexdigest() and got[i]["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("chunk_words", [1, 40, 10**6])
+def test_the_word_table_gives_the_plain_ids(spark, docs, path, chunk_words):
+    ids, texts = wanted(path)
+    table = bpe.by_word_table(docs, path, with_ids=True, chunk_words=chunk_words)
+    got = sorted(table.collect(), key=lambda r: key(r["doc_id"]))
+    assert [(r["n_tokens"], r["ids"], r["decoded_sha256"]) for r in got] == [(len(ids[i]), ids[i], hashlib.sha256(texts[i].encode()).hexdigest()) for i in [3, 0, 1, 2, 4, 5, 6, 7]]
+
+
+def test_only_empty_texts(spark, path):
+    rows = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert sorted(map(tuple, bpe.digests(rows, path).collect())) == [(1, 0, nothing, nothing), (2, 0, nothing, nothing)]
+
+
 def test_the_joined_form_agrees(spark, docs, path):
     plain, joined = bpe.encode(docs, path), bpe.encode_joined(docs, path)
     assert sorted(map(str, plain.collect())) == sorted(map(str, joined.collect()))
