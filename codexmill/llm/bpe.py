@@ -18,6 +18,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, text_of
+from .common import cut, shuffle_width, text_of
 
 #: The published word pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_WORDS = 150_000
 #: Word places of a chunk, of which a text is never parted.
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 4_000_000
+#: Word places that are turned into ids and bytes at a time.
+STRIDE = 250_000
 #: Words given to the tokenizer at a time, and rows of an output batch.
 ENCODED_WORDS, OUT_ROWS = 2_000, 500
 
@@ -164,22 +167,36 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def numbered(batches: Iterator[pa.RecordBatch], added: list[str], chunk_words: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of rows: their texts as numbers of the chunk's distinct words, frequent ones first."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, low bytes together and high bytes together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+CHUNK = "chunk long, doc_ids array<long>, lengths array<int>, places binary, buckets binary, words array<binary>"
+
+
+def numbered(batches: Iterator[pa.RecordBatch], added: list[str], chunk_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows: places as numbers of the chunk's distinct words, and these words, frequent ones first, by bucket."""
     splitter, chunk = Splitter(added), TaskContext.get().partitionId() << 32
-    pack = zstandard.ZstdCompressor(level=3).compress
     numbers: dict[str, int] = {}
     doc_ids, texts, total = [], [], 0
 
     def closed() -> pa.RecordBatch:
         flat = np.concatenate(texts)
         order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-        rank = np.empty(len(order), dtype="<u4")
+        rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order))
-        words = list(numbers)
-        planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T)  # low bytes together, high bytes together
+        words = np.array(list(numbers), dtype=object)[order]
+        of = (pd.util.hash_array(words, categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else order
+        by = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=buckets))[:-1])
+        lists_ = [zstandard.compress(json.dumps(words[at].tolist(), ensure_ascii=False).encode(), 3) if len(at) else None for at in by]
         row = {"chunk": [chunk], "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))}
-        return pa.RecordBatch.from_pydict(row | {"places": [pack(planes.tobytes())], "words": [pack(json.dumps([words[i] for i in order]).encode())]})
+        return pa.RecordBatch.from_pydict(row | {"places": [packed(rank[flat])], "buckets": [packed(of)], "words": pa.array([lists_], pa.list_(pa.binary()))})
 
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -196,72 +213,77 @@ def numbered(batches: Iterator[pa.RecordBatch], added: list[str], chunk_words: i
         yield closed()
 
 
-def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each chunk, with their numbers."""
+def coded(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[pa.RecordBatch]:
+    """The ids of each list of words; the task holds all lists of its buckets, and encodes a word once."""
+    codec = Codec(spec)
     for batch in batches:
-        for chunk, packed in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
-            words = json.loads(zstandard.decompress(packed))
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(words), pa.int64()), "no": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
-
-
-def placed(places: np.ndarray, lengths: np.ndarray, no: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the words at all places in order, and where each text's begin and end."""
-    size, start = np.zeros((2, int(max(places.max(initial=-1), no.max(initial=-1))) + 1), dtype=np.int64)
-    size[no], start[no] = np.diff(offsets), offsets[:-1]
-    each = size[places]
+        counts, ids = [], []
+        for data in batch["words"].to_pylist():
+            words = json.loads(zstandard.decompress(data))
+            codec.learn(set(words))
+            each = [codec.table[w] for w in words]
+            counts.append(packed(np.array([len(x) // 4 for x in each])))
+            ids.append(packed(np.frombuffer(b"".join(each), dtype="<u4")))
+        yield pa.RecordBatch.from_pydict({"chunk": batch["chunk"], "bucket": batch["bucket"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+
+def met(keys: np.ndarray, size: np.ndarray, start: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that belong to the keys, in order, and where each key's begin and end."""
+    each = size[keys]
     ends = np.r_[0, np.cumsum(each)]
-    at = np.repeat(start[places] - ends[:-1], each) + np.arange(ends[-1])
-    return values[at], ends[np.r_[0, np.cumsum(lengths)]]
-
-
-def assembled(chunk: pa.Table, words: pa.Table, with_ids: bool) -> pa.Table:
-    """The rows of one chunk from its places and the ids and bytes of its words."""
-    lengths = np.array(chunk["lengths"][0].as_py(), dtype=np.int64)
-    packed = np.frombuffer(zstandard.decompress(chunk["places"][0].as_py()), dtype=np.uint8)
-    places = np.ascontiguousarray(packed.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    no, ids, written = words["no"].to_numpy(), words["ids"].to_pylist(), words["bytes"].to_pylist()
-    offsets = [np.r_[0, np.cumsum([len(x) for x in column], dtype=np.int64)] for column in (ids, written)]
-    tokens, cuts = placed(places, lengths, no, offsets[0], np.frombuffer(b"".join(ids), dtype=np.uint8))
-    raw, ends = placed(places, lengths, no, offsets[1], np.frombuffer(b"".join(written), dtype=np.uint8))
-    tokens, raw = tokens.tobytes(), raw.tobytes()
-    own = [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    back = [sha(raw[a:b].decode("utf-8", errors="replace").encode()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    shown = {"ids": lists(own)} if with_ids else {"ids_sha256": pa.array([sha(x) for x in own], pa.string())}
-    return pa.table(thin_rows(chunk["doc_ids"][0].as_py(), own) | shown | {"decoded_sha256": pa.array(back, pa.string())})
+    return values[np.repeat(start[keys] - ends[:-1], each) + np.arange(ends[-1])], ends
+
+
+def assembled(chunk: pa.Table, found: pa.Table, pieces: list[bytes], with_ids: bool) -> Iterator[pa.Table]:
+    """The rows of one chunk: its places joined with the ids of its words, and these with their pieces."""
+    doc_ids, lengths = chunk["doc_ids"][0].as_py(), np.array(chunk["lengths"][0].as_py(), dtype=np.int64)
+    places, of = unpacked(chunk["places"][0].as_py()), unpacked(chunk["buckets"][0].as_py())
+    order = np.argsort(of, kind="stable")
+    found = found.sort_by("bucket")
+    counts = np.concatenate([np.zeros(0, np.int64), *map(unpacked, found["counts"].to_pylist())])
+    ids = np.concatenate([np.zeros(0, np.int64), *map(unpacked, found["ids"].to_pylist())])
+    size, start = np.zeros((2, len(order)), dtype=np.int64)
+    size[order], start[order] = counts, np.cumsum(counts) - counts
+    piece_size = np.array([len(x) for x in pieces], dtype=np.int64)
+    piece_start, letters = np.cumsum(piece_size) - piece_size, np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    bounds = np.r_[0, np.cumsum(lengths)]
+    first = 0
+    while first < len(doc_ids):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STRIDE, side="right")) - 1)
+        at = bounds[first : last + 1] - bounds[first]
+        tokens, cuts = met(places[bounds[first] : bounds[last]], size, start, ids)
+        raw, ends = met(tokens, piece_size, piece_start, letters)
+        cuts = cuts[at]
+        ends, tokens, raw = ends[cuts], tokens.astype("<u4").tobytes(), raw.tobytes()
+        own = [tokens[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        back = [sha(raw[a:b].decode("utf-8", errors="replace").encode()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        shown = {"ids": lists(own)} if with_ids else {"ids_sha256": pa.array([sha(x) for x in own], pa.string())}
+        yield pa.table(thin_rows(doc_ids[first:last], own) | shown | {"decoded_sha256": pa.array(back, pa.string())})
+        first = last
 
 
 def by_word_table(docs: DataFrame, path: str, with_ids: bool, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Every text encoded and decoded through one table of the corpus's distinct words.
 
     Tasks split texts into words and keep them as chunks: places, and the distinct words
-    that these number. The distinct words of all chunks meet in one table, where each is
-    encoded once and its ids are joined with their pieces; ids and bytes go back to the
-    chunks by word, and to the places by number. So what is shuffled is the packed places
-    once and the distinct words of each chunk, not a row for each word of the corpus.
+    that these number. A bucket of the table, by hash of the word, gets each chunk's words
+    of that bucket as one packed list; there each distinct word is encoded once (again only
+    when a task's table of ``TABLE_WORDS`` words is full). The ids go back to the chunks,
+    are joined with the places by number and with the pieces by id. So what is shuffled is
+    the packed places once and each chunk's packed distinct words, not a row for each word.
     """
     spec = spec_of(path)
     codec = Codec(spec)
-    added = list(codec.added)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(spec)
-        for b in batches:
-            words = b["word"].to_pylist()
-            own.learn(set(words))
-            yield pa.RecordBatch.from_pydict({"word": b["word"], "ids": lists([own.table[w] for w in words])})
-
-    # rows of a fixed number, that of the vocabulary; ids as their four bytes, pieces as theirs
-    columns = {"id": pa.array(range(len(codec.pieces)), pa.int32()), "four": [i.to_bytes(4, "little").hex() for i in range(len(codec.pieces))], "piece": [bytes(x).hex() for x in codec.pieces]}
-    pieces = docs.sparkSession.createDataFrame(pa.table(columns))
-    chunks = cut(thin(docs).mapInArrow(lambda b: numbered(b, added, chunk_words), "chunk long, doc_ids array<long>, lengths array<int>, places binary, words binary"))
-    words = chunks.select("chunk", "words").mapInArrow(listed, "chunk long, no int, word string")
-    table = words.select("word").distinct().mapInArrow(code, "word string, ids array<int>")
-    at = table.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
-    met = at.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "four", "piece"))).alias("s"))
-    joined = lambda name: F.unhex(F.array_join(F.transform("s", lambda x: x[name]), ""))
-    found = words.join(met.select("word", joined("four").alias("ids"), joined("piece").alias("bytes")), "word").select("chunk", "no", "ids", "bytes")
+    added, buckets = list(codec.added), 2 * shuffle_width(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(codec.pieces)  # as large as the vocabulary
+    chunks = cut(thin(docs).mapInArrow(lambda b: numbered(b, added, chunk_words, buckets), CHUNK))
+    words = chunks.select("chunk", F.posexplode("words").alias("bucket", "words")).filter(F.col("words").isNotNull()).repartition("bucket")
+    found = words.mapInArrow(lambda b: coded(b, spec), "chunk long, bucket int, counts binary, ids binary")
     shown = "ids array<int>" if with_ids else "ids_sha256 string"
-    return chunks.drop("words").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda c, w: assembled(c, w, with_ids), f"doc_id long, n_tokens long, {shown}, decoded_sha256 string")
+    return (
+        chunks.drop("words").groupBy("chunk").cogroup(found.groupBy("chunk"))
+        .applyInArrow(lambda c, f: pa.concat_tables(assembled(c, f, sent.value, with_ids)), f"doc_id long, n_tokens long, {shown}, decoded_sha256 string")
+    )
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
