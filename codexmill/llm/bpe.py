@@ -34,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TABLE_WORDS = 150_000
 #: Word places of a chunk, of which a text is never parted.
 CHUNK_WORDS = 4_000_000
+#: Compression of what is shuffled.
+LEVEL = 9
 #: Word places that are turned into ids and bytes at a time.
 STRIDE = 250_000
 #: Words given to the tokenizer at a time, and rows of an output batch.
@@ -168,13 +170,18 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, low bytes together and high bytes together, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    """Unsigned 32-bit numbers, compressed: the upper bytes, then the low bytes grouped by what stands above them."""
+    high = (numbers >> 8).astype("<u4")
+    low = (numbers & 255).astype(np.uint8)[np.argsort(high, kind="stable")]
+    return zstandard.compress(np.ascontiguousarray(high.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes() + low.tobytes(), LEVEL)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).astype(np.int64).reshape(4, -1)
+    high = planes[0] | planes[1] << 8 | planes[2] << 16
+    out = high << 8
+    out[np.argsort(high, kind="stable")] |= planes[3]
+    return out
 
 
 CHUNK = "chunk long, doc_ids array<long>, lengths array<int>, places binary, buckets binary, words array<binary>"
@@ -194,7 +201,7 @@ def numbered(batches: Iterator[pa.RecordBatch], added: list[str], chunk_words: i
         words = np.array(list(numbers), dtype=object)[order]
         of = (pd.util.hash_array(words, categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else order
         by = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=buckets))[:-1])
-        lists_ = [zstandard.compress(json.dumps(words[at].tolist(), ensure_ascii=False).encode(), 3) if len(at) else None for at in by]
+        lists_ = [zstandard.compress(json.dumps(words[at].tolist(), ensure_ascii=False).encode(), LEVEL) if len(at) else None for at in by]
         row = {"chunk": [chunk], "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))}
         return pa.RecordBatch.from_pydict(row | {"places": [packed(rank[flat])], "buckets": [packed(of)], "words": pa.array([lists_], pa.list_(pa.binary()))})
 
