@@ -1,7 +1,7 @@
 """Personal data, and the terms that give it away.
 
 Base kinds are found by patterns and checks. Beyond them, corpus co-occurrence tells how
-much a term near a protected value discloses of it: with counts of documents, the
+much a term anywhere in the document of a protected value discloses of it: with counts of documents, the
 pointwise mutual information of term and value over the information of the value,
 
     ln(N * n(value, term) / (n(value) * n(term))) / ln(N / n(value)),
@@ -36,8 +36,6 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for at all; the first is a plain search.
 NEEDS = {"email": ("@", None), "ip": (".", r"[0-9]\.[0-9]+\.[0-9]"), "card": ("", r"[0-9](?:[\x20-]?[0-9]){13}"), "phone": ("+", r"\+[0-9]")}
 WORD = r"[\p{L}\p{N}]{3,}+"
-#: Characters on either side of a value in which terms are taken to bear on it.
-REACH = 64
 GENERALISE, REMOVE = 0.75, 0.95
 #: Documents in which a value and a term must be found together.
 SUPPORT = 2
@@ -110,33 +108,40 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def surroundings(text: Column, span: Column) -> Column:
-    """The text within REACH characters of the span on either side, whole words only."""
-    before = F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH)))
-    before = F.when(span["start"] > REACH, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    after = F.when(F.length(text) > span["end"] + REACH, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-    return F.concat(before, F.lit(" \n "), after)
+def terms_of(text: Column, base: Column) -> Column:
+    """The distinct words of the text outside its base spans, which are protected already."""
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece, F.lit(" ")).alias("out"))
+
+    rest = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0)))
 
 
 def prepared(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """doc_id, tag, base, text (null where no base span is, unless kept), entities, pairs; the first four are written out."""
+    """doc_id, tag, base, text (null where no base span is, unless kept), entities; the first four are written out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("base", base_spans(F.col("text")))
     rows = cut(rows.select("doc_id", "base", F.when(F.lit(keep_text) | (F.size("base") > 0), F.col("text")).alias("text")).withColumn("tag", F.monotonically_increasing_id()))
-    around = F.transform("base", lambda s: F.struct(entity_of(s).alias("entity"), F.lower(surroundings(F.col("text"), s)).alias("near")))
-    # words of other values nearby are protected already
-    near = lambda a: F.regexp_replace(a["near"], r"\S*@\S*|\+?[0-9][0-9 ().-]{6,}", " ")
-    pairs = F.flatten(F.transform("around", lambda a: F.transform(F.regexp_extract_all(near(a), F.lit(WORD), F.lit(0)), lambda w: F.struct(a["entity"].alias("entity"), w.alias("term")))))
-    return rows.withColumn("around", F.when(F.size("base") > 0, around)).withColumn("entities", F.array_distinct(F.transform("around", lambda a: a["entity"]))).withColumn("pairs", F.array_distinct(pairs)).drop("around")
+    return rows.withColumn("entities", F.array_distinct(F.transform("base", entity_of)))
+
+
+def pairs_of(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """_tag, _e, _t: each row's pairs of an entity, if among entities, and a distinct term of the whole text."""
+    held = rows.filter(F.size("base") > 0)
+    own = held.select(F.col("tag").alias("_tag"), F.explode("entities").alias("entity")).join(entities, "entity", "left_semi").groupBy("_tag").agg(F.collect_list("entity").alias("_own"))
+    met = held.select("tag", "text", "base").join(own, F.col("tag") == F.col("_tag"))
+    return met.select("_tag", "_own", F.explode(terms_of(F.col("text"), F.col("base"))).alias("_t")).select("_tag", F.explode("_own").alias("_e"), "_t")
 
 
 def disclosing_terms(docs: DataFrame, rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """entity, term, disclosure, removed of the pairs over the threshold; counts are of all documents."""
     n = rows.count()
-    held = rows.filter(F.size("base") > 0)
-    values = held.select(F.explode("entities").alias("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("n_c"))
-    together = held.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)))
+    # a value in fewer documents than support has no pair in as many, so none is lost
+    values = rows.select(F.explode("entities").alias("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
+    pairs = pairs_of(rows, values.select(F.col("_entity").alias("entity")))
+    together = pairs.groupBy(F.col("_e").alias("entity"), F.col("_t").alias("term")).agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
+    words = terms_of(text_of(), base_spans(text_of()))
     frequency = docs.select(F.explode(words).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("n_t"))
     joined = together.join(values, F.col("entity") == F.col("_entity")).join(frequency, F.col("term") == F.col("_term"))
     pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
@@ -150,14 +155,15 @@ def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float
     * base holds the spans of email, ip, card and phone, spans these and those of
       disclosing terms, each (start, rank, end, kind, value) by start, then kind; a kind's
       matches are leftmost and do not overlap, those that fail its check are dropped.
-    * Terms are words of three or more letters or digits, in any case; a term's spans
-      inside a base span are left to that.
+    * Terms are words of three or more letters or digits, in any case and at any distance
+      from the value; every one of a flagged term's places in every row that holds its
+      value is a span, save those inside a base span, which are left to that.
     * Null texts count as empty; repeated rows count as further documents; an empty
       table gives no rows; other columns play no part.
     """
     rows = prepared(docs, keep_text)
-    flagged = disclosing_terms(docs, rows, generalise, remove)
-    told = rows.select(F.explode("pairs").alias("p"), F.col("tag").alias("_tag")).select("_tag", F.col("p.entity").alias("_e"), F.col("p.term").alias("_t"))
+    flagged = cut(disclosing_terms(docs, rows, generalise, remove))
+    told = pairs_of(rows, flagged.select("entity"))
     own = told.join(flagged, (F.col("_e") == F.col("entity")) & (F.col("_t") == F.col("term"))).groupBy("_tag").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_removed"))
     joined = rows.select("doc_id", "tag", "base", "text").join(own, F.col("tag") == F.col("_tag"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))

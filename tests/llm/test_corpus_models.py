@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,28 @@ def test_terms_that_give_a_value_away(spark):
     assert "Quorbix" not in clean[0] and "q@corp.io" not in clean[0] and clean[10] == rows[3][1]
 
 
+def test_terms_disclose_at_any_distance(spark):
+    """Against all pairs of a value and a word of its document, counted by hand."""
+    fill = " ".join(f"word{i % 40}" for i in range(400))
+    rows = [(i, f"Quorbix {fill} q@corp.io {fill} code 77120045 {fill} Quorbix") for i in range(2)] + [(2, f"q@corp.io {fill} quorbix")]
+    rows += [(10 + i, f"{fill} code {fill}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    values = {i: set(re.findall(BASE["email"].replace("(", "(?:"), t)) for i, t in rows}
+    words = {i: set(re.findall(r"[^\W_]{3,}", re.sub(r"\S+@\S+", " ", t.lower()))) for i, t in rows}
+    n, want = len(rows), set()
+    for v in set().union(*values.values()):
+        for w in set().union(*words.values()):
+            n_v, n_w, both = (sum(x) for x in zip(*[(v in values[i], w in words[i], v in values[i] and w in words[i]) for i in values]))
+            if both >= 2 and np.log(n * both / (n_v * n_w)) / np.log(n / n_v) >= pii.GENERALISE:
+                want |= {(v, w)}
+    assert {w for _, w in want} == {"quorbix", "77120045"}
+    for r in pii.digests(docs).collect():
+        text = dict(rows)[r["doc_id"]]
+        told = {w for v, w in want if v in values[r["doc_id"]]}
+        places = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in told}
+        assert {s for s in r["spans"].split(",") if s.startswith("term:")} == places
+
+
 def auc(rows):
     ranked = sorted(rows)
     up = sum(label for _, label in ranked)
