@@ -3,8 +3,8 @@
 Rules decide the urls they fit. For the other urls the host decides: trust flows from
 hosts that the allow rules favour along host edges, distrust flows from hosts that
 the block rules hit along the reversed edges (who links to a bad host is suspect),
-both as personalised PageRank with a fixed number of rounds. A host is blocked when
-its distrust outweighs its trust.
+both as personalised PageRank, repeated until no host's score moves any more. A host is
+blocked when its distrust outweighs its trust.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from .common import cut
 
 #: (verdict, host and path) of the rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-ROUNDS = 8
 DAMPING = 0.85
+#: Rounds end when none changes a host's score by more than this share of it, so that
+#: hosts at any distance from the seeds are reached and settled.
+TOLERANCE = 1e-6
 #: Blocked when distrust is over this multiple of trust.
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,25 +60,34 @@ def links(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score) of a personalised PageRank for each kind of seed.
 
     edges: kind, src, dst, w with the weights of each src summing to 1. seeds: kind,
     host, share summing to 1 for each kind. One join and one sum with map-side
-    combining for each round; every fourth round is written out.
+    combining for each round; every fourth round is written out, and is the last if no
+    score changed in it by more than ``tolerance`` of itself. A number of rounds is for
+    comparisons alone.
     """
     base = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("score"))
     rank = seeds.select("kind", "host", F.col("share").alias("score"))
-    for k in range(rounds):
+    k, settled = 0, False
+    while k != rounds and not settled:
+        k += 1
         r = rank.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "score")
         moved = edges.join(r, (F.col("kind") == F.col("_k")) & (F.col("src") == F.col("_h"))).select("kind", F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
-        rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            rank = cut(rank)
+        given = moved.unionByName(base)
+        if k % 4:
+            rank = given.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            continue
+        before = rank.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        both = cut(given.withColumn("was", F.lit(0.0)).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
+        settled = both.filter(F.abs(F.col("score") - F.col("was")) > tolerance * F.col("score")).isEmpty()
+        rank = both.select("kind", "host", "score")
     return rank
 
 
-def host_scores(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(pages: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust; pages: host, rule_verdict, html."""
     edges = links(pages)
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -90,7 +101,7 @@ def host_scores(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
     return rank.groupBy("host").agg(side("trust"), side("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: float = RATIO, rounds: int | None = None) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, trust, distrust.
 
     * A null url or one without :// has empty host and path, fits no rule and, being

@@ -101,3 +101,29 @@ def test_exact_topk(spark, segment):
         best = sorted((-int(e[q] @ e[i]), i) for i in range(120) if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert set(got) == {0, 50, 100} and topk.exact_topk(v.limit(0)).count() == 0
+
+
+def test_verdicts_of_a_long_chain_are_those_of_the_limit(spark):
+    """Sixty hosts between an allowed and a blocked one, and sixty that alone lead to a blocked one."""
+    chain = [f"h{i}.zz" for i in range(60)]
+    alone = [f"k{i}.zz" for i in range(60)]
+    hosts = ["good.com", *chain, "bad.net", *alone, "worse.net"]
+    path = lambda h: "/es/" if h.endswith(".net") else "/"
+    follows = {h: hosts[i + 1] for i, h in enumerate(hosts[:-1]) if h != "bad.net"}
+    rows = [(i, f"http://{h}{path(h)}", f'<a href="http://{follows[h]}/">x</a>' if h in follows else "") for i, h in enumerate(hosts)]
+    n = len(hosts)
+    link = np.zeros((n, n))
+    for h, to in follows.items():
+        link[hosts.index(h), hosts.index(to)] = 1.0
+
+    def limit(w, seeds):
+        share = np.array([float(h in seeds) / len(seeds) for h in hosts])
+        return np.linalg.solve(np.eye(n) - url_filters.DAMPING * w.T, (1 - url_filters.DAMPING) * share)
+
+    trust, distrust = limit(link, ["good.com"]), limit(link.T, ["bad.net", "worse.net"])
+    got = {r["host"]: r for r in judged(spark, rows).collect()}
+    for i, h in enumerate(hosts):
+        assert got[h]["trust"] == pytest.approx(trust[i], rel=1e-4, abs=1e-300) and got[h]["distrust"] == pytest.approx(distrust[i], rel=1e-4, abs=1e-300)
+        if h in chain or h in alone:
+            assert got[h]["verdict"] == ("block" if distrust[i] > trust[i] else "allow"), h
+    assert {got[h]["verdict"] for h in chain} == {"allow", "block"} and {got[h]["verdict"] for h in alone} == {"block"}
