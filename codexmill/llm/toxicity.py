@@ -1,11 +1,12 @@
 """Toxicity by noisy-channel deobfuscation and a learned lexicon.
 
-A trigram model over letters is counted from all texts. Words that look disguised
-(digits or symbols among letters, letters spaced out or repeated) are restored by a
-Viterbi search: every written character offers the letters it may stand for, or being
-dropped, at a price, and the letter model weighs the readings. The restored text is
-scored by terms (whole words and word beginnings) that labelled documents show to be
-far more frequent in toxic ones.
+A trigram model over letters is counted from all texts. Passages that look disguised
+(digits or symbols among letters, letters spaced out or repeated, words broken by marks
+or blanks) are restored by a Viterbi search over a lattice: every written character
+offers the letters it may stand for, or being dropped, every gap offers to be dropped or
+to be a word's border, each at a price, and the letter model weighs the readings. The
+restored text is scored by terms (whole words and word beginnings) that labelled
+documents show to be far more frequent in toxic ones.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,25 +28,47 @@ from .common import text_of
 
 #: Labelled documents of either class that the lexicon is learned from, at most.
 PER_CLASS = 15_000
-#: Terms of the lexicon at most.
-TERMS = 20_000
-#: Toxic documents that a term must be found in.
-SUPPORT = 3
 THRESHOLD = 0.3
 
 #: Symbols of the letter model: 0 what is not a letter, a to z, the letters à to ÿ, one for all others.
 SYMBOLS, OTHER = 64, 63
 #: Letters that a character may stand for. Fixed values of a writing habit.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-SUBSTITUTED, DROPPED_REPEAT, DROPPED_MARK, KEPT_MARK = 0.7, 0.6, 0.8, 2.5
+SUBSTITUTED, DROPPED_REPEAT, DROPPED_MARK, DROPPED_SYMBOL, KEPT_MARK = 0.7, 0.6, 0.8, 2.0, 2.5
+#: A gap between spaced-out letters: dropped, or a word's border; wider gaps rather are borders.
+GAP_DROPPED, GAP_KEPT, WIDE_DROPPED, WIDE_KEPT = 0.0, 1.0, 2.0, 0.0
+#: A plain blank inside a word that was broken in two.
+JOINED = 3.0
 
-PROBE = re.compile(r"[^\W\d_][0-9@$!|+]+[^\W\d_]|(?<!\S)[0-9@$!|+]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+](?!\S)|([^\W\d_])\1\1|[^\W\d_][.\-_*][^\W\d_][.\-_*][^\W\d_]", re.I)
+PROBE = re.compile(r"[^\W\d_][0-9@$!|+]+[^\W\d_]|(?<!\S)[0-9@$!|+]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+](?!\S)|([^\W\d_])\1\1|[^\W\d_][.\-_*][^\W\d_]", re.I)
 SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]|[@$!|+])(?:[ \t.\-_*]+(?:[^\W_]|[@$!|+])(?![\w@$|+])){2,}")
+GAPS = re.compile(r"[ \t.\-_*]+")
 LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
-EDGES = re.compile(r"^[^\w@$!|+]+|(?:([^\w\s])\1{2,}|[^\w@$|+])+$")
+MARKS = re.compile(r"[^\w@$!|+]{2,}")
+#: Gaps in the lattice.
+NARROW, WIDE, BLANK = "\x00", "\x01", "\x02"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def bare(raw: str) -> str:
+    """The word without the marks around it, in one scan from either end.
+
+    Symbols that may stand for letters stay, but not an exclamation mark at the end, nor
+    a symbol written three times or more there.
+    """
+    a, b = 0, len(raw)
+    while a < b and not (raw[a].isalnum() or raw[a] in "_@$!|+"):
+        a += 1
+    while a < b and not raw[b - 1].isalnum() and raw[b - 1] != "_":
+        c, k = raw[b - 1], b - 1
+        while k > a and raw[k - 1] == c:
+            k -= 1
+        if c in "@$|+" and b - k < 3:
+            break
+        b = k
+    return raw[a:b]
+
+
 def symbol_table() -> np.ndarray:
     """The symbol of each code point below 0x250."""
     out = np.array([OTHER if chr(c).isalpha() else 0 for c in range(0x250)], dtype=np.int64)
@@ -87,37 +110,55 @@ class LetterModel:
 
 
 class Restorer:
-    """Readings of disguised words, remembered for the task."""
+    """Readings of disguised passages, remembered for the task."""
 
     def __init__(self, model: LetterModel, memo: int = 200_000):
         self.model, self.memo, self.limit = model, {}, memo
 
-    def word(self, raw: str) -> str:
+    def remembered(self, raw: str, read: Callable[[str], str]) -> str:
         found = self.memo.get(raw)
         if found is None:
             if len(self.memo) > self.limit:
                 self.memo.clear()
-            found = self.memo[raw] = self.decode(LONG_RUN.sub(r"\1\1\1", EDGES.sub("", raw.lower())))
+            found = self.memo[raw] = read(raw)
         return found
 
+    def word(self, raw: str) -> str:
+        """A word's reading; repeats count as three, a run of plain marks as one mark."""
+        return self.remembered(raw, lambda x: self.decode(MARKS.sub(".", LONG_RUN.sub(r"\1\1\1", bare(x.lower())))))
+
+    def spaced(self, raw: str) -> str:
+        """The reading of a run of single characters with gaps."""
+        return self.remembered(raw, lambda x: self.decode(GAPS.sub(lambda m: NARROW if len(m[0]) == 1 else WIDE, x.lower())))
+
+    def joined(self, words: str) -> bool:
+        """Whether two plain words (parted by BLANK) read better as one."""
+        return bool(self.remembered(words, lambda x: "" if " " in self.decode(x) else "joined"))
+
+    def options(self, raw: str, i: int) -> list[tuple[str, float]]:
+        """The readings of the i-th character and their prices."""
+        c = raw[i]
+        if c.isalpha():
+            return [(c, 0.0), ("", DROPPED_REPEAT)] if i and raw[i - 1] == c else [(c, 0.0)]
+        if c == NARROW:
+            return [("", GAP_DROPPED), (" ", GAP_KEPT)]
+        if c == WIDE:
+            return [("", WIDE_DROPPED), (" ", WIDE_KEPT)]
+        if c == BLANK:
+            return [("", JOINED), (" ", 0.0)]
+        letters = STANDS_FOR.get(c, "")
+        return [*((s, SUBSTITUTED) for s in letters), ("", DROPPED_SYMBOL if letters else DROPPED_MARK), (" ", KEPT_MARK)]
+
     def decode(self, raw: str) -> str:
         """The cheapest reading; linear in the length, with a bounded set of states."""
         cost, of = self.model.cost, self.model.symbol
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for i, c in enumerate(raw):
-            options: list[tuple[str, float]] = []
-            if c.isalpha():
-                options.append((c, 0.0))
-                if i and raw[i - 1] == c:
-                    options.append(("", DROPPED_REPEAT))
-            else:
-                options += [(s, SUBSTITUTED) for s in STANDS_FOR.get(c, "")]
-                options += [("", DROPPED_MARK), (" ", KEPT_MARK)]
+        for i in range(len(raw)):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (spent, path) in states.items():
-                for letter, price in options:
+            for letter, price in self.options(raw, i):
+                s = of(letter) if letter else -1
+                for (a, b), (spent, path) in states.items():
                     if letter:
-                        s = of(letter)
                         state, total, way = (b, s), spent + price + float(cost[a, b, s]), (path, letter)
                     else:
                         state, total, way = (a, b), spent + price, path
@@ -132,9 +173,9 @@ class Restorer:
         return "".join(reversed(letters))
 
     def text(self, text: str) -> str:
-        """The whole text with its disguised words restored."""
+        """The whole text with its disguised passages restored."""
         if SPACED.search(text):
-            text = SPACED.sub(lambda m: " " + self.word(re.sub(r"[ \t.\-_*]+", "", m[0])) + " ", text)
+            text = SPACED.sub(lambda m: f" {self.spaced(m[0])} ", text)
         if PROBE.search(text):
             text = " ".join([self.word(w) if PROBE.search(w) else w for w in text.split()])
         return text
@@ -184,17 +225,35 @@ def term_counts(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterato
 
 
 class Scorer:
-    """Scores of texts under a letter model and a lexicon."""
+    """Scores of texts under a letter model and a lexicon.
+
+    Words of the lexicon broken by one blank are found as such, and count where the
+    lattice of the two pieces reads better as one word. In a run of spaced-out letters
+    they count wherever they begin, since its words have no borders of their own.
+    """
 
     def __init__(self, model: np.ndarray, lexicon: dict[str, float], prior: float, unmatched: float):
         self.restorer, self.lexicon, self.prior, self.unmatched = Restorer(LetterModel(model)), lexicon, prior, unmatched
-        self.terms = ahocorasick.Automaton()
+        self.terms, self.inner = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for term, weight in lexicon.items():
+            word = term.strip()
+            if not term.endswith(" ") or len(word) < 4:
+                continue
+            self.inner.add_word(word, (term, weight))
+            for k in range(1, len(word)):
+                self.terms.add_word(f" {word[:k]} {word[k:]} ", (term, weight, f"{word[:k]}{BLANK}{word[k:]}"))
         for term, weight in lexicon.items():
-            self.terms.add_word(term, (term, weight))
+            self.terms.add_word(term, (term, weight, None))
         self.terms.make_automaton()
+        self.inner.make_automaton()
 
     def score(self, text: str) -> tuple[float, list[str]]:
-        hits = dict(hit for _, hit in self.terms.iter(plain(self.restorer.text(text)))) if self.lexicon else {}
+        hits: dict[str, float] = {}
+        for _, (term, weight, broken) in self.terms.iter(plain(self.restorer.text(text))) if self.lexicon else ():
+            if term not in hits and (broken is None or self.restorer.joined(broken)):
+                hits[term] = weight
+        for run in SPACED.finditer(text) if len(self.inner) else ():
+            hits.update(found for _, found in self.inner.iter(self.restorer.spaced(run[0]).replace(" ", "")))
         logit = self.prior + max(hits.values()) + 0.5 * math.log(len(hits)) if hits else self.unmatched
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), sorted(h.strip() for h in hits)
 
@@ -235,11 +294,13 @@ def sampled_labels(labels: DataFrame, name: str, usable: Column, per_class: int)
     return some[0].unionByName(some[1]), [sizes.get(k, 0) for k in (0, 1)]
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame, counts: np.ndarray, most: int = TERMS, support: int = SUPPORT) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, sample: DataFrame, counts: np.ndarray) -> dict[str, float]:
     """Terms with their log odds, from the sampled documents; near copies count once.
 
     A term counts where its excess in toxic documents could not come from trying as
-    many terms as there are: its likelihood ratio must exceed the log of their number.
+    many terms as there are: its likelihood ratio must exceed the log of their number,
+    which no term of a single document does. All terms that pass are kept; the sample's
+    documented size bounds them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     labelled = texts.join(F.broadcast(sample), "doc_id").mapInArrow(sketched, "doc_id long, label int, sketch long")
@@ -258,10 +319,10 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, counts: np.ndarray, most:
     q = (a + 0.25) / (a + b + 0.5)
     ratio = a * F.log(q / share) + b * F.log((1 - q) / (1 - share))
     odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
-    rows = found.select("term", ratio.alias("ratio"), odds.alias("odds")).filter((F.col("toxic") >= support) & (F.col("odds") > 1.0) & (F.col("ratio") > math.log(tried) + 1)).orderBy(F.col("ratio").desc(), "term").limit(most).collect()
+    rows = found.select("term", ratio.alias("ratio"), odds.alias("odds")).filter((F.col("odds") > 1.0) & (F.col("ratio") > math.log(tried) + 1)).collect()
     found.unpersist()
     once.unpersist()
-    return {r["term"]: float(r["odds"]) for r in rows}
+    return {r["term"]: float(r["odds"]) for r in sorted(rows)}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:

@@ -1,8 +1,11 @@
 """Personal data against the patterns; toxicity and quality on rows held out from learning."""
 
 import hashlib
+import itertools
+import math
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -119,3 +122,56 @@ def test_disguised_words_are_restored(spark):
     restorer = toxicity.Restorer(toxicity.LetterModel(toxicity.letter_model(texts)))
     assert toxicity.plain(restorer.text("a m0r0n and an 1d1ot")).split() == ["a", "moron", "and", "an", "idiot"]
     assert "stupid" in restorer.text("so s t u p i d indeed") and "stupid" in restorer.text("stuuuupid")
+    assert "stupid" in restorer.text("an s.t.u.p.i.d one") and "stupid" in restorer.text("a stu.pid one")
+
+
+LEXICON = {" stupid ": 5.0, " idiot ": 5.0, " moro": 5.0}
+
+
+@pytest.fixture(scope="module")
+def scorer(spark):
+    texts = spark.createDataFrame([("you are the moron who spoke to other morons about idiots, a stupid idiot said, and stupid things they did " * 20,)], "text string")
+    return toxicity.Scorer(toxicity.letter_model(texts), LEXICON, -2.0, -4.0)
+
+
+@pytest.mark.parametrize("text", ["a s t u p i d fool", "y o u i d i o t", "y o u   i d i o t", "an id iot", "he is stu.pid", "i s.t.u.p.i.d.", "what an 1d1ot!!", "m0r0ns", "stuuupid", "a st upid thing"])
+def test_spacing_is_part_of_the_lattice(scorer, text):
+    assert scorer.score(text)[1], text
+
+
+@pytest.mark.parametrize("text", ["", "the other things they spoke about", "did i o t", "a b c d e", "the pidgin of stu", "----", "a-b"])
+def test_clean_spellings_are_left_alone(scorer, text):
+    assert not scorer.score(text)[1], text
+
+
+@pytest.mark.parametrize("raw", ["1d1ot", "st-upid", "m0r0n", "stuup1d", "i\x00d\x00i\x00o\x00t", "y\x01ou", "id\x02iot", "@b", "a"])
+def test_decoding_is_the_best_of_all_readings(scorer, raw):
+    """The Viterbi search against every path through the lattice."""
+    model, restorer = scorer.restorer.model, scorer.restorer
+
+    def price(path):
+        a = b = 0
+        total = 0.0
+        for letter, spent in path:
+            total += spent
+            if letter:
+                s = model.symbol(letter)
+                total += float(model.cost[a, b, s])
+                a, b = b, s
+        return total + float(model.cost[a, b, 0])
+
+    best = min(map(price, itertools.product(*[restorer.options(raw, i) for i in range(len(raw))])))
+    found = restorer.decode(raw)
+    readings = [p for p in itertools.product(*[restorer.options(raw, i) for i in range(len(raw))]) if "".join(x for x, _ in p) == found]
+    assert math.isclose(min(map(price, readings)), best, rel_tol=1e-5)
+
+
+@pytest.mark.parametrize("word", ["a1b" + "-" * 100_000 + "c", "a1b" + ".," * 50_000 + "c", "a1" + "xyzw" * 25_000, "|" * 30 + "---" * 30_000 + "a" * 10, "a1b" + "!?" * 50_000, "a " * 50_000, "$" * 100_000])
+def test_long_odd_words_take_linear_time(scorer, word):
+    began = time.time()
+    scorer.score(word)
+    assert time.time() - began < 3
+
+
+def test_bare_words():
+    assert [toxicity.bare(w) for w in ("(word)", "w!!", "a$$$", "a$$", "---", "", "_a_", "!x!", "x...$$$..")] == ["word", "w", "a", "a$$", "", "", "_a_", "!x", "x"]
