@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,16 +18,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
     A lost executor then costs a re-read, not the lineage. The folder is the
-    session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a folder of our own is made.
+    session's ``spark.checkpoint.dir``; only where that is unset and all of Spark runs in
+    one local process is a folder of our own made, else that is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codexmill-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codexmill-"))
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of an aggregate dealt anew, for a join on the aggregate's key.
+
+    An aggregate is already dealt by its key, so a join would read it as it lies, and
+    Spark could not split the other side's rows of a hot key. With an exchange of its
+    own on either side it can: skew handling cuts the hot part and repeats these rows.
+    """
+    return df.hint("rebalance")
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -44,9 +57,12 @@ def text_hash() -> Column:
 def take(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of docs, with its columns, as often as ``decided`` (doc_id, text_hash, n) says in sum.
 
-    Rows that repeat both doc_id and text are one here: their decisions add up.
+    Rows that repeat both doc_id and text are one here: their decisions add up. Where
+    they differ in other columns, the one with the smallest hash over all columns stays.
     """
     sums = decided.filter(F.col("n") > 0).groupBy(F.col("doc_id").alias("_cm_id"), F.col("text_hash").alias("_cm_hash")).agg(F.sum("n").cast("int").alias("_cm_n"))
-    own = docs.withColumn("_cm_own", text_hash())
-    met = own.join(sums, F.col("doc_id").cast("long").eqNullSafe(F.col("_cm_id")) & (F.col("_cm_own") == F.col("_cm_hash"))).dropDuplicates(["_cm_id", "_cm_own"])
-    return met.withColumn("_cm_k", F.explode(F.sequence(F.lit(1), F.col("_cm_n")))).select(*docs.columns)
+    own = docs.withColumn("_cm_own", text_hash()).withColumn("_cm_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    met = own.join(sums, F.col("doc_id").cast("long").eqNullSafe(F.col("_cm_id")) & (F.col("_cm_own") == F.col("_cm_hash")))
+    one = Window.partitionBy("_cm_id", "_cm_own").orderBy("_cm_row")
+    met = met.withColumn("_cm_rank", F.row_number().over(one)).filter(F.col("_cm_rank") == 1)
+    return met.withColumn("_cm_k", F.explode(F.sequence(F.lit(1), F.col("_cm_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

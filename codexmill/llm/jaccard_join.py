@@ -3,10 +3,14 @@
 MinHash banding: bands and rows follow from the target recall at the threshold. Each
 document is reduced to one hash per band; documents that share a band hash with the
 smallest document of that bucket are tied to it (a star, not all pairs), and the
-connected parts of these ties are the candidate families. Inside a family all pairs are
-verified on the full n-gram sets, in blocks: a family of n documents is dealt to
-n / FAMILY_BLOCK groups squared, each a bounded piece of work, and only sums and
-spanning ties leave it. Equal texts are one node throughout.
+connected parts of these ties are the candidate families. A family is verified on the
+full n-gram sets, which meet once, with the set of the family's representative (the text
+with the most bucket mates). From then on a text is its difference D to that set, which
+tells as much: the sets A and B differ in |D_A ^ D_B| grams. Two texts whose differences
+are both small enough, |D| <= |A| (1 - t) / (1 + t), are linked for certain, so these
+near ones are only counted. The far ones meet each other and the near ones in blocks of
+differences, each a bounded piece of work, and only sums and spanning ties leave it.
+Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -20,20 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, take, text_hash, text_of
+from .common import cut, dealt, take, text_hash, text_of
 from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MOST_HASHES = 96
-#: Documents of a block of a family; two blocks meet in one task.
-FAMILY_BLOCK = 128
+#: Documents and grams of a block of a family, about; two blocks meet in one task.
+FAMILY_BLOCK, BLOCK_GRAMS = 256, 1_000_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows per band that reach the recall at the threshold with at most ``most`` hashes."""
-    fits = []
+    """(bands, rows): the most rows per band that reach the recall at the threshold with at most ``most`` hashes.
+
+    Thresholds so low that ``most`` hashes don't reach the recall get bands of one row.
+    """
+    fits = [(math.ceil(math.log(1 - recall) / math.log1p(-threshold)) if threshold < recall else 1, 1)]
     for rows in range(1, most + 1):
         p = threshold**rows
         bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log1p(-p))
@@ -92,20 +99,33 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
 def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         grams = [shingles(t.as_py(), words).tobytes() for t in batch["_text"]]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("_key", "_family", "_blocks", "_block")), pa.array(grams, pa.binary())], ["_key", "_family", "_blocks", "_block", "_grams"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("_key", "_family", "_chief")), pa.array(grams, pa.binary())], ["_key", "_family", "_chief", "_grams"])
+
+
+def differences(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each text as the size of its set, its difference to the representative's, and whether it is near."""
+    for batch in batches:
+        sizes, out = [], []
+        for grams, base in zip(batch["_grams"], batch["_base"], strict=True):
+            own = np.frombuffer(grams.as_py(), dtype=np.uint64)
+            sizes.append(len(own))
+            out.append(np.setxor1d(own, np.frombuffer(base.as_py(), dtype=np.uint64), assume_unique=True))
+        near = [(1 + threshold) * len(d) <= (1 - threshold) * n for n, d in zip(sizes, out, strict=True)]
+        yield pa.RecordBatch.from_pydict({"_key": batch["_key"], "_family": batch["_family"], "_size": pa.array(sizes, pa.int64()), "_n_diff": pa.array([len(d) for d in out], pa.int64()), "_near": pa.array(near, pa.bool_()), "_diff": pa.array([d.tobytes() for d in out], pa.binary())})
+
 
+def similar_pairs(sizes: np.ndarray, parts: list[np.ndarray], n: int, threshold: float) -> np.ndarray:
+    """Matrix of the pairs (one of the first n texts, any text) with a Jaccard measure of the threshold or more.
 
-def similar_pairs(grams: list[np.ndarray], others: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs whose sets have a Jaccard measure of the threshold or more."""
-    everything = grams + (others or [])
-    sizes = np.array([len(g) for g in everything])
-    at = np.repeat(np.arange(len(everything)), sizes)
-    values, column, counts = np.unique(np.concatenate(everything), return_inverse=True, return_counts=True)
-    shared = counts[column] > 1
+    ``sizes`` are those of the full sets, ``parts`` the differences to one common set.
+    """
+    m, counts = len(parts), np.array([len(p) for p in parts])
+    at = np.repeat(np.arange(m), counts)
+    _, column, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
     at, column = at[shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     at, column = at[order], column[order]
-    n, m = len(grams), len(everything)
     common = np.zeros((n, m), dtype=np.float32)
     width = 4096
     edges = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + width, width))
@@ -114,9 +134,9 @@ def similar_pairs(grams: list[np.ndarray], others: list[np.ndarray] | None, thre
             dense = np.zeros((m, width), dtype=np.float32)
             dense[at[a:b], column[a:b] % width] = 1
             common += dense[:n] @ dense.T
-    union = sizes[:n, None] + sizes[None, :] - common
-    close = (common >= threshold * union - 1e-6) & (common > 0)
-    return close if others is not None else close[:, :n]
+    apart = counts[:n, None] + counts[None, :] - 2 * common.astype(np.float64)
+    both = (sizes[:n, None] + sizes[None, :]).astype(np.float64)
+    return (1 + threshold) * apart <= (1 - threshold) * both + 1e-6
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,31 +155,23 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def verify(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
-    """Links of each document within one pair of blocks, and a spanning tie for each."""
+    """Links between a block of far texts and another block, and a spanning tie for each text that has one."""
     table = table.sort_by("_key")
-    keys, block = np.array(table["_key"].to_pylist(), dtype=object), table["_block"].to_numpy()
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)  # rows that repeat a document
-    keys, block = keys[first], block[first]
-    grams = [np.frombuffer(g, dtype=np.uint64) for g, f in zip(table["_grams"].to_pylist(), first, strict=True) if f]
-    _, i, j = key
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(left) or not len(right):
-        close, pairs = None, (np.zeros(0, int), np.zeros(0, int))
-    elif i == j:
-        close = similar_pairs([grams[x] for x in left], None, threshold)
+    i, j = key[1], key[2]
+    block = table["_block"].to_numpy()
+    order = np.argsort(block != i, kind="stable")
+    keys = np.array(table["_key"].to_pylist(), dtype=object)[order]
+    parts = [np.frombuffer(x, dtype=np.uint64) for x in table["_diff"].to_pylist()]
+    n = int((block == i).sum())
+    close = similar_pairs(table["_size"].to_numpy()[order], [parts[x] for x in order], n, threshold)
+    if i == j:
         np.fill_diagonal(close, False)
-        pairs = np.nonzero(close)
     else:
-        close = similar_pairs([grams[x] for x in left], [grams[x] for x in right], threshold)[:, len(left) :]
-        pairs = np.nonzero(close)
-    links = np.zeros(len(keys), dtype=np.int64)
-    a, b = left[pairs[0]], right[pairs[1]]
-    links += np.bincount(a, minlength=len(keys))
-    if i != j:
-        links += np.bincount(b, minlength=len(keys))
-    root = forest(len(keys), a, b)
-    some = links > 0
-    return pa.table({"u": pa.array(keys[some], pa.string()), "v": pa.array(keys[root[some]], pa.string()), "n": links[some]})
+        close[:, :n] = False
+    a, b = np.nonzero(close)
+    links = np.bincount(a, minlength=len(keys)) + (np.bincount(b, minlength=len(keys)) if i != j else 0)
+    root, some = forest(len(keys), a, b), links > 0
+    return pa.table({"u": pa.array(keys[some], pa.string()), "v": pa.array(keys[root[some]], pa.string()), "n": pa.array(links[some], pa.int64())})
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = FAMILY_BLOCK) -> DataFrame:
@@ -180,40 +192,54 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("_key"), text_of().alias("_text"), text_hash().alias("text_hash"))
     base = source.mapInArrow(lambda b: signatures(b, words, bands, rows), "doc_id long, _key string, text_hash long, _bands array<long>")
     base = cut(base.withColumn("_tag", F.monotonically_increasing_id()))
-    texts = base.groupBy("_key", "_bands").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("copies"))
-
-    ties = cut(components(bucket_ties(texts)).select(F.col("node").alias("_key"), F.col("root").alias("_family")))
-    near = verified_links(source, texts, ties, words, threshold, block)
-    roots = near.select("_key", "_root", "n_links")
-
-    classes = texts.select("_key", "_rep", "copies").join(roots.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left").withColumn("_root", F.coalesce("_root", "_key"))
-    per_class = classes.groupBy("_root").agg(F.min("_rep").alias("class_id"), F.sum("copies").alias("class_size")).withColumnRenamed("_root", "_r")
-    told = classes.join(per_class, F.col("_root") == F.col("_r")).select(F.col("_key").alias("_k"), "_root", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    # one row of each class stays: the first with the class's doc_id, or, without doc_ids, the first
-    winners = base.groupBy("_key", "doc_id").agg(F.min("_tag").alias("_tag"))
-    keepers = winners.join(told, F.col("_key") == F.col("_k")).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("_root").alias("_w_root")).agg(F.min("_tag").alias("_w_tag"))
-    told = told.join(keepers, F.col("_root") == F.col("_w_root"))
-    return base.join(told, F.col("_key") == F.col("_k")).select("doc_id", "class_id", "n_links", "class_size", "copies", (F.col("_tag") == F.col("_w_tag")).alias("kept"), "text_hash")
-
-
-def bucket_ties(texts: DataFrame) -> DataFrame:
-    """Edges (u, v) of each text to the smallest text of each of its shared buckets."""
+    # the row that would stay: the first with the smallest doc_id, or, without doc_ids, the first
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag"))
+    texts = base.groupBy("_key").agg(F.min(first).alias("_first"), F.any_value("_bands").alias("_bands"), F.count(F.lit(1)).alias("copies"))
+
+    near = verified_links(source, texts, cut(families(texts)), words, threshold, block)
+    linked = near.join(texts.select(F.col("_key").alias("_k"), "_first", "copies"), F.col("_key") == F.col("_k"))
+    per_class = linked.groupBy("_root").agg(F.min("_first").alias("_best"), F.sum("copies").alias("class_size")).withColumnRenamed("_root", "_r")
+    linked = linked.join(dealt(per_class), F.col("_root") == F.col("_r")).select("_k", "_best", "class_size", "n_links")
+    told = texts.join(linked, F.col("_key") == F.col("_k"), "left").select(
+        F.col("_key").alias("_own"), F.coalesce("_best", "_first").alias("_best"), F.coalesce("class_size", "copies").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"
+    )
+    return base.join(dealt(told), F.col("_key") == F.col("_own")).select("doc_id", F.col("_best.id").alias("class_id"), "n_links", "class_size", "copies", (F.col("_tag") == F.col("_best.tag")).alias("kept"), "text_hash")
+
+
+def families(texts: DataFrame) -> DataFrame:
+    """_key, _family, _mates of every text that shares a bucket: its bucket mates, summed over bands."""
     hashes = texts.select("_key", F.explode("_bands").alias("_hash"))
-    least = hashes.groupBy("_hash").agg(F.min("_key").alias("v"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(F.col("_hash").alias("_h"), "v")
-    return hashes.join(least, F.col("_hash") == F.col("_h")).filter(F.col("_key") != F.col("v")).select(F.col("_key").alias("u"), "v")
+    least = hashes.groupBy("_hash").agg(F.min("_key").alias("v"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(F.col("_hash").alias("_h"), "v", "_n")
+    met = hashes.join(dealt(least), F.col("_hash") == F.col("_h"))
+    ties = cut(met.groupBy(F.col("_key").alias("u"), "v").agg(F.sum("_n").alias("_n")))
+    mates = ties.groupBy(F.col("u").alias("_key")).agg(F.sum("_n").alias("_mates"))
+    return mates.join(components(ties.select("u", "v")), F.col("_key") == F.col("node")).select("_key", F.col("root").alias("_family"), "_mates")
 
 
-def verified_links(source: DataFrame, texts: DataFrame, ties: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
+def verified_links(source: DataFrame, texts: DataFrame, members: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
     """_key, _root, n_links of every text that has a link."""
-    sizes = ties.groupBy("_family").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_family").alias("_f"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    placed = ties.join(sizes, F.col("_family") == F.col("_f")).select("_key", "_family", "_blocks", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int").alias("_block"))
-    placed = placed.withColumnRenamed("_key", "_k").join(texts.select("_key", "_rep"), F.col("_k") == F.col("_key")).select("_k", "_rep", "_family", "_blocks", "_block")
-    own = source.join(placed, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("_key") == F.col("_k"))).select("_key", "_family", "_blocks", "_block", "_text")
-    grams = own.mapInArrow(lambda b: sets(b, words), "_key string, _family string, _blocks int, _block int, _grams binary")
-    meets = grams.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    meets = meets.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
-    found = meets.groupBy("_family", "_i", "_j").applyInArrow(lambda key, t: verify(tuple(k.as_py() for k in key), t, threshold), "u string, v string, n long")
-    found = cut(found)
+    chiefs = members.groupBy(F.col("_family").alias("_f")).agg(F.max_by("_key", F.struct("_mates", "_key")).alias("_chief"))
+    placed = members.join(dealt(chiefs), F.col("_family") == F.col("_f")).select("_key", "_family", (F.col("_key") == F.col("_chief")).alias("_chief"))
+    placed = placed.withColumnRenamed("_key", "_k").join(texts.select("_key", F.col("_first.id").alias("_rep")), F.col("_k") == F.col("_key")).select("_k", "_rep", "_family", "_chief")
+    own = source.join(placed, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("_key") == F.col("_k"))).select("_key", "_family", "_chief", "_text").dropDuplicates(["_key"])
+    grams = cut(own.mapInArrow(lambda b: sets(b, words), "_key string, _family string, _chief boolean, _grams binary"))
+    bases = grams.filter("_chief").select(F.col("_family").alias("_f"), F.col("_grams").alias("_base"))
+    met = grams.join(bases, F.col("_family") == F.col("_f")).select("_key", "_family", "_grams", "_base")
+    apart = cut(met.mapInArrow(lambda b: differences(b, threshold), "_key string, _family string, _size long, _n_diff long, _near boolean, _diff binary"))
+
+    # near texts of a family are all linked with each other; far ones meet every text of it in blocks
+    count = lambda near, what: F.coalesce(F.sum(F.when(F.col("_near") == near, what)), F.lit(0))
+    blocks = lambda near: F.greatest(F.ceil(count(near, F.lit(1)) / block), F.ceil(count(near, F.col("_n_diff")) / BLOCK_GRAMS)).cast("int")
+    sizes = apart.groupBy(F.col("_family").alias("_f")).agg(count(True, F.lit(1)).alias("_n_near"), blocks(True).alias("_near_blocks"), blocks(False).alias("_far_blocks"), F.min(F.when(F.col("_near"), F.col("_key"))).alias("_first_near"))
+    told = apart.join(dealt(sizes), F.col("_family") == F.col("_f"))
+    certain = told.filter(F.col("_near") & (F.col("_n_near") > 1)).select(F.col("_key").alias("u"), F.col("_first_near").alias("v"), (F.col("_n_near") - 1).alias("n"))
+
+    spot = F.pmod(F.xxhash64("_key"), F.when(F.col("_near"), F.col("_near_blocks")).otherwise(F.col("_far_blocks"))).cast("int")
+    put = told.filter(F.col("_far_blocks") > 0).withColumn("_block", F.when(F.col("_near"), F.col("_far_blocks") + spot).otherwise(spot))
+    last = F.when(F.col("_near"), F.col("_far_blocks") - 1).otherwise(F.col("_far_blocks") + F.col("_near_blocks") - 1)
+    meets = put.withColumn("_other", F.explode(F.sequence(F.lit(0), last))).select("_key", "_family", "_size", "_diff", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+    checked = meets.groupBy("_family", "_i", "_j").applyInArrow(lambda key, t: verify(tuple(k.as_py() for k in key), t, threshold), "u string, v string, n long")
+    found = cut(certain.unionByName(checked))
     links = found.groupBy("u").agg(F.sum("n").alias("n_links"))
     roots = components(found.select("u", "v"))
     return links.join(roots, F.col("u") == F.col("node")).select(F.col("u").alias("_key"), F.col("root").alias("_root"), "n_links")

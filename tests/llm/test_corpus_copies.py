@@ -82,9 +82,7 @@ def test_jaccard_join(spark, near, block):
     for i, t in near:
         members[classes[t or ""]].append(i)
     for r in got:
-        if r["doc_id"] is None:
-            continue
-        t = text_of[r["doc_id"]]
+        t = text_of[r["doc_id"]] if r["doc_id"] is not None else near[3][1]
         own = members[classes[t]]
         assert (r["n_links"], r["class_size"], r["class_id"]) == (links[t], len(own), min(i for i in own if i is not None)), r
     assert sum(r["kept"] for r in got) == len(members)
@@ -93,6 +91,33 @@ def test_jaccard_join(spark, near, block):
 def test_banding_reaches_its_recall():
     bands, rows = jaccard_join.banding()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= jaccard_join.MOST_HASHES
+    for low in (0.01, 0.05, 0.3, 0.9999):
+        bands, rows = jaccard_join.banding(low)
+        assert 1 - (1 - low**rows) ** bands >= 0.998
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_a_large_family_of_near_copies(spark, block):
+    """Near ones that are only counted, and far ones in blocks, of one family; null doc_ids among them."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        copy = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 3, 9])):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        rows.append((i if i % 7 else None, " ".join(copy)))
+    links, classes = brute(rows)
+    got = jaccard_join.jaccard_join(frame(spark, rows), block=block).collect()
+    want = sorted((-1 if i is None else i, links[t], sum(classes[x] == classes[t] for _, x in rows)) for i, t in rows)
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_links"], x["class_size"]) for x in got) == want
+    assert len(set(links.values())) > 3 and sum(x["kept"] for x in got) == len(set(classes.values()))
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    rows = [(1, "a b", k, "g", "c", 5, "k", "h") for k in range(6)]
+    kept = {exact_dedup.distinct_documents(spark.createDataFrame(some, DDL)).collect()[0]["kept"] for some in (rows, rows[::-1])}
+    assert len(kept) == 1
 
 
 def test_no_rows(spark):
