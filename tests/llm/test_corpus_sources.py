@@ -86,6 +86,32 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def inclusion(sizes, want):
+    """p = min(1, r * size) with the rate that makes the words expected the words wanted."""
+    sizes, low, high = np.array(sizes, dtype=float), 0.0, 10.0
+    for _ in range(200):
+        r = (low + high) / 2
+        low, high = (r, high) if (sizes * np.minimum(1, r * sizes)).sum() < want else (low, r)
+    return np.minimum(1, r * sizes)
+
+
+def test_documents_are_drawn_by_their_words(spark):
+    """Among many documents of one size, the share drawn is the probability, computed anew here."""
+    sizes = {"a": [1, 2, 3, 5, 8, 40] * 400, "b": [4] * 300 + [20] * 300 + [2000], "c": [6, 7] * 4000}
+    rows = [(100_000 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = level_targets({s: sum(ns) for s, ns in sizes.items()})
+    got = {x["doc_id"]: x for x in mixing.mix_sources(docs).collect()}
+    for k, (s, ns) in enumerate(sizes.items()):
+        whole = int(want[s] // sum(ns))
+        p = inclusion(ns, want[s] - whole * sum(ns)) if want[s] - whole * sum(ns) > 1e-9 else np.zeros(len(ns))
+        for n in set(ns):
+            some = [i for i in range(len(ns)) if ns[i] == n]
+            assert all(got[100_000 * k + i]["p"] == pytest.approx(p[i], abs=1e-9) for i in some)
+            share = np.mean([got[100_000 * k + i]["copies"] - whole for i in some])
+            assert share == pytest.approx(p[some[0]], abs=0.01 + 4 * np.sqrt(p[some[0]] * (1 - p[some[0]]) / len(some))), (s, n)
+
+
 @pytest.mark.parametrize("segment", [16, 4096])
 def test_exact_topk(spark, segment):
     r = np.random.default_rng(6)
