@@ -118,15 +118,38 @@ def test_exact_topk(spark, segment):
     m = r.normal(size=(120, 8))
     m[50:60] = m[3]  # ties
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(200, None), (201, [1.0, None] + [0.0] * 6), (202, [float("nan")] * 8), (203, [float("inf")] * 8)]
-    v = spark.createDataFrame([(*x, 1, "s") for x in rows], "vec_id long, embedding array<double>, score int, part string")
+    rows += [(None, [9.0] * 8), (100, [0.5] * 3), (250, [])]  # no id; an id twice, shorter; nothing but zeros
+    v = spark.createDataFrame([(*x, 1, "s", 2) for x in rows], "vec_id long, embedding array<double>, score int, part string, home int")
     got = {}
-    for x in topk.exact_topk(v, segment=segment, block=8, batch=2).collect():
+    for x in topk.exact_topk(v, segment=segment, block=8, pivots=5).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    e = np.floor(m * 256).astype(int)
-    for q in (0, 50, 100):
-        best = sorted((-int(e[q] @ e[i]), i) for i in range(120) if i != q)[:5]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert set(got) == {0, 50, 100} and topk.exact_topk(v.limit(0)).count() == 0
+    e = np.floor(np.vstack([m, [0.5] * 3 + [0] * 5, [0] * 8]) * 256).astype(int)
+    ids = [*range(120), 100, 250]
+    want = {}
+    for q in (0, 50, 100, 120, 121):
+        best = sorted((-int(e[q] @ e[i]), ids[i]) for i in range(122) if i != q)[:5]
+        want.setdefault(ids[q], []).extend((k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    assert topk.exact_topk(v.limit(0)).count() == 0
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    v = spark.createDataFrame([(0, [1e8] * 700), (1, [1e8] * 700)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="range of a long"):
+        topk.exact_topk(v).collect()
+
+
+def test_bounds_prune_where_vectors_lie_in_groups():
+    """Most blocks are never scored on grouped vectors; the results stay those of brute force."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    m = np.floor(256 * (centres[np.repeat(np.arange(40), 32)] + r.normal(size=(1280, 16)) * 0.02)).astype(np.int64)
+    ids = np.arange(1280)
+    q, row, score, pruned = topk.best_of(m, ids, ids, m[::50], ids[::50], np.full(26, -np.inf), 5, 32)
+    for n, i in enumerate(ids[::50]):
+        best = sorted((-int(m[i] @ m[j]), j) for j in ids if j != i)[:5]
+        assert [(-s, j) for s, j in zip(score[q == n], row[q == n])] == best
+    assert pruned > 0.8
 
 
 def test_verdicts_of_a_long_chain_are_those_of_the_limit(spark):
