@@ -9,9 +9,12 @@ pointwise mutual information of term and value over the information of the value
 is 1 for a term that never occurs without the value and 0 for one that has no bearing on
 it. Terms from GENERALISE on are replaced by a general word, from REMOVE on they are
 removed, in the documents that hold the value. A pair seen in fewer than SUPPORT
-documents proves nothing: there, every rare word would seem to give the value away.
+documents proves nothing: there, every rare word would seem to give the value away. So a
+value that stands in one document only is protected by its own span (every base value is
+one, and ``sanitise`` replaces it), not through the words around it.
 
-All of it is column expressions, joins and counts with map-side combining.
+All of it is column expressions, joins and counts with map-side combining; positions in
+a text are running sums by doubling reach, so a text of n matches takes n log n steps.
 """
 
 from __future__ import annotations
@@ -66,23 +69,51 @@ def holds(kind: str, value: Column) -> Column:
     return (n >= 10) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of each place of an array, all values up to it combined; each step doubles how far back a place has looked."""
+    reach = lambda v: F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda d: d < F.size(v))
+    step = lambda acc, d: F.transform(acc, lambda v, i: F.when(i >= d, combine(v, F.get(acc, i - d))).otherwise(v))
+    return let(values, lambda v: F.aggregate(reach(v), v, step))
+
+
 def located(text: Column, pattern: Column, kind: str, rank: int) -> Column:
     """Spans of all matches, leftmost and non-overlapping, in code points, end exclusive.
 
     The pieces between the matches and the matches themselves, laid end to end, give
     every position.
     """
-    nothing = F.struct(F.lit(0).alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("spans"))
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("value"))
-        return F.when(x["found"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(F.coalesce(acc["spans"], empty), F.array(span)).alias("spans")))
+    def span(end: Column, found: Column) -> Column:
+        return F.struct((end - F.length(found)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), found.alias("value"))
 
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, m: F.struct(p.alias("piece"), m.alias("found")))
-    return F.coalesce(F.aggregate(pairs, nothing, step)["spans"], empty)
+    def spans(matches: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+        return F.zip_with(running(lengths, lambda a, b: a + b), matches, span)
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
+
+
+def replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with by(span, end of all earlier spans) for each span, which are in order; what overlaps goes once.
+
+    The text is cut as four bytes for each code point, where a place is found without counting.
+    """
+
+    def built(wide: Column, s: Column, ends: Column) -> Column:
+        piece = lambda at, n: F.decode(F.substring(wide, at * 4 + 1, F.greatest(n, F.lit(0)) * 4), "UTF-32")
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        parts = F.transform(s, lambda x, i: F.concat(piece(before(i), x["start"] - before(i)), by(x, before(i))))
+        last = F.get(ends, F.size(ends) - 1)
+        return F.concat(F.array_join(parts, ""), piece(last, F.octet_length(wide)))
+
+    ends_of = lambda s: running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    whole = let(F.encode(text, "UTF-32"), lambda wide: let(spans, lambda s: let(ends_of(s), lambda ends: built(wide, s, ends))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def passing(kind: str) -> Callable[[Column], Column]:
@@ -108,15 +139,14 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def terms_of(text: Column, base: Column) -> Column:
-    """The distinct words of the text outside its base spans, which are protected already."""
+def masked(text: Column, base: Column) -> Column:
+    """The text with its base spans blanked out, every other character in its place."""
+    return replaced(text, base, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0))))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece, F.lit(" ")).alias("out"))
 
-    rest = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0)))
+def terms_of(text: Column, base: Column) -> Column:
+    """The distinct words of the text outside its base spans, which are protected already."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(masked(text, base)), F.lit(WORD), F.lit(0)))
 
 
 def prepared(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -157,7 +187,8 @@ def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float
       matches are leftmost and do not overlap, those that fail its check are dropped.
     * Terms are words of three or more letters or digits, in any case and at any distance
       from the value; every one of a flagged term's places in every row that holds its
-      value is a span, save those inside a base span, which are left to that.
+      value is a span, save those inside a base span, which are left to that. Joint and
+      single counts are all of documents.
     * Null texts count as empty; repeated rows count as further documents; an empty
       table gives no rows; other columns play no part.
     """
@@ -167,8 +198,7 @@ def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float
     own = told.join(flagged, (F.col("_e") == F.col("entity")) & (F.col("_t") == F.col("term"))).groupBy("_tag").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_removed"))
     joined = rows.select("doc_id", "tag", "base", "text").join(own, F.col("tag") == F.col("_tag"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    outside = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    terms = F.when(F.col("_terms").isNotNull(), F.filter(located(F.col("text"), pattern, TERM, len(KINDS)), outside))
+    terms = F.when(F.col("_terms").isNotNull(), located(masked(F.col("text"), F.col("base")), pattern, TERM, len(KINDS)))
     spans = F.array_sort(F.concat("base", F.coalesce(terms, F.expr(f"cast(array() as array<{SPAN}>)"))))
     return joined.select("doc_id", "base", spans.alias("spans"), "text", F.coalesce("_removed", F.expr("cast(array() as array<string>)")).alias("removed"))
 
@@ -186,14 +216,12 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     """
     found = personal_data(docs, generalise, remove, keep_text=True)
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        label = F.when(F.array_contains("removed", F.lower(s["value"])) & (s["kind"] == TERM), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), label))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return found.withColumn("_done", done).select("doc_id", F.concat(F.col("_done.out"), F.substring("text", F.col("_done.at") + 1, F.length("text"))).alias("text"), "spans")
+    def label(s: Column, at: Column) -> Column:
+        gone = (s["start"] < at) | (s["kind"] == TERM) & F.array_contains("removed", F.lower(s["value"]))
+        return F.when(gone, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    return found.select("doc_id", replaced(F.col("text"), F.col("spans"), label).alias("text"), "spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:
