@@ -19,7 +19,9 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DAMPING = 0.85
 #: Rounds end when none changes a host's score by more than this share of it, so that
 #: hosts at any distance from the seeds are reached and settled.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
+#: Rounds between two checks, after which scores are written out.
+STRETCH = 8
 #: Blocked when distrust is over this multiple of trust.
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,7 +67,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
 
     edges: kind, src, dst, w with the weights of each src summing to 1. seeds: kind,
     host, share summing to 1 for each kind. One join and one sum with map-side
-    combining for each round; every fourth round is written out, and is the last if no
+    combining for each round; every eighth round is written out, and is the last if no
     score changed in it by more than ``tolerance`` of itself. A number of rounds is for
     comparisons alone.
     """
@@ -77,7 +79,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         r = rank.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "score")
         moved = edges.join(r, (F.col("kind") == F.col("_k")) & (F.col("src") == F.col("_h"))).select("kind", F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
         given = moved.unionByName(base)
-        if k % 4:
+        if k % STRETCH:
             rank = given.groupBy("kind", "host").agg(F.sum("score").alias("score"))
             continue
         before = rank.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
