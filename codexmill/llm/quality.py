@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors and a small numpy network.
 
-Every word falls by hash into one of BUCKETS buckets; a bucket has a fixed sparse random
-index vector, and its context vector is the sum of the index vectors found beside it,
-over all texts. A document is the mean and the spread of its words' context vectors. A
-network with one hidden layer reads these; its logits are divided by a temperature
-fitted on labelled rows that the weights were not.
+Every word has a sparse random index vector of its own, drawn from its hash. Words that
+make up at least SHARE of the corpus also have a context vector, the sum of the index
+vectors found beside them over all texts. SHARE bounds their number by 1 / SHARE at any
+size of the corpus; rarer words serve as contexts and are counted as rare. A document is
+the mean and the spread of its words' context vectors. A network with one hidden layer
+reads these; its logits are divided by a temperature fitted on labelled rows that the
+weights were not.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .toxicity import fold, sampled_labels
 
-BUCKETS, DIMS, WINDOW, NONZERO = 1 << 14, 32, 2, 2
-#: Buckets of one row of a task's partial sums.
+DIMS, WINDOW, NONZERO = 32, 2, 2
+#: Share of all words that a word with a vector of its own makes up at least; 1 / SHARE words at most do.
+SHARE = 4e-6
+#: Distinct words that a task counts before it hands on its counts.
+COUNTED = 500_000
+#: Words of one row of a task's partial sums.
 CHUNK = 1024
 #: Lanes that partial sums are added up in, level by level.
 LANES = (1024, 32, 1)
@@ -36,11 +42,10 @@ THRESHOLD = 0.3
 STRIDE = 2_000_000
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the nonzero components of each bucket's index vector."""
-    rng = np.random.default_rng(20)
-    positions = np.argsort(rng.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    return positions.astype(np.int64), rng.choice(np.array([-1, 1]), (BUCKETS, NONZERO))
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and signs of the nonzero components of each word's index vector, from the bits of its hash."""
+    bits = np.stack([(words >> np.uint64(24 * k)) & np.uint64(0xFFFFFF) for k in range(NONZERO)], axis=1).astype(np.int64)
+    return (bits >> 1) % DIMS, 1 - 2 * (bits & 1)
 
 
 def strides(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -55,29 +60,68 @@ def strides(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def buckets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all words in order, and how many each text has."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and how many each text has."""
     split = [t.split() for t in texts]
     words = np.array([w for ws in split for w in ws], dtype=object)
     hashed = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
-    return (hashed >> np.uint64(50)).astype(np.int64), np.array([len(ws) for ws in split])
+    return hashed, np.array([len(ws) for ws in split], dtype=np.int64)
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's sums of neighbouring index vectors, a row for each chunk of buckets."""
-    positions, signs = index_vectors()
-    total = np.zeros(BUCKETS * DIMS, dtype=np.int64)
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) by hash, summed within the task as far as memory goes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+
+    for batch in batches:
+        texts = batch["text"].to_pylist()
+        for a, b in strides(texts):
+            held.append(np.unique(words_of(texts[a:b])[0], return_counts=True))
+            if sum(len(w) for w, _ in held) > 2 * COUNTED:
+                held = [summed()]
+                if len(held[0][0]) > COUNTED:
+                    yield pa.RecordBatch.from_pydict({"word": held[0][0].view(np.int64), "n": held[0][1]})
+                    held = []
+    if held:
+        words, n = summed()
+        yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": n})
+
+
+def known_words(docs: DataFrame, share: float = SHARE) -> np.ndarray:
+    """The sorted hashes of the words that make up ``share`` of all words at least: 1 / share at most."""
+    counts = docs.select(text_of().alias("text")).mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter(F.col("n") >= share * total).select("word").collect()
+    counts.unpersist()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each word stands among the known ones; their number for the others."""
+    at = np.searchsorted(known, words)
+    return np.where(known[np.minimum(at, len(known) - 1)] == words, at, len(known)) if len(known) else np.zeros(len(words), dtype=np.int64)
+
+
+def contexts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """This task's sums of neighbouring index vectors, a row for each chunk of known words."""
+    n = -(-(len(known) + 1) // CHUNK) * CHUNK
+    total = np.zeros(n * DIMS, dtype=np.int64)
     for batch in batches:
         texts = batch["text"].to_pylist()
         for a, b in strides(texts):
-            at, lengths = buckets_of(texts[a:b])
+            words, lengths = words_of(texts[a:b])
+            at, (positions, signs) = places(words, known) * DIMS, index_vectors(words)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             for step in range(1, WINDOW + 1):
                 same = doc[step:] == doc[:-step]
-                left, right = at[:-step][same], at[step:][same]
-                for k in range(NONZERO):
-                    np.add.at(total, left * DIMS + positions[right, k], signs[right, k])
-                    np.add.at(total, right * DIMS + positions[left, k], signs[left, k])
+                for own, other in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
+                    row = at[own][same]
+                    for k in range(NONZERO):
+                        np.add.at(total, row + positions[other, k][same], signs[other, k][same])
+    total[len(known) * DIMS :] = 0
     rows = total.reshape(-1, CHUNK * DIMS)
     some = [k for k in range(len(rows)) if rows[k].any()]
     lane = TaskContext.get().partitionId()
@@ -91,39 +135,41 @@ def added(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"].slice(0, 1), "lane": table["lane"].slice(0, 1), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIMS unit vectors learned from all texts.
+def word_vectors(docs: DataFrame, known: np.ndarray) -> np.ndarray:
+    """A unit vector for each known word, learned from all texts.
 
     Partial sums, each of a fixed size, meet in levels of fewer and fewer lanes, so no
     task adds up more than a small share of them.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(known)
     texts = docs.select(text_of().alias("text"))
-    parts = texts.mapInArrow(contexts, "chunk int, lane int, sums binary")
+    parts = texts.mapInArrow(lambda b: contexts(b, sent.value), "chunk int, lane int, sums binary")
     for lanes in LANES:
         parts = parts.withColumn("lane", F.col("lane") % lanes).groupBy("chunk", "lane").applyInArrow(added, "chunk int, lane int, sums binary")
-    total = np.zeros((BUCKETS // CHUNK, CHUNK * DIMS))
-    for row in parts.select("chunk", "sums").collect():
-        total[row["chunk"]] = np.frombuffer(zlib.decompress(row["sums"]), dtype=np.int64)
-    vectors = total.reshape(BUCKETS, DIMS)
-    vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
+    vectors = np.zeros((-(-(len(known) + 1) // CHUNK) * CHUNK, DIMS), dtype=np.float32)
+    for row in parts.select("chunk", "sums").toLocalIterator():
+        own = np.frombuffer(zlib.decompress(row["sums"]), dtype=np.int64).reshape(CHUNK, DIMS)
+        vectors[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.sign(own) * np.log1p(np.abs(own))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return vectors.astype(np.float32)
+    return vectors[: len(known) + 1].astype(np.float16)
 
 
-def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and length of mean of the word vectors, and the log of the word count."""
-    out = np.zeros((len(texts), 2 * DIMS + 2), dtype=np.float32)
+def pooled(texts: list[str], known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean, spread and length of mean of the known words' vectors, the log of the word count, the share of rare words."""
+    out = np.zeros((len(texts), 2 * DIMS + 3), dtype=np.float32)
     for a, b in strides(texts):
-        at, lengths = buckets_of(texts[a:b])
-        if not len(at):
+        words, lengths = words_of(texts[a:b])
+        if not len(words):
             continue
         some = np.flatnonzero(lengths)
         starts = (np.cumsum(lengths) - lengths)[some]
         n = lengths[some, None].astype(np.float32)
-        own = vectors[at]
-        mean = np.add.reduceat(own, starts) / n
-        square = np.add.reduceat(own * own, starts) / n
-        out[a + some] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.linalg.norm(mean, axis=1, keepdims=True), np.log1p(n)])
+        at = places(words, known)
+        rare = np.add.reduceat((at == len(known)).astype(np.float32), starts)[:, None]
+        own, held = vectors[at].astype(np.float32), np.maximum(n - rare, 1)
+        mean = np.add.reduceat(own, starts) / held
+        square = np.add.reduceat(own * own, starts) / held
+        out[a + some] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.linalg.norm(mean, axis=1, keepdims=True), np.log1p(n), rare / n])
     return out
 
 
@@ -183,13 +229,14 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
       no rows; other columns play no part.
     """
     spark = docs.sparkSession
-    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+    known = known_words(docs)
+    model = spark.sparkContext.broadcast((known, word_vectors(docs, known)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sample, sizes = sampled_labels(labels, "quality", fold(F.col("doc_id"), folds) != held_out, per_class)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "label": b["label"], "x": [x.tobytes() for x in pooled(b["text"].to_pylist(), vectors.value)]})
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "label": b["label"], "x": [x.tobytes() for x in pooled(b["text"].to_pylist(), *model.value)]})
 
     rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(features, "doc_id long, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * per_class).collect()
     network = None
@@ -203,7 +250,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = network.score(pooled(b["text"].to_pylist(), vectors.value).astype(float)) if network else np.full(b.num_rows, fallback)
+            found = network.score(pooled(b["text"].to_pylist(), *model.value).astype(float)) if network else np.full(b.num_rows, fallback)
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": pa.array(found, pa.float64())})
 
     out = texts.mapInArrow(scores, "doc_id long, score double")

@@ -81,6 +81,26 @@ def test_terms_disclose_at_any_distance(spark):
         assert {s for s in r["spans"].split(",") if s.startswith("term:")} == places
 
 
+def test_many_matches_and_overlaps(spark):
+    """Thousands of spans in one text in well under quadratic time, and a text rebuilt around overlapping spans."""
+    many = " ".join(f"é u{i}@x{i}.org 10.0.{i % 300}.{i % 250} wort{i % 50}" for i in range(4_000))
+    rows = [(1, many), (2, many + " tail"), (3, "1.1.1.1@2.2.2.2 then +4111 1111 1111 1111 end 😀"), (4, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digests(docs).collect()}
+    assert time.time() - began < 60
+    for i, t in rows:
+        assert got[i]["base_sha256"] == hashlib.sha256(base(t).encode()).hexdigest()
+    done = {r["doc_id"]: (r["text"], r["spans"]) for r in pii.sanitise(docs.filter("doc_id > 2")).collect()}
+    assert done[4][0] == "nothing"
+    text, at, out = rows[2][1], 0, ""
+    for s in sorted(done[3][1], key=lambda s: (s["start"], s["rank"])):
+        out += text[at : max(at, s["start"])] + (f"[{s['kind'].upper()}]" if s["start"] >= at else "")
+        at = max(at, s["end"])
+    assert done[3][0] == out + text[at:]
+
+
 def auc(rows):
     ranked = sorted(rows)
     up = sum(label for _, label in ranked)
@@ -175,3 +195,44 @@ def test_long_odd_words_take_linear_time(scorer, word):
 
 def test_bare_words():
     assert [toxicity.bare(w) for w in ("(word)", "w!!", "a$$$", "a$$", "---", "", "_a_", "!x!", "x...$$$..")] == ["word", "w", "a", "a$$", "", "", "_a_", "!x", "x"]
+
+
+def test_every_known_word_has_its_own_vector(spark):
+    """Counts, context sums and pooled features against a plain restatement."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(5)
+    hashed = {w: int(quality.words_of([w])[0][0]) for t in texts for w in t.split()}
+    assert len(set(hashed.values())) == len(hashed)
+    counts = {w: sum(t.split().count(w) for t in texts) for w in hashed}
+    total = sum(counts.values())
+    known = quality.known_words(docs, share=20 / total)
+    assert set(map(int, known)) == {h for w, h in hashed.items() if counts[w] >= 20}
+    sums = {w: np.zeros(quality.DIMS) for w in hashed}
+    for t in texts:
+        ws = t.split()
+        for i, w in enumerate(ws):
+            for j in range(max(0, i - quality.WINDOW), min(len(ws), i + quality.WINDOW + 1)):
+                if i != j:
+                    at, sign = quality.index_vectors(np.array([hashed[ws[j]]], dtype=np.uint64))
+                    np.add.at(sums[w], at[0], sign[0])
+    vectors = quality.word_vectors(docs, known)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    for w, h in hashed.items():
+        if counts[w] >= 20:
+            assert vectors[np.searchsorted(known, np.uint64(h))] == pytest.approx(unit(np.sign(sums[w]) * np.log1p(np.abs(sums[w]))), abs=2e-3)
+    some = texts[:5]
+    for t, x in zip(some, quality.pooled(some, known, vectors), strict=True):
+        own = [vectors[np.searchsorted(known, np.uint64(hashed[w]))].astype(float) for w in t.split() if counts[w] >= 20]
+        if own:
+            assert x[: quality.DIMS] == pytest.approx(np.mean(own, axis=0), abs=1e-3) and x[-1] == pytest.approx(1 - len(own) / len(t.split()), abs=1e-5)
+
+
+def test_temperature_calibrates():
+    """Stretched logits are brought back: the log loss on rows not fitted is least at the temperature found."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 4))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    net = quality.Network(x, y, epochs=20)
+    loss = lambda t: np.logaddexp(0, -(2 * y - 1) * net.logits(x) / t).mean()
+    assert loss(net.temperature) <= min(loss(net.temperature * f) for f in (0.6, 1.7)) and abs(net.score(x).mean() - y.mean()) < 0.05
