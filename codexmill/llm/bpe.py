@@ -2,12 +2,7 @@
 
 Texts are split into words (the pieces that merges never cross) inside Spark's tasks.
 The distinct words of the corpus meet in one table, where each is encoded once; ids are
-joined back by position, and with their pieces for decoding. ``digests`` and
-``round_trip`` do so with packed places (see ``by_word_table``).
-
-``encode`` and ``decode`` keep a table of distinct words per task, dropped and begun anew
-when it holds ``TABLE_WORDS`` words, so memory is bounded. ``encode_joined`` and
-``decode_joined`` send every word position through two shuffles. All give the same rows.
+joined back by position. Decoding joins ids with their pieces.
 """
 
 from __future__ import annotations
@@ -31,7 +26,6 @@ from .common import cut, shuffle_width, text_of
 
 #: The published word pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_WORDS = 150_000
 #: Word places of a chunk, of which a text is never parted.
 CHUNK_WORDS = 4_000_000
 #: Compression of what is shuffled.
@@ -62,7 +56,7 @@ class Splitter:
 class Codec:
     """Words to ids and ids to text for one tokenizer file's content."""
 
-    def __init__(self, spec: str, table_words: int = TABLE_WORDS):
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
@@ -70,30 +64,16 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
         self.words = Splitter(self.added).words
         self.table: dict[str, bytes] = {}
-        self.table_words = table_words
         self.pieces = id_pieces(self.tokenizer, self.added)
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that the table lacks, each once."""
         new = [w for w in words if w not in self.table]
-        if len(self.table) + len(new) > self.table_words and self.table:
-            self.table.clear()
-            new = list(words)
         for a in range(0, len(new), ENCODED_WORDS):
             part = new[a : a + ENCODED_WORDS]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.table[word] = np.array(found.ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = self.words(text)
-        self.learn(set(words))
-        return b"".join(map(self.table.__getitem__, words))
-
-    def decode(self, ids: bytes) -> str:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
-
 
 def byte_of_letter() -> dict[str, int]:
     """The letters that stand for bytes in byte-level pieces: printable ones for themselves, the others from 256 on."""
@@ -116,15 +96,6 @@ def spec_of(path: str) -> str:
         return f.read()
 
 
-def encoded(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple[Codec, list, list[bytes]]]:
-    """The codec, doc_ids and ids of a few hundred rows at a time."""
-    codec = Codec(spec)
-    for batch in batches:
-        for at in range(0, batch.num_rows, OUT_ROWS):
-            some = batch.slice(at, OUT_ROWS)
-            yield codec, some["doc_id"].to_pylist(), [codec.encode(t.as_py()) for t in some["text"]]
-
-
 def sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
@@ -141,34 +112,6 @@ def thin(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int), one row per input row.
-
-    Null and empty texts have no ids; repeated rows are encoded each; an empty table
-    gives no rows; other columns play no part.
-    """
-    spec = spec_of(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc_ids, ids in encoded(batches, spec):
-            yield pa.RecordBatch.from_pydict(thin_rows(doc_ids, ids) | {"ids": lists(ids)})
-
-    return thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
-
-
-def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id, text from doc_id, ids; null ids give an empty text."""
-    spec = spec_of(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec)
-        for b in batches:
-            back = [codec.decode(np.array(x or [], dtype="<u4").tobytes()) for x in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "text": pa.array(back, pa.string())})
-
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
-
-
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, compressed: the upper bytes, then the low bytes grouped by what stands above them."""
     high = (numbers >> 8).astype("<u4")
@@ -274,8 +217,7 @@ def by_word_table(docs: DataFrame, path: str, with_ids: bool, chunk_words: int =
 
     Tasks split texts into words and keep them as chunks: places, and the distinct words
     that these number. A bucket of the table, by hash of the word, gets each chunk's words
-    of that bucket as one packed list; there each distinct word is encoded once (again only
-    when a task's table of ``TABLE_WORDS`` words is full). The ids go back to the chunks,
+    of that bucket as one packed list; there each distinct word is encoded once. The ids go back to the chunks,
     are joined with the places by number and with the pieces by id. So what is shuffled is
     the packed places once and each chunk's packed distinct words, not a row for each word.
     """
@@ -307,50 +249,31 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return by_word_table(docs, path, with_ids=True)
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, ids: the distinct words of the whole corpus, each encoded once."""
-    spec = spec_of(path)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = Codec(spec), set()
-        for b in batches:
-            new = set().union(*map(codec.words, b["text"].to_pylist())) - seen
-            seen = new if len(seen) > codec.table_words else seen | new
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(new), pa.string())})
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec)
-        for b in batches:
-            words = b["word"].to_pylist()
-            ids = [np.frombuffer(codec.encode(w), dtype="<u4").astype(np.int32) for w in words]
-            yield pa.RecordBatch.from_pydict({"word": b["word"], "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    return thin(docs).mapInArrow(split, "word string").distinct().mapInArrow(code, "word string, ids array<int>")
-
-
-def encode_joined(docs: DataFrame, path: str) -> DataFrame:
-    """What ``encode`` returns, by a join of every word position with ``word_table``."""
-    spec = spec_of(path)
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), one row per input row.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec)
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"_tag": b["_tag"], "words": pa.array([codec.words(t) for t in b["text"].to_pylist()], pa.list_(pa.string()))})
+    Null and empty texts have no ids; repeated rows are encoded each; an empty table
+    gives no rows; other columns play no part.
+    """
+    return round_trip(docs, path).drop("decoded_sha256")
 
-    rows = cut(thin(docs).withColumn("_tag", F.monotonically_increasing_id()))
-    at = rows.select("_tag", "text").mapInArrow(split, "_tag long, words array<string>").select("_tag", F.posexplode("words").alias("pos", "word"))
-    in_order = F.array_sort(F.collect_list(F.struct("pos", "ids")))
-    met = at.join(word_table(rows, path), "word").groupBy("_tag").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
-    ids = F.coalesce("ids", F.expr("cast(array() as array<int>)"))
-    return rows.drop("text").join(met, "_tag", "left").select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"))
 
+def decode(tokens: DataFrame, path: str) -> DataFrame:
+    """doc_id, text from doc_id, ids of whole texts, by a join of every id with its piece.
 
-def decode_joined(tokens: DataFrame, path: str) -> DataFrame:
-    """What ``decode`` returns for the ids of whole texts, by a join of every id with its piece."""
+    Null and empty ids give an empty text; ids that spell no whole character give the
+    replacement sign; ids outside the vocabulary give nothing.
+    """
     codec = Codec(spec_of(path))
-    pieces = tokens.sparkSession.createDataFrame([(i, bytes(piece).hex()) for i, piece in enumerate(codec.pieces)], "id int, piece string")
+    pieces = tokens.sparkSession.createDataFrame([(i, bytearray(piece)) for i, piece in enumerate(codec.pieces)], "id int, piece binary")  # as large as the vocabulary
     rows = cut(tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").withColumn("_tag", F.monotonically_increasing_id()))
     at = rows.select("_tag", F.posexplode("ids").alias("pos", "id"))
-    in_order = F.array_sort(F.collect_list(F.struct("pos", "piece")))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("piece"))))
     met = at.join(F.broadcast(pieces), "id").groupBy("_tag").agg(F.array_join(F.transform(in_order, lambda x: x["piece"]), "").alias("hex"))
-    return rows.drop("ids").join(met, "_tag", "left").select("doc_id", F.coalesce(F.unhex("hex").cast("string"), F.lit("")).alias("text"))
+    told = rows.drop("ids").join(met, "_tag", "left").select("doc_id", F.unhex("hex").alias("raw"))
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "text": pa.array([(x or b"").decode("utf-8", errors="replace") for x in b["raw"].to_pylist()], pa.string())})
+
+    return told.mapInArrow(spelled, "doc_id long, text string")

@@ -61,18 +61,6 @@ def test_only_empty_texts(spark, path):
     assert sorted(map(tuple, bpe.digests(rows, path).collect())) == [(1, 0, nothing, nothing), (2, 0, nothing, nothing)]
 
 
-def test_the_joined_form_agrees(spark, docs, path):
-    plain, joined = bpe.encode(docs, path), bpe.encode_joined(docs, path)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, joined.collect()))
-    assert sorted(map(str, bpe.decode(plain, path).collect())) == sorted(map(str, bpe.decode_joined(plain, path).collect()))
-
-
-def test_a_full_table_is_begun_anew(path):
-    codec, small = bpe.Codec(bpe.spec_of(path)), bpe.Codec(bpe.spec_of(path), table_words=3)
-    for t in TEXTS:
-        assert small.encode(t or "") == codec.encode(t or "") and len(small.table) <= max(3, len(set(codec.words(t or ""))))
-
-
 def test_no_rows(docs, path):
     assert bpe.digests(docs.limit(0), path).count() == 0 and token_counts.token_counts(docs.limit(0), [b"a"]).count() == 0
 
