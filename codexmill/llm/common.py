@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Share of the rows from which a key is hot.
+HOT_SHARE = 0.001
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read through Spark alone so that any store works."""
@@ -30,14 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """The rows of an aggregate dealt anew, for a join on the aggregate's key.
+def on_hot(rows: DataFrame, on: str, summary: DataFrame, key: str, size: str, total: int, share: float = HOT_SHARE) -> DataFrame:
+    """Inner join of rows with a summary of one row for each key, hot keys settled where their rows lie.
 
-    An aggregate is already dealt by its key, so a join would read it as it lies, and
-    Spark could not split the other side's rows of a hot key. With an exchange of its
-    own on either side it can: skew handling cuts the hot part and repeats these rows.
+    ``size`` is a key's number of rows and ``total`` that of all rows. Keys with at least
+    ``share`` of the rows, which are 1 / share at most at any size, are broadcast; only rows
+    of the other keys are shuffled, and no key among those is large.
     """
-    return df.hint("rebalance")
+    hot = F.broadcast(summary.filter(F.col(size) >= share * total).select(*[F.col(c).alias(f"_hot_{c}") for c in summary.columns]))
+    marked = rows.join(hot, F.col(on) == F.col(f"_hot_{key}"), "left")
+    settled = marked.filter(F.col(f"_hot_{key}").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in summary.columns])
+    return settled.unionByName(marked.filter(F.col(f"_hot_{key}").isNull()).select(*rows.columns).join(summary, F.col(on) == F.col(key)))
 
 
 def text_of(name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt
+from .common import cut, on_hot
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,16 +13,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and the small-star step, which keep components and end
     with every node tied to its smallest. Each step is a minimum with map-side
-    combining and a join whose rows at one hot centre Spark can split (see ``dealt``);
-    each round is written out, and the loop ends when a round changes no edge. Nodes are
-    strings; loops and repeated edges do no harm.
+    combining and a join that settles hot centres by a bounded broadcast; each round is
+    written out, and the loop ends when a round changes no edge. Nodes are strings; loops
+    and repeated edges do no harm.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct())
     state = fingerprint(now)
     for _ in range(rounds):
         if not state[0]:
             break
-        now = cut(small_star(large_star(now)))
+        now = cut(small_star(large_star(now, state[0]), state[0]))
         before, state = state, fingerprint(now)
         if before == state:
             break
@@ -36,15 +36,15 @@ def fingerprint(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Ties each node's larger neighbours to the smallest of the node and its neighbours."""
+def large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Ties each node's larger neighbours to the smallest of the node and its neighbours; total: edges, about."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    least = dealt(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("_x"), F.least("x", "m").alias("m")))
-    return both.filter(F.col("y") > F.col("x")).join(least, F.col("x") == F.col("_x")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("_n")).select(F.col("x").alias("_x"), F.least("x", "m").alias("m"), "_n")
+    return on_hot(both.filter(F.col("y") > F.col("x")), "x", least, "_x", "_n", 2 * total).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Ties each node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-    moved = edges.join(dealt(least), F.col("u") == F.col("_u")).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select(F.col("u").alias("_u"), "m", "_n")
+    moved = on_hot(edges, "u", least, "_u", "_n", total).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, take, text_hash, text_of
+from .common import cut, on_hot, take, text_hash, text_of
 from .components import components
 
 WORDS = 5
@@ -196,21 +196,22 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag"))
     texts = base.groupBy("_key").agg(F.min(first).alias("_first"), F.any_value("_bands").alias("_bands"), F.count(F.lit(1)).alias("copies"))
 
-    near = verified_links(source, texts, cut(families(texts)), words, threshold, block)
+    total = base.count()
+    near = verified_links(source, texts, cut(families(texts, bands * total)), words, threshold, block)
     linked = near.join(texts.select(F.col("_key").alias("_k"), "_first", "copies"), F.col("_key") == F.col("_k"))
-    per_class = linked.groupBy("_root").agg(F.min("_first").alias("_best"), F.sum("copies").alias("class_size")).withColumnRenamed("_root", "_r")
-    linked = linked.join(dealt(per_class), F.col("_root") == F.col("_r")).select("_k", "_best", "class_size", "n_links")
+    per_class = linked.groupBy("_root").agg(F.min("_first").alias("_best"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("_root", "_r")
+    linked = on_hot(linked, "_root", per_class, "_r", "_n", total).select("_k", "_best", "class_size", "n_links")
     told = texts.join(linked, F.col("_key") == F.col("_k"), "left").select(
         F.col("_key").alias("_own"), F.coalesce("_best", "_first").alias("_best"), F.coalesce("class_size", "copies").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"
     )
-    return base.join(dealt(told), F.col("_key") == F.col("_own")).select("doc_id", F.col("_best.id").alias("class_id"), "n_links", "class_size", "copies", (F.col("_tag") == F.col("_best.tag")).alias("kept"), "text_hash")
+    return on_hot(base.drop("_bands"), "_key", told, "_own", "copies", total).select("doc_id", F.col("_best.id").alias("class_id"), "n_links", "class_size", "copies", (F.col("_tag") == F.col("_best.tag")).alias("kept"), "text_hash")
 
 
-def families(texts: DataFrame) -> DataFrame:
-    """_key, _family, _mates of every text that shares a bucket: its bucket mates, summed over bands."""
+def families(texts: DataFrame, total: int) -> DataFrame:
+    """_key, _family, _mates of every text that shares a bucket: its bucket mates, summed over bands; total: band hashes, about."""
     hashes = texts.select("_key", F.explode("_bands").alias("_hash"))
     least = hashes.groupBy("_hash").agg(F.min("_key").alias("v"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(F.col("_hash").alias("_h"), "v", "_n")
-    met = hashes.join(dealt(least), F.col("_hash") == F.col("_h"))
+    met = on_hot(hashes, "_hash", least, "_h", "_n", total)
     ties = cut(met.groupBy(F.col("_key").alias("u"), "v").agg(F.sum("_n").alias("_n")))
     mates = ties.groupBy(F.col("u").alias("_key")).agg(F.sum("_n").alias("_mates"))
     return mates.join(components(ties.select("u", "v")), F.col("_key") == F.col("node")).select("_key", F.col("root").alias("_family"), "_mates")
@@ -218,8 +219,9 @@ def families(texts: DataFrame) -> DataFrame:
 
 def verified_links(source: DataFrame, texts: DataFrame, members: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
     """_key, _root, n_links of every text that has a link."""
-    chiefs = members.groupBy(F.col("_family").alias("_f")).agg(F.max_by("_key", F.struct("_mates", "_key")).alias("_chief"))
-    placed = members.join(dealt(chiefs), F.col("_family") == F.col("_f")).select("_key", "_family", (F.col("_key") == F.col("_chief")).alias("_chief"))
+    chiefs = members.groupBy(F.col("_family").alias("_f")).agg(F.max_by("_key", F.struct("_mates", "_key")).alias("_chief"), F.count(F.lit(1)).alias("_n"))
+    total = members.count()
+    placed = on_hot(members, "_family", chiefs, "_f", "_n", total).select("_key", "_family", (F.col("_key") == F.col("_chief")).alias("_chief"))
     placed = placed.withColumnRenamed("_key", "_k").join(texts.select("_key", F.col("_first.id").alias("_rep")), F.col("_k") == F.col("_key")).select("_k", "_rep", "_family", "_chief")
     own = source.join(placed, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("_key") == F.col("_k"))).select("_key", "_family", "_chief", "_text").dropDuplicates(["_key"])
     grams = cut(own.mapInArrow(lambda b: sets(b, words), "_key string, _family string, _chief boolean, _grams binary"))
@@ -230,15 +232,15 @@ def verified_links(source: DataFrame, texts: DataFrame, members: DataFrame, word
     # near texts of a family are all linked with each other; far ones meet every text of it in blocks
     count = lambda near, what: F.coalesce(F.sum(F.when(F.col("_near") == near, what)), F.lit(0))
     blocks = lambda near: F.greatest(F.ceil(count(near, F.lit(1)) / block), F.ceil(count(near, F.col("_n_diff")) / BLOCK_GRAMS)).cast("int")
-    sizes = apart.groupBy(F.col("_family").alias("_f")).agg(count(True, F.lit(1)).alias("_n_near"), blocks(True).alias("_near_blocks"), blocks(False).alias("_far_blocks"), F.min(F.when(F.col("_near"), F.col("_key"))).alias("_first_near"))
-    told = apart.join(dealt(sizes), F.col("_family") == F.col("_f"))
+    sizes = apart.groupBy(F.col("_family").alias("_f")).agg(F.count(F.lit(1)).alias("_n"), count(True, F.lit(1)).alias("_n_near"), blocks(True).alias("_near_blocks"), blocks(False).alias("_far_blocks"), F.min(F.when(F.col("_near"), F.col("_key"))).alias("_first_near"))
+    told = on_hot(apart, "_family", sizes, "_f", "_n", total)
     certain = told.filter(F.col("_near") & (F.col("_n_near") > 1)).select(F.col("_key").alias("u"), F.col("_first_near").alias("v"), (F.col("_n_near") - 1).alias("n"))
 
     spot = F.pmod(F.xxhash64("_key"), F.when(F.col("_near"), F.col("_near_blocks")).otherwise(F.col("_far_blocks"))).cast("int")
     put = told.filter(F.col("_far_blocks") > 0).withColumn("_block", F.when(F.col("_near"), F.col("_far_blocks") + spot).otherwise(spot))
     last = F.when(F.col("_near"), F.col("_far_blocks") - 1).otherwise(F.col("_far_blocks") + F.col("_near_blocks") - 1)
     meets = put.withColumn("_other", F.explode(F.sequence(F.lit(0), last))).select("_key", "_family", "_size", "_diff", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-    checked = meets.groupBy("_family", "_i", "_j").applyInArrow(lambda key, t: verify(tuple(k.as_py() for k in key), t, threshold), "u string, v string, n long")
+    checked = meets.repartition("_family", "_i", "_j").groupBy("_family", "_i", "_j").applyInArrow(lambda key, t: verify(tuple(k.as_py() for k in key), t, threshold), "u string, v string, n long")
     found = cut(certain.unionByName(checked))
     links = found.groupBy("u").agg(F.sum("n").alias("n_links"))
     roots = components(found.select("u", "v"))
