@@ -43,7 +43,7 @@ def on_hot(rows: DataFrame, on: str, summary: DataFrame, key: str, size: str, to
     hot = F.broadcast(summary.filter(F.col(size) >= share * total).select(*[F.col(c).alias(f"_hot_{c}") for c in summary.columns]))
     marked = rows.join(hot, F.col(on) == F.col(f"_hot_{key}"), "left")
     settled = marked.filter(F.col(f"_hot_{key}").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in summary.columns])
-    return settled.unionByName(marked.filter(F.col(f"_hot_{key}").isNull()).select(*rows.columns).join(summary, F.col(on) == F.col(key)))
+    return settled.unionByName(marked.filter(F.col(f"_hot_{key}").isNull()).select(*rows.columns).join(summary.filter(F.col(size) < share * total), F.col(on) == F.col(key)))
 
 
 def text_of(name: str = "text") -> Column:

@@ -14,26 +14,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates the large-star and the small-star step, which keep components and end
     with every node tied to its smallest. Each step is a minimum with map-side
     combining and a join that settles hot centres by a bounded broadcast; each round is
-    written out, and the loop ends when a round changes no edge. Nodes are strings; loops
-    and repeated edges do no harm.
+    written out, and the loop ends when only stars are left. Nodes are strings; loops and
+    repeated edges do no harm.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct())
-    state = fingerprint(now)
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")))
     for _ in range(rounds):
-        if not state[0]:
-            break
-        now = cut(small_star(large_star(now, state[0]), state[0]))
-        before, state = state, fingerprint(now)
-        if before == state:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        total, settled = state(now)
+        if settled:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now = cut(small_star(large_star(now, total), total))
+    raise RuntimeError("components did not settle")
 
 
-def fingerprint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+def state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether they are stars: each u has one edge, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per_node = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    row = per_node.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1), 1))).first()
+    return int(row[0]), row[1] == 0
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -47,4 +45,5 @@ def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Ties each node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select(F.col("u").alias("_u"), "m", "_n")
     moved = on_hot(edges, "u", least, "_u", "_n", total).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
+    own = least.filter(F.col("_n") > 0)  # the same columns as in the join, so that Spark sums them up once
+    return moved.unionByName(own.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
