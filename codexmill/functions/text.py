@@ -147,20 +147,32 @@ def extract_json(c: Column) -> Column:
 
 # image units, images and diagrams
 
-UNIT = r"(?is)<image-unit\b[^>]*>\s*.*?<image-description\b[^>]*>(.*?)</image-description>.*?</image-unit>"
+UNIT_OPEN, MEDIA = r"(?is)<image-unit\b[^>]*>", r"(?is)<image-media\b[^>]*>.*?</image-media>"
+SAID = r"(?is)<image-description\b[^>]*>(.*?)</image-description>"
 
 
 def strip_image_media(c: Column) -> Column:
-    """Image units become their descriptions; units without one, and media, go."""
-    said = F.regexp_replace(text_or(c), UNIT, "$1")
-    said = F.regexp_replace(said, r"(?is)<image-unit\b[^>]*>.*?</image-unit>", "")
-    return F.regexp_replace(said, r"(?is)<image-media\b[^>]*>.*?</image-media>", "")
+    """Image units become their descriptions, those without one what is in them beside media; media go everywhere.
+
+    The text is cut at the ends of units, so that no unit reaches into the next.
+    """
+    parts = F.split(text_or(c), r"(?i)</image-unit>", -1)
+
+    def unit(part: Column) -> Column:
+        pieces = F.split(part, UNIT_OPEN, 2)
+        body = F.get(pieces, F.lit(1))
+        said = F.when(body.rlike(SAID), strip(F.regexp_extract(body, SAID, 1))).otherwise(strip(F.regexp_replace(body, MEDIA, "")))
+        return F.when(body.isNull(), F.concat(part, F.lit("</image-unit>"))).otherwise(F.concat(F.get(pieces, F.lit(0)), said))
+
+    last = F.size(parts) - 1
+    done = F.transform(parts, lambda part, i: F.when(i < last, unit(part)).otherwise(part))
+    return F.regexp_replace(F.array_join(done, ""), MEDIA, "")
 
 
 def embed_safe(c: Column) -> Column:
     """Text for an embedder: descriptions unwrapped, inline image data replaced by a mark."""
     said = strip_image_media(c)
-    said = F.regexp_replace(said, r"(?i)data:image/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=\s]+", "[image omitted]")
+    said = F.regexp_replace(said, r"(?i)data:image/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+", "[image omitted]")
     return F.regexp_replace(said, r"(?is)</?image-description\b[^>]*>", "")
 
 

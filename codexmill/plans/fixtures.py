@@ -124,6 +124,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(old, new) pages of each source: documents with even and odd doc_id."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), F.sha2("text", 256).alias("hash"))
-    return d.filter(F.col("ord") % 2 == 0), d.filter(F.col("ord") % 2 == 1)
+    """(old, new) pages of each source: documents with even doc_id, and those with odd ones with some of the old kept or edited."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
+    hashed = lambda df: df.withColumn("hash", F.sha2("body", 256))
+    again = d.withColumn("id", F.concat(F.lit("n"), "id"))
+    edited = again.filter(F.col("ord") % 8 == 2).withColumn("body", F.concat("body", F.lit(" revised edition")))
+    return hashed(d.filter(F.col("ord") % 2 == 0)), hashed(d.filter(F.col("ord") % 2 == 1).unionByName(again.filter(F.col("ord") % 4 == 0)).unionByName(edited))

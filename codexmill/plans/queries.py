@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.functions import ids, text
-from codexmill.operators import cluster, graph, hybrid, jobs, knn, library, revise, search, store
+from codexmill.operators import cluster, graph, hybrid, jobs, knn, library, revise, search, store, views
 
 from . import fixtures as fx
 from . import sql as q
@@ -299,11 +299,10 @@ def mmr_order(spark, d):
     return hybrid.diversified(hybrid.relevance(hybrid.capped(hybrid.active_hits(hits, n)))).select("query_id", "position", "mmr", "node_id", "field")
 
 
-@query(f"""WITH ev AS (SELECT event_id % 20 AS query_id, 'n' || user_id % 40 AS node_id, event_type AS field, event_id AS rank FROM events WHERE event_id < 4000)
+@query(f"""WITH ev AS (SELECT event_id % 20 AS query_id, 'n' || user_id % 40 AS node_id, event_type AS field, event_id AS rank FROM events)
   SELECT query_id, node_id, array_to_string(list(field || '#' || rank ORDER BY rank, field), ' ') AS why FROM (SELECT query_id, node_id, field, min(rank) AS rank FROM ev GROUP BY ALL) GROUP BY ALL""")
 def evidence_why(spark, d):
-    e = fx.table(spark, d, "events").filter(F.col("event_id") < 4000)
-    hits = e.select((F.col("event_id") % 20).alias("query_id"), F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("node_id"), F.col("event_type").alias("field"), F.col("event_id").alias("rank"))
+    hits = fx.table(spark, d, "events").select((F.col("event_id") % 20).alias("query_id"), F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("node_id"), F.col("event_type").alias("field"), F.col("event_id").alias("rank"))
     return hybrid.why(hits).select("query_id", "node_id", F.array_join("why", " ").alias("why"))
 
 
@@ -426,13 +425,13 @@ def same_as_collapse(spark, d):
 # communities
 
 
-KEYWORDS_SQL = f"members AS (SELECT lang || (doc_id % 3) AS community, list_slice({q.tokens('text')}, 1, 12) AS kw FROM documents)"
+KEYWORDS_SQL = f"members AS (SELECT lang || (doc_id % 3) AS community, {q.tokens('text')} AS kw FROM documents)"
 
 
 @query(f"""WITH {KEYWORDS_SQL}, tf AS (SELECT community, w AS keyword, count(*) AS tf FROM (SELECT community, unnest(kw) AS w FROM members) GROUP BY ALL), df AS (SELECT keyword, count(*) AS df FROM tf GROUP BY keyword), n AS (SELECT count(DISTINCT community) AS n FROM members)
   SELECT community, rank, keyword, score FROM (SELECT community, keyword, round(tf * ln(1 + n / greatest(df, 1)), 6) AS score, row_number() OVER (PARTITION BY community ORDER BY round(tf * ln(1 + n / greatest(df, 1)), 6) DESC, keyword) AS rank FROM tf JOIN df USING (keyword) CROSS JOIN n) WHERE rank <= 8""")
 def tfidf_keywords(spark, d):
-    m = fx.table(spark, d, "documents").select(F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("community"), F.slice(text.tokens(F.col("text")), 1, 12).alias("keywords"))
+    m = fx.table(spark, d, "documents").select(F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("community"), text.tokens(F.col("text")).alias("keywords"))
     return cluster.tfidf_keywords(m)
 
 
@@ -479,7 +478,7 @@ def exact_match(spark, d):
     return revise.exact_matches(*fx.revisions(spark, d))
 
 
-MATCH_SQL = f"t AS (SELECT document, ord, id, unnest(list_distinct({q.tokens('body')})) AS tok FROM d), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM t), scored AS (SELECT a.document, a.id AS old_id, a.ord AS old_ord, b.id AS new_id, round(0.65 * count(*) / (a.n + b.n - count(*)), 6) AS score FROM c a JOIN c b ON a.document = b.document AND a.tok = b.tok WHERE a.ord % 2 = 0 AND b.ord % 2 = 1 GROUP BY a.document, a.id, a.ord, b.id, a.n, b.n)"
+MATCH_SQL = f"ot AS (SELECT document, ord, id, unnest(list_distinct({q.tokens('body')})) AS tok FROM old), nt AS (SELECT document, id, unnest(list_distinct({q.tokens('body')})) AS tok FROM new), oc AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ot), nc AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM nt), scored AS (SELECT a.document, a.id AS old_id, a.ord AS old_ord, b.id AS new_id, round(0.65 * count(*) / (a.n + b.n - count(*)), 6) AS score FROM oc a JOIN nc b ON a.document = b.document AND a.tok = b.tok GROUP BY a.document, a.id, a.ord, b.id, a.n, b.n)"
 
 
 @query(f"WITH {q.REVISIONS}, {MATCH_SQL} SELECT document, old_id, new_id, score FROM scored WHERE score >= 0.2")
@@ -494,9 +493,7 @@ def best_match(spark, d):
 
 @query()
 def revision_actions(spark, d):
-    old, new = fx.revisions(spark, d)
-    exact = revise.exact_matches(old, new)
-    return revise.actions(old, new, exact, revise.greedy_matches(revise.candidate_pairs(old, new)))
+    return revise.actions(*fx.revisions(spark, d))
 
 
 # the library
@@ -544,10 +541,10 @@ def cluster_extents(spark, d):
     return library.extents(fx.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("cluster"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")))
 
 
-@query("SELECT label, array_to_string(list(printf('%.5f', m + 0.0) ORDER BY i), ' ') AS means FROM (SELECT label, i, round(round(avg(embedding[i]::DOUBLE), 6), 5) AS m FROM embeddings, (SELECT unnest(range(1, 9)) AS i) GROUP BY label, i) GROUP BY label")
+@query("SELECT label, array_to_string(list(printf('%.6f', m + 0.0) ORDER BY i), ' ') AS means FROM (SELECT label, i, round(avg(embedding[i]::DOUBLE), 6) AS m FROM embeddings, (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM embeddings))) AS i) GROUP BY label, i) GROUP BY label")
 def mean_vectors(spark, d):
-    m = library.mean_vectors(fx.table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 8).alias("embedding")), "label")
-    return m.select("label", F.array_join(F.transform("embedding", lambda x: F.format_string("%.5f", F.round(x, 5))), " ").alias("means"))
+    m = library.mean_vectors(fx.table(spark, d, "embeddings").select("label", "embedding"), "label")
+    return m.select("label", F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", F.round(x, 6) + F.lit(0.0))), " ").alias("means"))
 
 
 @query(f"WITH {q.NODES} SELECT count(DISTINCT coalesce(nullif(cluster, ''), 'Misc')) > 0.4 * count(*) AS coarse FROM nodes")
@@ -583,9 +580,9 @@ def recluster_counter(spark, d):
     return jobs.fired(fx.table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query(f"WITH {q.LOG}, a AS (SELECT job_id AS task_id, seq AS attempt, value AS score, max(value) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log WHERE seq <= 10) SELECT task_id, attempt, score FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, attempt) AS r FROM a WHERE coalesce(before, -1) < 95) WHERE r = 1")
+@query(f"WITH {q.LOG}, a AS (SELECT job_id AS task_id, seq AS attempt, value AS score, max(value) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log) SELECT task_id, attempt, score FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, attempt) AS r FROM a WHERE coalesce(before, -1) < 95) WHERE r = 1")
 def best_attempt(spark, d):
-    log = fx.log(spark, d).filter(F.col("seq") <= 10).select(F.col("job_id").alias("task_id"), F.col("seq").alias("attempt"), F.col("value").alias("score"))
+    log = fx.log(spark, d).select(F.col("job_id").alias("task_id"), F.col("seq").alias("attempt"), F.col("value").alias("score"))
     return jobs.best_attempt(log)
 
 
@@ -593,3 +590,118 @@ def best_attempt(spark, d):
 def latest_wins(spark, d):
     e = fx.table(spark, d, "events")
     return e.groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", "event_id").alias("state"), F.max("event_id").alias("seq"))
+
+
+# views
+
+
+@query(f"""WITH {q.NODES}, refs AS (SELECT CASE WHEN seq % 3 = 0 THEN id WHEN seq % 3 = 1 THEN substr(id, 6) ELSE 'nobody ' || seq END AS ref FROM writes WHERE seq % 5 = 0)
+  SELECT ref, id FROM (SELECT ref, id, row_number() OVER (PARTITION BY ref ORDER BY t) AS r FROM (SELECT DISTINCT ref, n.id, 0 AS t FROM refs JOIN nodes n ON n.id = ref UNION ALL SELECT DISTINCT ref, n.id, 1 FROM refs JOIN nodes n ON n.id = 'node:' || ref)) WHERE r = 1""")
+def read_node(spark, d):
+    w = fx.writes(spark, d).filter(F.col("seq") % 5 == 0)
+    ref = F.when(F.col("seq") % 3 == 0, F.col("id")).when(F.col("seq") % 3 == 1, F.substring("id", 6, 1000)).otherwise(F.concat(F.lit("nobody "), F.col("seq").cast("string")))
+    return views.read_nodes(w.select(ref), fx.nodes(spark, d)).select("ref", "id")
+
+
+@query(f"""WITH {q.EDGES}, asked AS (SELECT DISTINCT 'q' || (seq % 7) AS query_id, id FROM writes WHERE seq % 9 = 0)
+  SELECT DISTINCT query_id, e.id, label FROM edges e JOIN asked a ON a.id = source_node_id OR a.id = target_node_id""")
+def query_by_id(spark, d):
+    hits = fx.writes(spark, d).filter(F.col("seq") % 9 == 0).select(F.concat(F.lit("q"), (F.col("seq") % 7).cast("string")).alias("query_id"), F.lit(1).alias("rank"), "id")
+    return views.query(" ID ", hits, fx.nodes(spark, d), fx.edges(spark, d))[1]
+
+
+@query(f"""WITH {q.NODES}, parts AS (SELECT id AS node_id, ordinal, chunk FROM ({q.chunk_sql(512, 80)})), fresh AS (SELECT DISTINCT id FROM writes WHERE seq % 6 = 0)
+  SELECT node_id, ordinal, sha256(chunk) AS h FROM parts WHERE node_id NOT IN (SELECT id FROM fresh) UNION ALL SELECT node_id, ordinal, sha256('new ' || chunk) FROM parts WHERE node_id IN (SELECT id FROM fresh) AND ordinal = 0""")
+def replace_items(spark, d):
+    small = fx.items(fx.nodes(spark, d)).filter(F.col("field") == "small_chunk").select("node_id", F.col("ordinal").cast("long").alias("ordinal"), "text")
+    fresh = store.by_ids(small.withColumnRenamed("node_id", "id"), fx.writes(spark, d).filter(F.col("seq") % 6 == 0).select("id")).withColumnRenamed("id", "node_id")
+    new = fresh.filter(F.col("ordinal") == 0).withColumn("text", F.concat(F.lit("new "), "text"))
+    return views.replace_items(small, new).select("node_id", "ordinal", F.sha2("text", 256).alias("h"))
+
+
+@query(f"WITH {q.EDGES} SELECT id, label FROM edges WHERE label IN ('follows', 'supports') AND source_node_id IN (SELECT id FROM active) AND target_node_id IN (SELECT id FROM active)")
+def valid_structure(spark, d):
+    return views.valid_structure(fx.edges(spark, d), fx.nodes(spark, d), ["follows", "supports"]).select("id", "label")
+
+
+@query(f"""WITH {q.EDGES}, hops AS (SELECT source_node_id AS id, target_node_id AS successor, created_at FROM edges WHERE label = 'follows'),
+  tries AS (SELECT id, id AS successor, 1 AS t, '' AS place FROM nodes UNION ALL SELECT n.id, h.successor, 2, h.created_at FROM nodes n JOIN hops h ON h.id = n.id)
+  SELECT id, successor FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, place, successor) AS r FROM tries WHERE successor IN (SELECT id FROM active)) WHERE r = 1""")
+def successor(spark, d):
+    e = fx.edges(spark, d).filter(F.col("label") == "follows").withColumn("label", F.lit("superseded_by"))
+    n = fx.nodes(spark, d)
+    return views.successors(n.select("id"), e, n)
+
+
+@query(f"WITH {q.KNN.format(k=10)}, near AS (SELECT query_id AS s, id AS t FROM knn WHERE distance <= 1.15 AND query_id <> id) SELECT s AS source_node_id, t AS target_node_id, 'related' AS label FROM near UNION SELECT t, s, 'related' FROM near")
+def semantic_edges(spark, d):
+    return views.semantic_edges(ten(spark, d, 10), 1.15)
+
+
+@query(f"WITH {q.PAGES} SELECT id, lag(id) OVER w AS prev, lead(id) OVER w AS next FROM pages_ WINDOW w AS (PARTITION BY document ORDER BY ord)")
+def prev_next(spark, d):
+    return views.neighbours_in_order(fx.pages(spark, d), "document", "ord")
+
+
+@query(f"WITH {q.PAGES} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY document ORDER BY ord DESC) AS r FROM pages_ WHERE role = 'user') WHERE r <= 5")
+def last_questions(spark, d):
+    return views.last(fx.pages(spark, d).filter(F.col("role") == "user"), "document", "ord", 5).select("id")
+
+
+@query("SELECT query_id, position, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS position FROM (SELECT user_id AS query_id, event_type AS id, min(event_id) AS o FROM events GROUP BY ALL)) WHERE position <= 3")
+def start_nodes(spark, d):
+    return views.starts(fx.table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("id")))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey % 7)::BIGINT AS lines FROM orders GROUP BY 1")
+def batch_summary(spark, d):
+    return views.batch_summary(fx.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 7).alias("lines")))
+
+
+@query("SELECT p_partkey, (SELECT arg_min(i, (abs(p_retailprice::DOUBLE - x), i)) FROM (VALUES (0, 900.0), (1, 1000.0), (2, 1200.0), (3, 1500.0)) v(i, x))::BIGINT AS level FROM part")
+def nearest_preset(spark, d):
+    return fx.table(spark, d, "part").select("p_partkey", views.nearest_preset(F.col("p_retailprice").cast("double"), [900, 1000, 1200, 1500]).alias("level"))
+
+
+@query("""WITH r AS (SELECT conv_id AS query_id, turn, coalesce(text, '') AS t, role FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn) AS k FROM r),
+  c AS (SELECT query_id, role, min(turn) AS place FROM r GROUP BY ALL)
+  SELECT query_id, sha256(string_agg('[' || k || '] ' || t, chr(10) || chr(10) ORDER BY k)) AS report_hash, (SELECT string_agg(role, ' ' ORDER BY place) FROM c WHERE c.query_id = n.query_id) AS citations FROM n GROUP BY query_id""")
+def merged_reports(spark, d):
+    r = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("ord"), F.coalesce("text", F.lit("")).alias("text"), F.array("role").alias("citations"))
+    return views.merged_reports(r).select("query_id", F.sha2("report", 256).alias("report_hash"), F.array_join("citations", " ").alias("citations"))
+
+
+@query(f"""WITH {q.NODES}, first AS (SELECT id, string_agg(e, ' | ' ORDER BY ordinal) AS said FROM (SELECT id, ordinal, substr(trim(regexp_replace(chunk, '\s+', ' ', 'g')), 1, 280) AS e FROM ({q.chunk_sql(512, 80)}) WHERE ordinal < 3) WHERE e <> '' GROUP BY id)
+  SELECT id, sha256(concat_ws(' | ', CASE WHEN type = 'endogenous' THEN 'agent_note' ELSE 'source' END, said)) AS h FROM nodes JOIN first USING (id)""")
+def described(spark, d):
+    n = fx.nodes(spark, d)
+    said = n.select("id", "type", F.transform(text.chunks(F.col("body"), 512, 80), lambda c: c["chunk"]).alias("e")).filter(F.size("e") > 0)
+    return said.select("id", F.sha2(views.described(F.col("e"), F.col("type")), 256).alias("h"))
+
+
+@query(f"""WITH {q.NODES}, cited AS (SELECT seq % 50 AS query_id, seq, CASE WHEN seq % 4 = 0 THEN 'gone ' || seq ELSE id END AS id FROM writes WHERE seq % 3 = 0), firsts AS (SELECT query_id, id, min(seq) AS place FROM cited GROUP BY ALL)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS position, f.id, coalesce(nullif(title, ''), nullif(summary, ''), nullif(original_document_name, ''), f.id) AS title FROM firsts f LEFT JOIN nodes n ON n.id = f.id""")
+def citations(spark, d):
+    w = fx.writes(spark, d).filter(F.col("seq") % 3 == 0).select((F.col("seq") % 50).alias("query_id"), "seq", F.when(F.col("seq") % 4 == 0, F.concat(F.lit("gone "), F.col("seq").cast("string"))).otherwise(F.col("id")).alias("id"))
+    ids_ = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"])
+    a = w.groupBy("query_id").agg(ids_.alias("cited")).withColumn("refs", F.slice("cited", 1, 2))
+    return views.citations(a, fx.nodes(spark, d))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+  SELECT doc_id, i // 4 AS piece, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM l GROUP BY ALL""")
+def line_chunks(spark, d):
+    c = fx.table(spark, d, "documents").select("doc_id", F.posexplode(views.lines_in_chunks(F.col("text"), 4)).alias("piece", "chunk"))
+    return c.select("doc_id", "piece", F.sha2("chunk", 256).alias("h"))
+
+
+@query("SELECT l_orderkey, l_linenumber, least(100.0, greatest(0.0, l_quantity::DOUBLE * 4 - 60)) AS score FROM lineitem")
+def clamped_scores(spark, d):
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", views.clamped(F.col("l_quantity").cast("double") * 4 - 60).alias("score"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN turn % 3 = 0 THEN '' ELSE role || '|' || conv_id END AS joined FROM conversations")
+def json_lists(spark, d):
+    c = fx.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.when(F.col("turn") % 2 == 0, "not json").otherwise("")).otherwise(views.list_to_json(F.array("role", F.col("conv_id").cast("string")))).alias("stored"))
+    back = views.list_from_json(F.col("stored"))
+    return c.select("conv_id", "turn", F.size(back).alias("n"), F.array_join(back, "|").alias("joined"))

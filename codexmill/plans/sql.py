@@ -72,5 +72,6 @@ jobs AS (SELECT job_id, arg_max(status, seq) AS status, arg_min(event_id, seq) A
 KNN = """vec AS (SELECT 'v' || vec_id AS id, vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 dist AS (SELECT q.id AS query_id, c.id AS id, list_distance(q.v, c.v) AS d FROM vec q CROSS JOIN vec c WHERE q.vec_id < 10),
 knn AS (SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM dist) WHERE rank <= {k})"""
-REVISIONS = """d AS (SELECT source AS document, doc_id AS ord, doc_id::VARCHAR AS id, text AS body, sha256(text) AS hash FROM documents),
-old AS (SELECT * FROM d WHERE ord % 2 = 0), new AS (SELECT * FROM d WHERE ord % 2 = 1)"""
+REVISIONS = """d AS (SELECT source AS document, doc_id AS ord, doc_id::VARCHAR AS id, text AS body FROM documents),
+old AS (SELECT *, sha256(body) AS hash FROM d WHERE ord % 2 = 0),
+new AS (SELECT *, sha256(body) AS hash FROM (SELECT * FROM d WHERE ord % 2 = 1 UNION ALL SELECT document, ord, 'n' || id, body FROM d WHERE ord % 4 = 0 UNION ALL SELECT document, ord, 'n' || id, body || ' revised edition' FROM d WHERE ord % 8 = 2))"""

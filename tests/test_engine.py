@@ -97,9 +97,18 @@ def test_communities_beat_singletons(spark):
 def test_revising_a_document_with_itself_changes_nothing(spark):
     d = frame(spark, [("doc", 1, "1", "alpha beta", "h1"), ("doc", 2, "2", "gamma", "h2")], "document string, ord long, id string, body string, hash string")
     new = d.withColumn("id", F.concat("id", F.lit("n")))
-    exact = revise.exact_matches(d, new)
-    acts = revise.actions(d, new, exact, revise.greedy_matches(revise.candidate_pairs(d, new)))
-    assert {r["action"] for r in acts.collect()} == {"unchanged"}
+    assert {r["action"] for r in revise.actions(d, new).collect()} == {"unchanged"}
+
+
+def test_equal_pages_are_matched_before_alike_ones(spark):
+    """A new page that is like two old ones takes the one that no equal page takes."""
+    ddl = "document string, ord long, id string, body string, hash string"
+    words = " ".join(f"w{i}" for i in range(40))
+    old = frame(spark, [("d", 1, "o1", words, "H"), ("d", 2, "o2", words + " more", "h2"), ("d", 3, "o3", "quite another page", "h3")], ddl)
+    new = frame(spark, [("d", 1, "n1", words + " and some", "h4"), ("d", 2, "n2", words, "H"), ("d", 3, "n3", "nothing alike", "h5")], ddl)
+    assert {r["id"]: r["action"] for r in revise.actions(old, new).collect()} == {"n1": "superseded", "n2": "unchanged", "n3": "new", "o3": "stale"}
+    same = frame(spark, [("d", 1, "n1", words.upper() + " more", "h9")], ddl)
+    assert {r["id"]: r["action"] for r in revise.actions(old, same).collect()}["n1"] == "remapped"
 
 
 def test_greedy_matches_use_each_old_page_once(spark):

@@ -112,3 +112,13 @@ def test_clean_optional(spark):
     assert value(spark, text.clean_optional(F.col("t"), 6), t=" a　b  cdefg ") == "a b c…"
     assert value(spark, text.clean_optional(F.col("t"), 6), t="　 ") is None
     assert value(spark, text.truncated(F.col("t"), 3), t="abcd") == "abc… (4 chars)"
+
+
+def test_image_units_do_not_reach_into_each_other(spark):
+    unit = lambda x: f"<image-unit id='1'>{x}</image-unit>"
+    said, media = "<image-description> d </image-description>", "<image-media>" + "A" * 50_000 + "</image-media>"
+    rows = {unit(media + "note") + " KEEP " + unit(media + said): "note KEEP d", unit("plain"): "plain", "a </image-unit> b": "a </image-unit> b", "no unit": "no unit", "": ""}
+    df = spark.createDataFrame([(k,) for k in rows], "t string")
+    assert {r[0]: r[1] for r in df.select("t", text.strip_image_media(F.col("t"))).collect()} == rows
+    safe = spark.createDataFrame([("x data:image/png;base64,AAAA= following words",)], "t string").select(text.embed_safe(F.col("t"))).first()[0]
+    assert safe == "x [image omitted] following words"
