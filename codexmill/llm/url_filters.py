@@ -17,9 +17,11 @@ from .common import cut
 #: (verdict, host and path) of the rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-#: Rounds end when none changes a host's score by more than this share of it, so that
-#: hosts at any distance from the seeds are reached and settled.
-TOLERANCE = 1e-5
+#: Rounds end when none changes a host's score by more than this share of it, so hosts at
+#: any distance from the seeds are reached. What is still to come is at most d / (1 - d)
+#: times the last change, so a verdict could only turn where the two scores differ by less
+#: than 6 percent.
+TOLERANCE = 1e-2
 #: Rounds between two checks, after which scores are written out.
 STRETCH = 8
 #: Blocked when distrust is over this multiple of trust.
