@@ -68,8 +68,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     """(kind, host, score) of a personalised PageRank for each kind of seed.
 
     edges: kind, src, dst, w with the weights of each src summing to 1. seeds: kind,
-    host, share summing to 1 for each kind. One join and one sum with map-side
-    combining for each round; every eighth round is written out, and is the last if no
+    host, share summing to 1 for each kind. One join (by merging: ranks grow with the
+    hosts, so none are broadcast) and one sum with map-side combining for each round; every eighth round is written out, and is the last if no
     score changed in it by more than ``tolerance`` of itself. A number of rounds is for
     comparisons alone.
     """
@@ -79,7 +79,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     while k != rounds and not settled:
         k += 1
         r = rank.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "score")
-        moved = edges.join(r, (F.col("kind") == F.col("_k")) & (F.col("src") == F.col("_h"))).select("kind", F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
+        moved = edges.join(r.hint("merge"), (F.col("kind") == F.col("_k")) & (F.col("src") == F.col("_h"))).select("kind", F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
         given = moved.unionByName(base)
         if k % STRETCH:
             rank = given.groupBy("kind", "host").agg(F.sum("score").alias("score"))
