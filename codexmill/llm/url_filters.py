@@ -17,13 +17,13 @@ from .common import cut
 #: (verdict, host and path) of the rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-#: Rounds end when none changes a host's score by more than this share of it, so hosts at
-#: any distance from the seeds are reached. What is still to come is at most d / (1 - d)
-#: times the last change, so a verdict could only turn where the two scores differ by less
-#: than 6 percent.
+#: Rounds end when a stretch of them changes no host's score by more than this share of it,
+#: so hosts at any distance from the seeds are reached. All that is still to come is at
+#: most 1.1 times the last change, so a verdict could only turn where the two scores
+#: differ by less than about 2 percent.
 TOLERANCE = 1e-2
-#: Rounds between two checks, after which scores are written out.
-STRETCH = 8
+#: Rounds of a stretch, after which scores are written out.
+STRETCH = 4
 #: Blocked when distrust is over this multiple of trust.
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,12 +69,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
 
     edges: kind, src, dst, w with the weights of each src summing to 1. seeds: kind,
     host, share summing to 1 for each kind. One join (by merging: ranks grow with the
-    hosts, so none are broadcast) and one sum with map-side combining for each round; every eighth round is written out, and is the last if no
-    score changed in it by more than ``tolerance`` of itself. A number of rounds is for
+    hosts, so none are broadcast) and one sum with map-side combining for each round; every fourth round is written out, and is the last if no
+    score has changed since the one before by more than ``tolerance`` of itself. A number of rounds is for
     comparisons alone.
     """
     base = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("score"))
-    rank = seeds.select("kind", "host", F.col("share").alias("score"))
+    rank = written = seeds.select("kind", "host", F.col("share").alias("score"))
     k, settled = 0, False
     while k != rounds and not settled:
         k += 1
@@ -84,10 +84,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         if k % STRETCH:
             rank = given.groupBy("kind", "host").agg(F.sum("score").alias("score"))
             continue
-        before = rank.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        before = written.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
         both = cut(given.withColumn("was", F.lit(0.0)).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
         settled = both.filter(F.abs(F.col("score") - F.col("was")) > tolerance * F.col("score")).isEmpty()
-        rank = both.select("kind", "host", "score")
+        rank = written = both.select("kind", "host", "score")
     return rank
 
 
