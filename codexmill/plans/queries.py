@@ -671,7 +671,7 @@ def merged_reports(spark, d):
     return views.merged_reports(r).select("query_id", F.sha2("report", 256).alias("report_hash"), F.array_join("citations", " ").alias("citations"))
 
 
-@query(f"""WITH {q.NODES}, first AS (SELECT id, string_agg(e, ' | ' ORDER BY ordinal) AS said FROM (SELECT id, ordinal, substr(trim(regexp_replace(chunk, '\s+', ' ', 'g')), 1, 280) AS e FROM ({q.chunk_sql(512, 80)}) WHERE ordinal < 3) WHERE e <> '' GROUP BY id)
+@query(f"""WITH {q.NODES}, first AS (SELECT id, string_agg(e, ' | ' ORDER BY ordinal) AS said FROM (SELECT id, ordinal, substr(trim(regexp_replace(chunk, '\\s+', ' ', 'g')), 1, 280) AS e FROM ({q.chunk_sql(512, 80)}) WHERE ordinal < 3) WHERE e <> '' GROUP BY id)
   SELECT id, sha256(concat_ws(' | ', CASE WHEN type = 'endogenous' THEN 'agent_note' ELSE 'source' END, said)) AS h FROM nodes JOIN first USING (id)""")
 def described(spark, d):
     n = fx.nodes(spark, d)
