@@ -3,7 +3,7 @@
 Rules decide the urls they fit. For the other urls the host decides: trust flows from
 hosts that the allow rules favour along host edges, distrust flows from hosts that
 the block rules hit along the reversed edges (who links to a bad host is suspect),
-both as personalised PageRank, repeated until no host's score moves any more. A host is
+both as personalised PageRank, repeated until no host's verdict can turn any more. A host is
 blocked when its distrust outweighs its trust.
 """
 
@@ -17,12 +17,13 @@ from .common import cut
 #: (verdict, host and path) of the rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-#: Rounds end when a stretch of them changes no host's score by more than this share of it,
-#: so hosts at any distance from the seeds are reached. All that is still to come is at
-#: most 1.1 times the last change, so a verdict could only turn where the two scores
-#: differ by less than about 2 percent.
+#: Rounds end when no host's verdict is open any more: its two scores differ by more than
+#: all that is still to come, or a stretch of rounds has changed neither by more than this
+#: share of it. A host that has just been reached is open, so hosts at any distance from
+#: the seeds are reached.
 TOLERANCE = 1e-2
-#: Rounds of a stretch, after which scores are written out.
+#: Rounds of a stretch, after which scores are written out. What is still to come after a
+#: stretch is to its change as DAMPING**STRETCH to 1 - DAMPING**STRETCH.
 STRETCH = 4
 #: Blocked when distrust is over this multiple of trust.
 RATIO = 1.0
@@ -64,14 +65,14 @@ def links(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE, ratio: float = RATIO) -> DataFrame:
     """(kind, host, score) of a personalised PageRank for each kind of seed.
 
     edges: kind, src, dst, w with the weights of each src summing to 1. seeds: kind,
     host, share summing to 1 for each kind. One join (by merging: ranks grow with the
-    hosts, so none are broadcast) and one sum with map-side combining for each round; every fourth round is written out, and is the last if no
-    score has changed since the one before by more than ``tolerance`` of itself. A number of rounds is for
-    comparisons alone.
+    hosts, so none are broadcast) and one sum with map-side combining for each round;
+    every fourth round is written out, and is the last if no verdict is ``still_open``.
+    A number of rounds is for comparisons alone.
     """
     base = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("score"))
     rank = written = seeds.select("kind", "host", F.col("share").alias("score"))
@@ -86,12 +87,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
             continue
         before = written.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
         both = cut(given.withColumn("was", F.lit(0.0)).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
-        settled = both.filter(F.abs(F.col("score") - F.col("was")) > tolerance * F.col("score")).isEmpty()
+        settled = still_open(both, damping**STRETCH, tolerance, ratio).isEmpty()
         rank = written = both.select("kind", "host", "score")
     return rank
 
 
-def host_scores(pages: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+def still_open(scores: DataFrame, rate: float, tolerance: float, ratio: float) -> DataFrame:
+    """Hosts whose verdict may turn yet; scores: kind, host, score, and what it was a stretch ago.
+
+    Changes shrink by ``rate`` from stretch to stretch, so all later ones together are
+    rate / (1 - rate) times the last.
+    """
+    change = F.abs(F.col("score") - F.col("was"))
+    side = F.when(F.col("kind") == "trust", -ratio).otherwise(1.0)
+    per_host = scores.groupBy("host").agg(F.sum(side * F.col("score")).alias("margin"), F.sum(F.abs(side) * change).alias("change"), F.max(change > tolerance * F.col("score")).alias("moves"))
+    return per_host.filter(F.col("moves") & (F.abs("margin") <= rate / (1 - rate) * F.col("change")))
+
+
+def host_scores(pages: DataFrame, rounds: int | None = None, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """host, trust, distrust; pages: host, rule_verdict, html."""
     edges = links(pages)
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -100,7 +113,7 @@ def host_scores(pages: DataFrame, rounds: int | None = None, damping: float = DA
     hits = pages.filter(F.col("rule_verdict").isNotNull() & (F.col("host") != "")).groupBy(F.when(F.col("rule_verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     total = hits.groupBy("kind").agg(F.sum("n").alias("_total")).withColumnRenamed("kind", "_kind")
     seeds = cut(hits.join(total, F.col("kind") == F.col("_kind")).select("kind", "host", (F.col("n") / F.col("_total")).alias("share")))
-    rank = propagate(weighted, seeds, rounds, damping)
+    rank = propagate(weighted, seeds, rounds, damping, ratio=ratio)
     side = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(side("trust"), side("distrust"))
 
@@ -119,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rat
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("rule_verdict", verdicts[F.col("rule")])
-    scores = cut(host_scores(rows, rounds)).withColumnRenamed("host", "_host")
+    scores = cut(host_scores(rows, rounds, ratio=ratio)).withColumnRenamed("host", "_host")
     judged = rows.drop("html", "url").join(scores, F.col("host") == F.col("_host"), "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     verdict = F.coalesce(F.col("rule_verdict"), F.when(distrust > ratio * trust, "block").otherwise("allow"))
