@@ -72,7 +72,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     host, share summing to 1 for each kind. One join (by merging: ranks grow with the
     hosts, so none are broadcast) and one sum with map-side combining for each round;
     every fourth round is written out, and is the last if no verdict is ``still_open``.
-    A number of rounds is for comparisons alone.
+    What shrinks slowest, by damping to the fourth from stretch to stretch, is
+    extrapolated once, after the first (power extrapolation): the limit stays the same.
+    A number of rounds is for comparisons alone, and takes no such leap.
     """
     base = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("score"))
     rank = written = seeds.select("kind", "host", F.col("share").alias("score"))
@@ -88,7 +90,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         before = written.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
         both = cut(given.withColumn("was", F.lit(0.0)).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
         settled = still_open(both, damping**STRETCH, tolerance, ratio).isEmpty()
-        rank = written = both.select("kind", "host", "score")
+        leap = damping**STRETCH / (1 - damping**STRETCH) if k == STRETCH and rounds is None and not settled else 0.0
+        rank = written = both.select("kind", "host", F.greatest(F.lit(0.0), F.col("score") + leap * (F.col("score") - F.col("was"))).alias("score"))
     return rank
 
 
