@@ -42,6 +42,24 @@ def test_propagation_is_personalised_pagerank(spark):
         assert got.get(str(i), 0.0) == pytest.approx(rank[i], abs=1e-12)
 
 
+def test_the_leap_keeps_the_limit(spark):
+    n, edges = 12, []
+    ties = [(i, j) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    for kind in ("trust", "distrust"):
+        edges += [(kind, str(i), str(j), 1.0 / sum(a == i for a, _ in ties)) for i, j in ties]
+    seeds = [("trust", "0", 1.0), ("distrust", str(n - 1), 1.0)]
+    got = url_filters.propagate(spark.createDataFrame(edges, "kind string, src string, dst string, w double"), spark.createDataFrame(seeds, "kind string, host string, share double")).collect()
+    score = {(r["kind"], r["host"]): r["score"] for r in got}
+    w = np.zeros((n, n))
+    for _, i, j, x in edges[: len(ties)]:
+        w[int(i), int(j)] = x
+    want = {k: 0.15 * np.linalg.solve(np.eye(n) - 0.85 * w.T, np.eye(n)[at]) for k, at in (("trust", 0), ("distrust", n - 1))}
+    for i in range(n):
+        trust, distrust = (score.get((k, str(i)), 0.0) for k in ("trust", "distrust"))
+        assert (distrust > trust) == (want["distrust"][i] > want["trust"][i]) == (i >= n // 2)
+    assert all(score["trust", str(i)] == pytest.approx(want["trust"][i], rel=0.25) for i in range(n // 2))
+
+
 def level_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
