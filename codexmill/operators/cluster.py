@@ -61,6 +61,12 @@ def tfidf_keywords(members: DataFrame, k: int = 8) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("community", "rank", "keyword", "score")
 
 
+def by_size(members: DataFrame) -> DataFrame:
+    """(community, size) of members (community, id), the largest first, ties to the one with the smallest id."""
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("_first"))
+    return sizes.orderBy(F.col("size").desc(), "_first").drop("_first")
+
+
 def numbered_labels(labels: DataFrame) -> DataFrame:
     """(community, label): the second use of a label becomes "label 2", and so on, largest community first."""
     w = Window.partitionBy("label").orderBy(F.col("size").desc(), "community")

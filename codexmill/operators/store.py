@@ -53,14 +53,30 @@ def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def outgoing(edges: DataFrame, node: str, label: str | None = None) -> DataFrame:
-    own = edges.filter(F.col("source_node_id") == node)
-    return own.filter(F.col("label") == label) if label else own
+def all_edges(edges: DataFrame) -> DataFrame:
+    """Newest first."""
+    return edges.orderBy(F.col("created_at").desc(), "id")
+
+
+def _at(edges: DataFrame, end: str, nodes: str | DataFrame, label: str | None) -> DataFrame:
+    own = edges.filter(F.col("label") == label) if label else edges
+    if isinstance(nodes, str):
+        return own.filter(F.col(end) == nodes)
+    return own.join(nodes.toDF("_x").distinct(), F.col(end) == F.col("_x"), "left_semi")
+
+
+def outgoing(edges: DataFrame, nodes: str | DataFrame, label: str | None = None) -> DataFrame:
+    """Edges from a node, or from any of a table of one column of ids."""
+    return _at(edges, "source_node_id", nodes, label)
 
 
-def incoming(edges: DataFrame, node: str, label: str | None = None) -> DataFrame:
-    own = edges.filter(F.col("target_node_id") == node)
-    return own.filter(F.col("label") == label) if label else own
+def incoming(edges: DataFrame, nodes: str | DataFrame, label: str | None = None) -> DataFrame:
+    return _at(edges, "target_node_id", nodes, label)
+
+
+def source(current: DataFrame, name: str) -> DataFrame:
+    """The current version of a document by its name."""
+    return current.filter(F.col("document_name") == name)
 
 
 def newest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -103,6 +119,12 @@ def without(table: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return table.join(ids.toDF("_x").distinct(), F.col(column) == F.col("_x"), "left_anti")
 
 
+def delete_items(nodes: DataFrame, items: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, vectors) without the items of the nodes and the vectors of these items."""
+    gone = items.join(nodes.toDF("_x").distinct(), F.col("node_id") == F.col("_x"), "left_semi").select("id")
+    return without(items, "node_id", nodes), without(vectors, "id", gone)
+
+
 def delete_nodes(ids: DataFrame, nodes: DataFrame, edges: DataFrame, items: DataFrame, vectors: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
     """Nodes with their edges, items and vectors; item vectors go with their items."""
     gone_items = items.join(ids.toDF("_x").distinct(), F.col("node_id") == F.col("_x"), "left_semi").select("id")

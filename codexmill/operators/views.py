@@ -106,6 +106,12 @@ def in_library_order(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.col("recency").desc(), F.lower("name"), "name")
 
 
+def sidebar(documents: DataFrame, asked: str) -> DataFrame:
+    """Documents (name, cluster) whose name or cluster holds what is asked, in any case; topics without any have no row."""
+    said = asked.strip().lower()
+    return documents.filter(F.contains(F.lower("name"), F.lit(said)) | F.contains(F.lower("cluster"), F.lit(said)))
+
+
 def in_placement_order(groups: DataFrame) -> DataFrame:
     """Groups (cluster, score, size): by score, size, the chapter number in the name, and the name."""
     chapter = F.coalesce(F.regexp_extract("cluster", r"(\d+)", 1).try_cast("long"), F.lit(2**62))

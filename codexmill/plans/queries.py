@@ -705,3 +705,87 @@ def json_lists(spark, d):
     c = fx.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.when(F.col("turn") % 2 == 0, "not json").otherwise("")).otherwise(views.list_to_json(F.array("role", F.col("conv_id").cast("string")))).alias("stored"))
     back = views.list_from_json(F.col("stored"))
     return c.select("conv_id", "turn", F.size(back).alias("n"), F.array_join(back, "|").alias("joined"))
+
+
+# single tables and points of them
+
+
+@query(f"WITH {q.EDGES} SELECT id, label, created_at FROM edges")
+def edge_scan(spark, d):
+    return store.all_edges(fx.edges(spark, d)).select("id", "label", "created_at")
+
+
+@query(f"""WITH {q.EDGES}, pick AS (SELECT id FROM writes WHERE seq % 15 = 0)
+  SELECT 'out' AS way, id, label FROM edges WHERE source_node_id IN (SELECT id FROM pick) UNION ALL SELECT 'in', id, label FROM edges WHERE label = 'supports' AND target_node_id IN (SELECT id FROM pick)""")
+def edges_one_way(spark, d):
+    e, pick = fx.edges(spark, d), fx.writes(spark, d).filter(F.col("seq") % 15 == 0).select("id")
+    out = store.outgoing(e, pick).select(F.lit("out").alias("way"), "id", "label")
+    return out.unionByName(store.incoming(e, pick, "supports").select(F.lit("in").alias("way"), "id", "label"))
+
+
+ITEMS_SQL = f"""parts AS (SELECT id AS node_id, 'title' AS field, 0 AS ordinal, title AS text FROM nodes WHERE title <> ''
+  UNION ALL SELECT id, 'small_chunk', ordinal, chunk FROM ({q.chunk_sql(512, 80)}) UNION ALL SELECT id, 'big_chunk', ordinal, chunk FROM ({q.chunk_sql(3000, 300)})),
+  items AS (SELECT *, substr(sha256(node_id || '|' || field || '|' || ordinal), 1, 12) AS id FROM parts)"""
+
+
+@query(f"WITH {q.NODES}, {ITEMS_SQL} SELECT id, node_id, field, sha256(text) AS text_hash FROM items WHERE ordinal = 1")
+def items_by_id(spark, d):
+    it = fx.items(fx.nodes(spark, d))
+    return store.by_ids(it, it.filter(F.col("ordinal") == 1).select("id")).select("id", "node_id", "field", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("SELECT source AS document_name, arg_max(sha256(text), doc_id) AS source_hash, max(doc_id) AS at FROM documents WHERE source = 'src2' GROUP BY 1")
+def source_lookup(spark, d):
+    ev = fx.table(spark, d, "documents").select(F.col("source").alias("document_name"), F.sha2("text", 256).alias("source_hash"), F.col("doc_id").alias("at"), F.col("doc_id").alias("seq"))
+    return store.source(store.record_sources(ev, "seq")[0], "src2").select("document_name", "source_hash", "at")
+
+
+@query("SELECT 'v' || vec_id AS id, len(embedding)::BIGINT AS n, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings WHERE label = 4")
+def vector_lookup(spark, d):
+    v = fx.vectors(spark, d)
+    at = lambda i: F.get("v", F.lit(i)).cast("double")
+    return store.by_ids(v, v.filter(F.col("label") == 4).select("id")).select("id", F.size("v").alias("n"), at(0).alias("first"), at(63).alias("last"))
+
+
+@query(f"""WITH {q.NODES}, {ITEMS_SQL}, pick AS (SELECT id FROM writes WHERE seq % 6 = 0)
+  SELECT 'item' AS kind, id FROM items WHERE node_id NOT IN (SELECT id FROM pick) UNION ALL SELECT 'vector', id FROM items WHERE field = 'small_chunk' AND node_id NOT IN (SELECT id FROM pick)""")
+def delete_items(spark, d):
+    it = fx.items(fx.nodes(spark, d))
+    pick = fx.writes(spark, d).filter(F.col("seq") % 6 == 0).select("id")
+    items, vectors = store.delete_items(pick, it, it.filter(F.col("field") == "small_chunk").select("id"))
+    return items.select(F.lit("item").alias("kind"), "id").unionByName(vectors.select(F.lit("vector").alias("kind"), "id"))
+
+
+@query("SELECT vec_id % 100 AS id, arg_max(embedding[1]::DOUBLE, vec_id) AS first, arg_max(label, vec_id)::BIGINT AS label FROM embeddings GROUP BY 1")
+def set_vectors(spark, d):
+    v = fx.vectors(spark, d).select((F.col("vec_id") % 100).alias("id"), F.col("vec_id").alias("seq"), "v", "label")
+    return store.keep_last(v, ["id"], "seq").select("id", F.get("v", F.lit(0)).cast("double").alias("first"), "label")
+
+
+@query("SELECT event_type AS key, arg_max(props, event_id) AS value FROM events GROUP BY 1")
+def set_meta(spark, d):
+    return store.keep_last(fx.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq")), ["key"], "seq")
+
+
+@query(f"""WITH {q.NODES}, n AS (SELECT *, coalesce(nullif(cluster, ''), 'Uncategorized') AS c FROM nodes), counts AS (SELECT original_document_name AS name, c, count(*) AS k, max((updated_at, id)) AS reached FROM n GROUP BY ALL),
+  docs AS (SELECT name, c AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC, reached, c) AS r FROM counts) WHERE r = 1)
+  SELECT name, cluster FROM docs WHERE contains(lower(name), 'c1') OR contains(lower(cluster), 'c1')""")
+def sidebar(spark, d):
+    return views.sidebar(library.documents(fx.nodes(spark, d)), " C1 ").select("name", "cluster")
+
+
+@query(f"WITH {q.EDGES}, {q.INDEX}, {q.QUESTIONS}, {q.bm25_sql('docs', 'questions')}, hits AS (SELECT DISTINCT id FROM (SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores WHERE id IN (SELECT id FROM nodes WHERE status = 'active')) WHERE rank <= 20) SELECT id, label FROM edges WHERE source_node_id IN (SELECT id FROM hits) OR target_node_id IN (SELECT id FROM hits)")
+def keyword_edges(spark, d):
+    n = fx.nodes(spark, d)
+    hits = search.keyword_search(fx.index_docs(n), store.active(n).select("id"), fx.questions(spark, d))
+    return store.incident(fx.edges(spark, d), hits.select("id")).select("id", "label")
+
+
+@query("SELECT 'topic ' || label AS community, count(*) AS size FROM embeddings GROUP BY 1")
+def communities_by_size(spark, d):
+    return cluster.by_size(fx.vectors(spark, d).select(F.concat(F.lit("topic "), F.col("label").cast("string")).alias("community"), "id"))
+
+
+@query(f"WITH {q.NODES} SELECT original_document_name AS name, max(greatest(updated_at, created_at)) AS recency FROM nodes GROUP BY 1")
+def library_order(spark, d):
+    return views.in_library_order(library.documents(fx.nodes(spark, d)).select("name", "recency"))
