@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.functions.text import index_terms
+from codexmill.functions.text import index_terms, query_terms
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -18,12 +18,27 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def term_table(queries: DataFrame) -> DataFrame:
-    """(query_id, term, weight) from queries (query_id, text); a repeated term weighs its count."""
-    return queries.select("query_id", F.explode(index_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+    """(query_id, term, words, weight) from queries (query_id, text); a repeated term weighs its count.
+
+    Operators are blanked and the rest is split at white space. A piece of several words,
+    as ``left-hand``, is a phrase: its words must follow each other. Pieces without a word
+    ask for nothing.
+    """
+    pieces = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("_p")).select("query_id", index_terms(F.col("_p")).alias("words")).filter(F.size("words") > 0)
+    return pieces.groupBy("query_id", F.array_join("words", " ").alias("term"), "words").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def phrase_counts(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of the phrases of a term table in documents (id, _t: their words in order)."""
+    phrases = asked.filter(F.size("words") > 1).select("term", "words").distinct()
+    parts = phrases.select(F.col("term").alias("_phrase"), F.size("words").alias("_size"), F.posexplode("words").alias("_at", "_q"))
+    words = terms.select("id", F.size("_t").alias("length"), F.posexplode("_t").alias("_pos", "_word"))
+    begun = words.join(parts, F.col("_word") == F.col("_q")).groupBy("id", "length", "_phrase", "_size", (F.col("_pos") - F.col("_at")).alias("_start")).agg(F.count(F.lit(1)).alias("_met"))
+    return begun.filter(F.col("_met") == F.col("_size")).groupBy("id", "length", F.col("_phrase").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) of every document that holds a term of the query.
+    """(query_id, id, score) of every document that holds a term or phrase of the query.
 
     The corpus is docs (id, text) as given, whatever the documents' state. Only terms
     that some query asks for are counted; lengths and the number of documents come from
@@ -33,13 +48,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     asked = term_table(queries)
     terms = docs.select("id", index_terms(F.col("text")).alias("_t"))
     stats = terms.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("mean"))
-    wanted = asked.select(F.col("term").alias("_q")).distinct()
+    wanted = asked.filter(F.size("words") == 1).select(F.col("term").alias("_q")).distinct()
     hits = terms.select("id", F.size("_t").alias("length"), F.explode("_t").alias("term")).join(wanted, F.col("term") == F.col("_q"), "left_semi")
-    tf = hits.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = hits.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).unionByName(phrase_counts(terms, asked))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weights = weights.select("term", idf.alias("idf"), "mean").join(asked, "term")
+    weights = weights.select("term", idf.alias("idf"), "mean").join(asked.drop("words"), "term")
     part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 

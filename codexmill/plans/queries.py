@@ -789,3 +789,16 @@ def communities_by_size(spark, d):
 @query(f"WITH {q.NODES} SELECT original_document_name AS name, max(greatest(updated_at, created_at)) AS recency FROM nodes GROUP BY 1")
 def library_order(spark, d):
     return views.in_library_order(library.documents(fx.nodes(spark, d)).select("name", "recency"))
+
+
+@query(f"""WITH {q.NODES}, {q.INDEX}, b AS (SELECT item_id::VARCHAR AS query_id, {q.terms('text')} AS t FROM benchmark), asked AS (SELECT query_id, t[1] || ' ' || t[2] AS term FROM b UNION ALL SELECT query_id, t[3] FROM b),
+  d AS (SELECT id, {q.terms('text')} AS t FROM docs), w AS (SELECT id, len(t) AS length, unnest(t) AS word, unnest(range(len(t))) AS pos FROM d), stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+  said AS (SELECT id, length, word AS term FROM w WHERE word IN (SELECT term FROM asked) UNION ALL SELECT x.id, x.length, x.word || ' ' || y.word FROM w x JOIN w y ON y.id = x.id AND y.pos = x.pos + 1 WHERE x.word || ' ' || y.word IN (SELECT term FROM asked)),
+  tf AS (SELECT id, length, term, count(*) AS tf FROM said GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  scores AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN asked USING (term) CROSS JOIN stats GROUP BY query_id, id)
+  SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores WHERE id IN (SELECT id FROM nodes WHERE status = 'active')) WHERE rank <= 20""")
+def bm25_phrases(spark, d):
+    """The first two words of each benchmark item as a phrase, and the third."""
+    n, words = fx.nodes(spark, d), text.index_terms(F.col("text"))
+    asked = fx.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.array_join(F.slice(words, 1, 2), "-"), F.lit(" "), F.array_join(F.slice(words, 3, 1), "")).alias("text"))
+    return search.keyword_search(fx.index_docs(n), store.active(n).select("id"), asked)

@@ -31,6 +31,13 @@ def test_bm25_prefers_rare_terms_and_short_texts(spark):
     assert [r["id"] for r in got] == ["1", "3"]
 
 
+def test_bm25_phrases_are_words_that_follow_each_other(spark):
+    docs = frame(spark, [("a", "the left hand of it"), ("b", "hand left of left it"), ("c", "Left-hand, left hand"), ("d", None), ("e", "other")], "id string, text string")
+    asked = frame(spark, [("q", 'left-hand "--"'), ("none", "--"), ("empty", None), ("two", "other left_of")], "query_id string, text string")
+    got = {(r["query_id"], r["id"]) for r in search.bm25(docs, asked).collect()}
+    assert got == {("q", "a"), ("q", "c"), ("two", "e"), ("two", "b")}
+
+
 def test_knn_over_several_segments(spark):
     import numpy as np
 
