@@ -10,6 +10,7 @@ from .bpe import digests
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .merkle import merkle
 from .mixing import mix_sources
 from .pii import digests as personal_data_digests
 from .quality import quality
@@ -66,6 +67,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -77,9 +82,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_exact_topk": op10_exact_topk,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT doc_id, coalesce('1' || lang, '0') AS g, n_chars,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+                       lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda x: 0::UBIGINT)),
+                           lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))) % 7 = 0 AS hit
+            FROM documents),
+        l AS (SELECT *, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+                     sha256(head || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT)::VARCHAR, '-') || tail) AS tampered FROM f),
+        placed AS (SELECT doc_id, g, leaf, coalesce(tampered, leaf) AS tampered, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+        nodes AS (
+            SELECT g, 0 AS level, idx, leaf AS digest, count(*) OVER (PARTITION BY g) AS width FROM placed
+            UNION ALL
+            SELECT g, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (width + 1) // 2 FROM nodes WHERE width > 1 GROUP BY g, level, idx // 2, width),
+        subroots AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx FROM nodes WHERE width = 1),
+        tops AS (
+            SELECT 0 AS level, idx, subroot AS digest, count(*) OVER () AS width FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (width + 1) // 2 FROM tops WHERE width > 1 GROUP BY level, idx // 2, width),
+        steps AS (
+            SELECT p.g, p.idx, w.level, CASE WHEN s.digest IS NULL THEN 'N' WHEN (p.idx >> w.level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.digest, '') AS step
+            FROM placed p JOIN (SELECT DISTINCT g, level FROM nodes WHERE width > 1) w ON p.g = w.g
+            LEFT JOIN nodes s ON s.g = p.g AND s.level = w.level AND s.idx = xor(p.idx >> w.level, 1)
+            UNION ALL
+            SELECT p.g, p.idx, 1000 + w.level, CASE WHEN s.digest IS NULL THEN 'N' WHEN (r.idx >> w.level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.digest, '')
+            FROM placed p JOIN subroots r ON p.g = r.g CROSS JOIN (SELECT DISTINCT level FROM tops WHERE width > 1) w
+            LEFT JOIN tops s ON s.level = w.level AND s.idx = xor(r.idx >> w.level, 1)),
+        paths AS (SELECT g, idx, list(step ORDER BY level) AS path FROM steps GROUP BY g, idx),
+        done AS (SELECT p.doc_id, p.leaf, r.subroot, (SELECT digest FROM tops WHERE width = 1) AS root, coalesce(path, []) AS path, p.tampered
+                 FROM placed p JOIN subroots r ON p.g = r.g LEFT JOIN paths h ON h.g = p.g AND h.idx = p.idx),
+        told AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256,
+                        list_reduce(list_prepend(tampered, path), lambda acc, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || acc WHEN 'R' THEN acc || s[2:] ELSE acc END)) AS folded_root FROM done)
+        SELECT *, folded_root = root AS verified FROM told""",
     "op10_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
