@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digests
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
@@ -18,6 +19,7 @@ from .token_counts import token_counts, vocabulary
 from .topk import exact_topk
 from .toxicity import toxicity
 from .url_filters import judge_urls
+from .weighted_sampling import edited_fingerprints
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -67,6 +69,14 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle(table(spark, sf_dir, "documents"))
 
@@ -82,10 +92,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_exact_topk": op10_exact_topk,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+                  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS m))),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+        subs AS (SELECT DISTINCT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, a FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS k) WHERE k < m)),
+        longest AS (SELECT lang, phrase, max(a) AS longer FROM subs GROUP BY ALL),
+        kept AS (SELECT c.* FROM c LEFT JOIN longest s USING (lang, phrase) WHERE s.longer IS NULL OR 100 * s.longer < 100 * c.a),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+        scored AS (SELECT t.lang, t.phrase, t.a, t.k, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * t.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+                   FROM cuts t JOIN f l ON l.lang = t.lang AND l.phrase = t.lp JOIN f r ON r.lang = t.lang AND r.phrase = t.rp JOIN n ON n.lang = t.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest)
+        SELECT * FROM ranked WHERE rank <= 2000""",
     "op13_merkle_manifest": """
         WITH RECURSIVE f AS (
             SELECT doc_id, coalesce('1' || lang, '0') AS g, n_chars,
