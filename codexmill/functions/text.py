@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,14 +109,22 @@ def clean_optional(c: Column, most: int) -> Column:
     return F.when(F.length(said) > most, F.concat(F.rtrim(F.substring(said, 1, most - 1)), F.lit("…"))).otherwise(said)
 
 
+def note_title(body: Column, origin: Column, question: Column) -> Column:
+    """A note's title: the question, else the body's heading, else the origin without its agent: or human:, else the first line that says something."""
+    asked = or_else(collapse(text_or(question)))
+    said = strip(F.regexp_replace(text_or(origin), "^(agent|human):", ""))
+    lines = F.transform(F.split(text_or(body), r"\r\n|[\n\r]"), lambda line: strip(F.regexp_replace(strip(line), "^#+", "")))
+    first = F.get(F.filter(lines, lambda line: line != ""), F.lit(0))
+    return F.coalesce(asked, or_else(title_of(body)), or_else(F.substring(said, 1, 80)), F.substring(first, 1, 80), F.lit("Agent note"))
+
+
+#: What may stand around a node id: in front a bullet, quotes and "id:", behind it quotes, a title in brackets and further table cells.
+BEFORE_REF, BEHIND_REF = r"\s*[-*]?[`'\"\s]*(?:id\s*:)?[`'\"\s,;]*", r"[`'\"\s,;]*(?:\s\([^)]*\))?[`'\"\s]*(?:\|.*)?"
+
+
 def clean_node_ref(c: Column) -> Column:
-    """A node id without bullets, quotes, an "id:" prefix, further table cells or a trailing (title)."""
-    said = strip(F.regexp_replace(strip(text_or(c)), rf"^{SPACE}*[-*]{SPACE}*", ""))
-    said = F.regexp_replace(said, "^[`'\" \\t\\r\\n]+|[`'\" \\t\\r\\n]+$", "")
-    said = strip(F.regexp_replace(said, rf"(?i)^id{SPACE}*:{SPACE}*", ""))
-    said = strip(F.substring_index(said, "|", 1))
-    said = strip(F.regexp_replace(said, rf"{SPACE}+\([^)]*\){SPACE}*$", ""))
-    return F.regexp_replace(said, "^[`'\" \\t\\r\\n,;]+|[`'\" \\t\\r\\n,;]+$", "")
+    """A node id without what is put around it."""
+    return F.regexp_extract(text_or(c), rf"(?isU)^{BEFORE_REF}([^|]*?){BEHIND_REF}$", 1)
 
 
 def natural_number(name: Column) -> Column:
@@ -151,8 +161,13 @@ UNIT_OPEN, MEDIA = r"(?is)<image-unit\b[^>]*>", r"(?is)<image-media\b[^>]*>.*?</
 SAID = r"(?is)<image-description\b[^>]*>(.*?)</image-description>"
 
 
-def strip_image_media(c: Column) -> Column:
-    """Image units become their descriptions, those without one what is in them beside media; media go everywhere.
+#: What stands for image units, media and inline data in text for an embedder. Fixed values.
+DESCRIBED, UNDESCRIBED = ("\n\n[Embedded image description]\n", "\n[/Embedded image description]\n\n"), "\n\n[Embedded image omitted: no description available]\n\n"
+NO_MEDIA, NO_DATA = "\n\n[Embedded image media omitted]\n\n", "data:image;base64,[omitted]"
+
+
+def each_unit(c: Column, told: Callable[[Column], Column]) -> Column:
+    """The text with the inside of each image unit put as ``told`` says.
 
     The text is cut at the ends of units, so that no unit reaches into the next.
     """
@@ -161,19 +176,24 @@ def strip_image_media(c: Column) -> Column:
     def unit(part: Column) -> Column:
         pieces = F.split(part, UNIT_OPEN, 2)
         body = F.get(pieces, F.lit(1))
-        said = F.when(body.rlike(SAID), strip(F.regexp_extract(body, SAID, 1))).otherwise(strip(F.regexp_replace(body, MEDIA, "")))
-        return F.when(body.isNull(), F.concat(part, F.lit("</image-unit>"))).otherwise(F.concat(F.get(pieces, F.lit(0)), said))
+        return F.when(body.isNull(), F.concat(part, F.lit("</image-unit>"))).otherwise(F.concat(F.get(pieces, F.lit(0)), told(body)))
 
     last = F.size(parts) - 1
-    done = F.transform(parts, lambda part, i: F.when(i < last, unit(part)).otherwise(part))
-    return F.regexp_replace(F.array_join(done, ""), MEDIA, "")
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i < last, unit(part)).otherwise(part)), "")
+
+
+def strip_image_media(c: Column) -> Column:
+    """Image units become their descriptions, those without one what is in them beside media; media go everywhere."""
+    told = lambda body: F.when(body.rlike(SAID), strip(F.regexp_extract(body, SAID, 1))).otherwise(strip(F.regexp_replace(body, MEDIA, "")))
+    return F.regexp_replace(each_unit(c, told), MEDIA, "")
 
 
 def embed_safe(c: Column) -> Column:
-    """Text for an embedder: descriptions unwrapped, inline image data replaced by a mark."""
-    said = strip_image_media(c)
-    said = F.regexp_replace(said, r"(?i)data:image/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+", "[image omitted]")
-    return F.regexp_replace(said, r"(?is)</?image-description\b[^>]*>", "")
+    """Text for an embedder: descriptions between marks; a mark for units without one, for media, and a redacted address for inline data."""
+    said = lambda body: strip(F.regexp_extract(body, SAID, 1))
+    told = lambda body: F.when(said(body) != "", F.concat(F.lit(DESCRIBED[0]), said(body), F.lit(DESCRIBED[1]))).otherwise(F.lit(UNDESCRIBED))
+    bare = F.regexp_replace(each_unit(c, told), MEDIA, NO_MEDIA)
+    return F.regexp_replace(bare, r"(?i)data:image/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=\r\n]+", NO_DATA)
 
 
 def images(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +104,33 @@ def majority_cluster(cited: DataFrame, nearest: DataFrame, fallback: str = "Agen
     return notes.join(voted, "note", "left").join(near, "note", "left").select("note", F.coalesce("cluster", F.nullif(F.col("_near"), F.lit("")), F.lit(fallback)).alias("cluster"))
 
 
+#: Ids that a leaf of the digest holds, about.
+LEAF_IDS = 256
+
+
+def set_digest(ids: DataFrame, leaf: int = LEAF_IDS) -> tuple[str, int]:
+    """(digest, number) of a set of ids (one column): the root of a tree over the ids by their hashes.
+
+    Ids of one hash prefix make a leaf, in order; the prefix is as long as the number of ids
+    asks for, so a leaf has about ``leaf`` of them at any size and equal sets have equal
+    trees, however they are partitioned. Each level up joins 16 digests in order.
+    """
+    rows = cut(ids.toDF("id").distinct().withColumn("h", F.sha2("id", 256)))
+    n, depth = rows.count(), 0
+    while n > leaf * 16**depth:
+        depth += 1
+    prefix = F.substring("h", 1, depth) if depth else F.lit("")
+    level = rows.withColumn("p", prefix).groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "|"), 256).alias("d"))
+    while depth:
+        depth -= 1
+        told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat(x["p"], F.lit(":"), x["d"])), "|")
+        level = level.withColumn("_up", F.substring("p", 1, depth) if depth else F.lit("")).groupBy("_up").agg(F.sha2(told, 256).alias("d")).withColumnRenamed("_up", "p")
+    row = level.first()
+    return (row["d"] if row else hashlib.sha256(b"").hexdigest()), n
+
+
 def signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: a hash that changes with the set of nodes or edges, kept by sums so that no list is gathered."""
-    digest = lambda d, name: d.agg(F.count(F.lit(1)).alias(f"{name}_n"), F.coalesce(F.sum(F.conv(F.substring(F.sha2("id", 256), 1, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"{name}_h"))
-    both = digest(nodes, "nodes").crossJoin(digest(edges, "edges"))
-    return both.select(F.sha2(F.concat_ws("|", "nodes_n", "edges_n", "nodes_h", "edges_h"), 256).alias("signature"))
+    """One row: a hash that changes with the set of nodes or of edges, and with nothing else."""
+    (a, n), (b, m) = set_digest(nodes.select("id")), set_digest(edges.select("id"))
+    value = hashlib.sha256(f"{n}|{a}|{m}|{b}".encode()).hexdigest()
+    return nodes.sparkSession.createDataFrame([(value,)], "signature string")

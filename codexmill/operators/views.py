@@ -50,9 +50,10 @@ def query(kind: str, hits: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
     return own, at
 
 
-def replace_items(old: DataFrame, items: DataFrame) -> DataFrame:
-    """The items with those of every node that has new ones replaced as a whole."""
-    return old.join(items.select("node_id").distinct(), "node_id", "left_anti").select(*old.columns).unionByName(items.select(*old.columns))
+def replace_items(old: DataFrame, items: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
+    """The items with those of every node that has new ones, or is among node_ids, replaced as a whole; so a node of node_ids may end with none."""
+    gone = items.select("node_id") if node_ids is None else items.select("node_id").unionByName(node_ids.toDF("node_id"))
+    return old.join(gone.distinct(), "node_id", "left_anti").select(*old.columns).unionByName(items.select(*old.columns))
 
 
 def valid_structure(edges: DataFrame, nodes: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -63,15 +64,23 @@ def valid_structure(edges: DataFrame, nodes: DataFrame, labels: Sequence[str]) -
 
 
 def successors(targets: DataFrame, edges: DataFrame, nodes: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
-    """(id, successor): the id's replacement, else itself if active, else the first active node it is superseded by."""
-    ids = store.active(nodes).select(F.col("id").alias("successor"))
+    """(id, successor): the live node that an id stands for; ids that stand for none have no row.
+
+    An id that ``replaced`` (old, new) names gives way to its replacement. That node counts
+    if it is active; if it is superseded, the active target of its newest superseded_by
+    edge does, ties to the smaller id; in any other state nothing does.
+    """
     own = targets.toDF("id").distinct()
-    tries = own.select("id", F.col("id").alias("successor"), F.lit(1).alias("_try"), F.lit("").alias("_at"))
+    start = own.withColumn("_start", F.col("id"))
     if replaced is not None:
-        tries = tries.unionByName(own.join(replaced.select(F.col("old").alias("id"), F.col("new").alias("successor")), "id").select("id", "successor", F.lit(0).alias("_try"), F.lit("").alias("_at")))
-    hops = edges.filter(F.col("label") == "superseded_by").select(F.col("source_node_id").alias("id"), F.col("target_node_id").alias("successor"), F.col("created_at").alias("_at"))
-    tries = tries.unionByName(own.join(hops, "id").select("id", "successor", F.lit(2).alias("_try"), "_at"))
-    return store.newest(tries.join(ids, "successor", "left_semi"), ["id"], [F.col("_try"), F.col("_at"), F.col("successor")]).select("id", "successor")
+        swap = replaced.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        start = own.join(swap, F.col("id") == F.col("_old"), "left").select("id", F.coalesce("_new", "id").alias("_start"))
+    met = start.join(nodes.select(F.col("id").alias("_n"), "status"), F.col("_start") == F.col("_n"))
+    ids = store.active(nodes).select(F.col("id").alias("successor"))
+    hops = edges.filter(F.col("label") == "superseded_by").select(F.col("source_node_id").alias("_from"), F.col("target_node_id").alias("successor"), F.col("created_at").alias("_at"))
+    led = met.filter(F.col("status") == "superseded").join(hops, F.col("_start") == F.col("_from")).join(ids, "successor", "left_semi")
+    newest = store.newest(led, ["id"], [F.col("_at").desc(), F.col("successor")]).select("id", "successor")
+    return met.filter(F.col("status") == "active").select("id", F.col("_start").alias("successor")).unionByName(newest)
 
 
 def semantic_edges(hits: DataFrame, within: float) -> DataFrame:
@@ -168,3 +177,15 @@ def list_from_json(text: Column) -> Column:
 def clamped(score: Column) -> Column:
     """A judge's score within 0 and 100; none is 0."""
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(score.cast("double"), F.lit(0.0))))
+
+
+def item_rows(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits (query_id, rank, id, score) with all columns of the items they are."""
+    own = items.select(F.col("id").alias("_i"), *[c for c in items.columns if c != "id"])
+    return hits.join(own, F.col("id") == F.col("_i")).drop("_i")
+
+
+def dump(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, id, json): every row of the graph as JSON, nodes and edges."""
+    told = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.to_json(F.struct("*")).alias("json"))
+    return told(nodes, "node").unionByName(told(edges, "edge"))

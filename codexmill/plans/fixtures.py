@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codexmill import schema
 from codexmill.functions import ids, text
-from codexmill.operators import store
+from codexmill.operators import evidence, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,18 @@ def items(n: DataFrame) -> DataFrame:
     return every.withColumn("id", ids.item_id(F.col("node_id"), F.col("field"), F.col("ordinal")))
 
 
+def described(n: DataFrame) -> DataFrame:
+    """Nodes with claims, keywords and entity out of their text: its first three sentences, first six distinct tokens and first token."""
+    words = text.tokens(F.col("body"))
+    parts = {"claims": F.slice(F.split("body", r"\. "), 1, 3), "keywords": F.slice(F.array_distinct(words), 1, 6), "entity": F.coalesce(F.get(words, F.lit(0)), F.lit(""))}
+    return schema.conform(n.withColumns(parts), schema.NODES)
+
+
+def all_items(n: DataFrame) -> DataFrame:
+    """All five kinds of evidence; a node's summary is its first hundred characters."""
+    return evidence.search_items(described(n).withColumn("summary", F.substring("body", 1, 100)))
+
+
 def index_docs(n: DataFrame) -> DataFrame:
     """(id, text) of the keyword index: every node but the deleted."""
     return store.not_deleted(n).select("id", text.index_text(F.col("title"), F.col("summary"), F.col("body"), F.array().cast("array<string>")).alias("text"))
@@ -96,12 +109,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("v"), "label", "vec_id")
 
 
-def body_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, v): a vector for each node whose newest write has one."""
+def body_vectors(spark: SparkSession, sf_dir: str, after: int = 0) -> DataFrame:
+    """(id, v): a vector for each node whose newest write has one, or the write so many after it."""
     w = writes(spark, sf_dir).select("seq", "id")
     newest = w.groupBy("id").agg(F.max("seq").alias("seq"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("v"))
-    return newest.join(e, F.col("seq") == F.col("_v")).select("id", "v")
+    return newest.join(e, F.col("seq") + after == F.col("_v")).select("id", "v")
+
+
+def summary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v): vectors that stand for those of the nodes' summaries."""
+    return body_vectors(spark, sf_dir, 1)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +142,18 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(old, new) pages of each source: documents with even doc_id, and those with odd ones with some of the old kept or edited."""
+    """(old, new) pages of each source: documents with even doc_id, and those with odd ones with some of the old kept or edited.
+
+    Claims are a page's first three sentences, keywords its first six distinct tokens,
+    the entity its first token.
+    """
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
-    hashed = lambda df: df.withColumn("hash", F.sha2("body", 256))
+
+    def described(df: DataFrame) -> DataFrame:
+        words = text.tokens(F.col("body"))
+        claims, keywords = F.slice(F.split("body", r"\. "), 1, 3), F.slice(F.array_distinct(words), 1, 6)
+        return df.withColumns({"hash": F.sha2("body", 256), "claims": claims, "keywords": keywords, "entity": F.coalesce(F.get(words, F.lit(0)), F.lit(""))})
+
     again = d.withColumn("id", F.concat(F.lit("n"), "id"))
     edited = again.filter(F.col("ord") % 8 == 2).withColumn("body", F.concat("body", F.lit(" revised edition")))
-    return hashed(d.filter(F.col("ord") % 2 == 0)), hashed(d.filter(F.col("ord") % 2 == 1).unionByName(again.filter(F.col("ord") % 4 == 0)).unionByName(edited))
+    return described(d.filter(F.col("ord") % 2 == 0)), described(d.filter(F.col("ord") % 2 == 1).unionByName(again.filter(F.col("ord") % 4 == 0)).unionByName(edited))

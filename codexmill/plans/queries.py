@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.functions import ids, text
-from codexmill.operators import cluster, graph, hybrid, jobs, knn, library, revise, search, store, views
+from codexmill.operators import cluster, graph, hybrid, jobs, knn, library, louvain, revise, search, store, views
+from codexmill.operators.lineage import cut
 
 from . import fixtures as fx
 from . import sql as q
@@ -244,40 +245,44 @@ def nearest_cluster(spark, d):
     return knn.nearest_cluster(ten(spark, d, 50), n)
 
 
-def pools(spark, d):
-    """Hits of the five pools for the first ten benchmark items, with the vector of the same number as theirs."""
-    n = fx.nodes(spark, d)
+def pools(spark, d, words_too=True):
+    """Hits of the five pools for all benchmark items, with the vector of the same number as theirs; nodes and items are written once."""
+    n = cut(fx.nodes(spark, d))
     active = store.active(n).select("id")
-    asked = fx.questions(spark, d, 10)
-    it = fx.items(n)
-    body = fx.body_vectors(spark, d)
-    q_vec = fx.vectors(spark, d).filter(F.col("vec_id") < 10).select(F.col("vec_id").cast("string").alias("query_id"), "v")
-    near = knn.knn(q_vec, body, 50)
-    first_chunk = it.filter((F.col("field") == "small_chunk") & (F.col("ordinal") == 0))
-    item_near = knn.knn(q_vec, first_chunk.join(body.withColumnRenamed("id", "_n"), F.col("node_id") == F.col("_n")).select("id", "v"), 300)
-    item_words = search.best(search.bm25(it.select("id", "text"), asked).join(it.select("id", "node_id").join(active.toDF("node_id"), "node_id", "left_semi").select("id"), "id", "left_semi"), 150)
+    asked = cut(fx.questions(spark, d))
+    body = cut(fx.body_vectors(spark, d))
+    q_vec = cut(fx.table(spark, d, "benchmark").select(F.col("item_id").alias("_b")).join(fx.vectors(spark, d), F.col("_b") == F.col("vec_id")).select(F.col("vec_id").cast("string").alias("query_id"), "v"))
 
     def of_nodes(hits, pool, field):
         return hits.join(active, "id", "left_semi").select("query_id", F.lit(pool[0]).alias("pool"), F.col("rank").cast("int").alias("rank"), F.lit(pool[2]).alias("weight"), F.col("id").alias("node_id"), F.lit(field).alias("field"), F.lit(None).cast("string").alias("item_id"), F.lit("").alias("text"), F.lit(None).cast("int").alias("start_char"))
 
+    words = search.keyword_search(fx.index_docs(n), active, asked, 50)
+    hits = of_nodes(words, hybrid.NODE_BM25, "node_bm25").unionByName(of_nodes(knn.knn(q_vec, body, 50), hybrid.BODY_VEC, "body_vec")).unionByName(of_nodes(knn.knn(q_vec, fx.summary_vectors(spark, d), 50), hybrid.SUMMARY_VEC, "summary_vec"))
+    if not words_too:
+        return hits, n
+    it = cut(fx.all_items(n).join(active.toDF("node_id"), "node_id", "left_semi"))
+
     def of_items(hits, pool):
-        own = it.withColumnRenamed("id", "item_id").join(active.toDF("node_id"), "node_id", "left_semi")
         weight = F.lit(pool[2]) if pool[2] else hybrid.item_weight(F.col("field"))
-        return hits.withColumnRenamed("id", "item_id").join(own, "item_id").select("query_id", F.lit(pool[0]).alias("pool"), F.col("rank").cast("int").alias("rank"), weight.alias("weight"), "node_id", "field", "item_id", "text", "start_char")
+        return hits.withColumnRenamed("id", "item_id").join(it.withColumnRenamed("id", "item_id"), "item_id").select("query_id", F.lit(pool[0]).alias("pool"), F.col("rank").cast("int").alias("rank"), weight.alias("weight"), "node_id", "field", "item_id", "text", "start_char")
 
-    words = search.keyword_search(fx.index_docs(n), active, asked, 50)
-    hits = of_nodes(words, hybrid.NODE_BM25, "node_bm25").unionByName(of_nodes(near, hybrid.BODY_VEC, "body_vec")).unionByName(of_items(item_near, hybrid.ITEM_VEC)).unionByName(of_items(item_words, hybrid.ITEM_BM25))
-    return hits, n
+    # A node's vector stands for those of its first chunk, its claims and its summary.
+    first = it.filter((F.col("ordinal") == 0) & F.col("field").isin("small_chunk", "claim", "summary"))
+    item_near = knn.knn(q_vec, first.join(body.withColumnRenamed("id", "_n"), F.col("node_id") == F.col("_n")).select("id", "v"), 300)
+    # Lengths and frequencies of terms are those of the active nodes' items.
+    item_words = search.best(search.bm25(it.select("id", "text"), asked), 150)
+    return cut(hits.unionByName(of_items(item_near, hybrid.ITEM_VEC)).unionByName(of_items(item_words, hybrid.ITEM_BM25))), n
 
 
-@query(f"""WITH {q.NODES}, {q.INDEX}, all_q AS (SELECT * FROM (WITH {q.QUESTIONS} SELECT * FROM questions) WHERE query_id::INT < 10), {q.bm25_sql('docs', 'all_q')},
+@query(f"""WITH {q.NODES}, {q.INDEX}, {q.QUESTIONS}, {q.bm25_sql('docs', 'questions')},
   words AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores WHERE id IN (SELECT id FROM nodes WHERE status = 'active')) WHERE rank <= 50),
-  body AS (SELECT id, embedding::DOUBLE[] AS v FROM (SELECT id, max(seq) AS seq FROM writes GROUP BY id) JOIN embeddings ON vec_id = seq),
-  near AS (SELECT * FROM (SELECT e.vec_id::VARCHAR AS query_id, b.id, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], b.v), b.id) AS rank FROM embeddings e CROSS JOIN body b WHERE e.vec_id < 10) WHERE rank <= 50 AND id IN (SELECT id FROM nodes WHERE status = 'active')),
-  hits AS (SELECT query_id, id, rank, 0.9 AS w FROM words UNION ALL SELECT query_id, id, rank, 0.75 FROM near)
+  last_ AS (SELECT id, max(seq) AS seq FROM writes GROUP BY id),
+  vec AS (SELECT id, 0.75 AS w, embedding::DOUBLE[] AS v FROM last_ JOIN embeddings ON vec_id = seq UNION ALL SELECT id, 1.0, embedding::DOUBLE[] FROM last_ JOIN embeddings ON vec_id = seq + 1),
+  near AS (SELECT * FROM (SELECT e.vec_id::VARCHAR AS query_id, b.id, w, row_number() OVER (PARTITION BY e.vec_id, w ORDER BY list_distance(e.embedding::DOUBLE[], b.v), b.id) AS rank FROM embeddings e JOIN benchmark ON item_id = e.vec_id CROSS JOIN vec b) WHERE rank <= 50 AND id IN (SELECT id FROM nodes WHERE status = 'active')),
+  hits AS (SELECT query_id, id, rank, 0.9 AS w FROM words UNION ALL SELECT query_id, id, rank, w FROM near)
   SELECT query_id, id AS node_id, round(sum(w::DOUBLE / (60 + rank)), 6) AS rrf FROM hits GROUP BY query_id, id""")
 def rrf_pools(spark, d):
-    return hybrid.fused(pools(spark, d)[0].filter(F.col("pool") <= 1))
+    return hybrid.fused(pools(spark, d, words_too=False)[0])
 
 
 @query()
@@ -443,8 +448,7 @@ def majority_cluster(spark, d):
     return cluster.majority_cluster(w, w.filter(F.col("note") % 4 != 0).groupBy("note").agg(F.min("cluster").alias("cluster")))
 
 
-@query(f"""WITH {q.EDGES}, h AS (SELECT (SELECT count(*) FROM nodes) AS nn, (SELECT count(*) FROM edges) AS en, (SELECT sum(('0x' || substr(sha256(id), 1, 12))::BIGINT)::VARCHAR FROM nodes) AS nh, (SELECT sum(('0x' || substr(sha256(id), 1, 12))::BIGINT)::VARCHAR FROM edges) AS eh)
-  SELECT sha256(nn || '|' || en || '|' || nh || '|' || eh) AS signature FROM h""")
+@query(f"""WITH {q.EDGES}, {q.set_digest('nodes', 'a')}, {q.set_digest('edges', 'b')} SELECT sha256(an || '|' || ad || '|' || bn || '|' || bd) AS signature FROM a_root, b_root""")
 def cluster_signature(spark, d):
     return cluster.signature(fx.nodes(spark, d), fx.edges(spark, d))
 
@@ -456,9 +460,8 @@ def label_numbers(spark, d):
 
 @query()
 def recluster(spark, d):
-    n, e = fx.nodes(spark, d), fx.edges(spark, d)
-    weights = graph.edge_weights(n, e).persist()
-    return cluster.communities(store.active(n), weights)
+    n, e = store.active(fx.nodes(spark, d)), fx.edges(spark, d)
+    return louvain.louvain(n, graph.edge_weights(n, e))
 
 
 # revisions
@@ -478,20 +481,31 @@ def exact_match(spark, d):
     return revise.exact_matches(*fx.revisions(spark, d))
 
 
-MATCH_SQL = f"ot AS (SELECT document, ord, id, unnest(list_distinct({q.tokens('body')})) AS tok FROM old), nt AS (SELECT document, id, unnest(list_distinct({q.tokens('body')})) AS tok FROM new), oc AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ot), nc AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM nt), scored AS (SELECT a.document, a.id AS old_id, a.ord AS old_ord, b.id AS new_id, round(0.65 * count(*) / (a.n + b.n - count(*)), 6) AS score FROM oc a JOIN nc b ON a.document = b.document AND a.tok = b.tok GROUP BY a.document, a.id, a.ord, b.id, a.n, b.n)"
-
-
-@query(f"WITH {q.REVISIONS}, {MATCH_SQL} SELECT document, old_id, new_id, score FROM scored WHERE score >= 0.2")
+@query(f"WITH {q.REVISIONS}, {q.SCORED} SELECT document, old_id, new_id, round(score, 6) AS score FROM scored WHERE score >= 0.2")
 def match_score(spark, d):
-    return revise.candidate_pairs(*fx.revisions(spark, d)).filter(F.col("score") >= 0.2).select("document", "old_id", "new_id", "score")
+    return revise.scored_pairs(*fx.revisions(spark, d), threshold=0.2).select("document", "old_id", "new_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {q.REVISIONS}, {MATCH_SQL} SELECT new_id, old_id, score FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_ord) AS rn FROM scored WHERE score >= 0.45) WHERE rn = 1")
+@query(f"WITH {q.REVISIONS}, {q.SCORED} SELECT new_id, old_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_ord) AS rn FROM scored WHERE score >= 0.45) WHERE rn = 1")
 def best_match(spark, d):
-    return revise.best_match(revise.candidate_pairs(*fx.revisions(spark, d)))
-
-
-@query()
+    return revise.best_match(revise.scored_pairs(*fx.revisions(spark, d))).withColumn("score", F.round("score", 6))
+
+
+# New pages in order take the best old page left: one row of the recursion for each new page of a document.
+@query(f"""WITH RECURSIVE {q.REVISIONS}, exact AS (SELECT o.document, o.id AS old_id, n.id AS new_id FROM (SELECT document, hash, arg_min(id, ord) AS id FROM old GROUP BY ALL) o JOIN (SELECT document, hash, arg_min(id, ord) AS id FROM new GROUP BY ALL) n USING (document, hash)),
+  {q.SCORED}, open_ AS (SELECT * FROM scored WHERE score >= 0.45 AND old_id NOT IN (SELECT old_id FROM exact) AND new_id NOT IN (SELECT new_id FROM exact)),
+  wanted AS (SELECT *, dense_rank() OVER (PARTITION BY document ORDER BY new_ord, new_id) AS turn FROM open_),
+  walk AS (
+    SELECT document, 0::BIGINT AS turn, []::VARCHAR[] AS used, NULL::VARCHAR AS new_id, NULL::VARCHAR AS old_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT document FROM wanted)
+    UNION ALL
+    SELECT w.document, w.turn + 1, CASE WHEN p.old_id IS NULL THEN w.used ELSE list_append(w.used, p.old_id) END, p.new_id, p.old_id, p.score
+    FROM walk w JOIN (SELECT document, max(turn) AS last FROM wanted GROUP BY document) m ON m.document = w.document AND w.turn < m.last
+    LEFT JOIN LATERAL (SELECT arg_min(x.new_id, (-x.score, x.old_ord)) AS new_id, arg_min(x.old_id, (-x.score, x.old_ord)) AS old_id, max(x.score) AS score FROM wanted x WHERE x.document = w.document AND x.turn = w.turn + 1 AND NOT list_contains(w.used, x.old_id)) p ON true),
+  fuzzy AS (SELECT document, new_id, old_id FROM walk WHERE old_id IS NOT NULL)
+  SELECT document, new_id AS id, 'unchanged' AS action FROM exact
+  UNION ALL SELECT f.document, f.new_id, CASE WHEN CASE WHEN len(o.claims) > 0 AND len(n.claims) > 0 THEN {q.jaccard('o.claims', 'n.claims')} >= 0.9 ELSE {q.jaccard('o.words', 'n.words')} >= 0.95 END THEN 'remapped' ELSE 'superseded' END FROM fuzzy f JOIN old o ON o.id = f.old_id JOIN new n ON n.id = f.new_id
+  UNION ALL SELECT document, id, 'new' FROM new WHERE id NOT IN (SELECT new_id FROM exact) AND id NOT IN (SELECT new_id FROM fuzzy)
+  UNION ALL SELECT document, id, 'stale' FROM old WHERE id NOT IN (SELECT old_id FROM exact) AND id NOT IN (SELECT old_id FROM fuzzy)""")
 def revision_actions(spark, d):
     return revise.actions(*fx.revisions(spark, d))
 
@@ -610,13 +624,15 @@ def query_by_id(spark, d):
     return views.query(" ID ", hits, fx.nodes(spark, d), fx.edges(spark, d))[1]
 
 
-@query(f"""WITH {q.NODES}, parts AS (SELECT id AS node_id, ordinal, chunk FROM ({q.chunk_sql(512, 80)})), fresh AS (SELECT DISTINCT id FROM writes WHERE seq % 6 = 0)
-  SELECT node_id, ordinal, sha256(chunk) AS h FROM parts WHERE node_id NOT IN (SELECT id FROM fresh) UNION ALL SELECT node_id, ordinal, sha256('new ' || chunk) FROM parts WHERE node_id IN (SELECT id FROM fresh) AND ordinal = 0""")
+@query(f"""WITH {q.NODES}, parts AS (SELECT id AS node_id, ordinal, chunk FROM ({q.chunk_sql(512, 80)})), fresh AS (SELECT DISTINCT id FROM writes WHERE seq % 6 = 0), given AS (SELECT DISTINCT id FROM writes WHERE seq % 12 = 0)
+  SELECT node_id, ordinal, sha256(chunk) AS h FROM parts WHERE node_id NOT IN (SELECT id FROM fresh) UNION ALL SELECT node_id, ordinal, sha256('new ' || chunk) FROM parts WHERE node_id IN (SELECT id FROM given) AND ordinal = 0""")
 def replace_items(spark, d):
     small = fx.items(fx.nodes(spark, d)).filter(F.col("field") == "small_chunk").select("node_id", F.col("ordinal").cast("long").alias("ordinal"), "text")
-    fresh = store.by_ids(small.withColumnRenamed("node_id", "id"), fx.writes(spark, d).filter(F.col("seq") % 6 == 0).select("id")).withColumnRenamed("id", "node_id")
-    new = fresh.filter(F.col("ordinal") == 0).withColumn("text", F.concat(F.lit("new "), "text"))
-    return views.replace_items(small, new).select("node_id", "ordinal", F.sha2("text", 256).alias("h"))
+    w = fx.writes(spark, d).select("seq", "id")
+    given = store.by_ids(small, w.filter(F.col("seq") % 12 == 0).select("id"), "node_id")
+    new = given.filter(F.col("ordinal") == 0).withColumn("text", F.concat(F.lit("new "), "text"))
+    # Half of the nodes that are written anew have no items any more.
+    return views.replace_items(small, new, w.filter(F.col("seq") % 6 == 0).select("id")).select("node_id", "ordinal", F.sha2("text", 256).alias("h"))
 
 
 @query(f"WITH {q.EDGES} SELECT id, label FROM edges WHERE label IN ('follows', 'supports') AND source_node_id IN (SELECT id FROM active) AND target_node_id IN (SELECT id FROM active)")
@@ -624,13 +640,20 @@ def valid_structure(spark, d):
     return views.valid_structure(fx.edges(spark, d), fx.nodes(spark, d), ["follows", "supports"]).select("id", "label")
 
 
-@query(f"""WITH {q.EDGES}, hops AS (SELECT source_node_id AS id, target_node_id AS successor, created_at FROM edges WHERE label = 'follows'),
-  tries AS (SELECT id, id AS successor, 1 AS t, '' AS place FROM nodes UNION ALL SELECT n.id, h.successor, 2, h.created_at FROM nodes n JOIN hops h ON h.id = n.id)
-  SELECT id, successor FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, place, successor) AS r FROM tries WHERE successor IN (SELECT id FROM active)) WHERE r = 1""")
+# Stale nodes are taken as superseded; follows and supports edges say by what, contradicts edges what replaces what.
+@query(f"""WITH {q.EDGES}, n AS (SELECT id, CASE WHEN status = 'stale' THEN 'superseded' ELSE status END AS status FROM nodes),
+  swap AS (SELECT source_node_id AS old, min(target_node_id) AS new FROM edges WHERE label = 'contradicts' GROUP BY 1),
+  met AS (SELECT a.id, coalesce(swap.new, a.id) AS at FROM n a LEFT JOIN swap ON swap.old = a.id),
+  state AS (SELECT met.id, met.at, n.status FROM met JOIN n ON n.id = met.at),
+  led AS (SELECT s.id, e.target_node_id AS successor, row_number() OVER (PARTITION BY s.id ORDER BY e.created_at DESC, e.target_node_id) AS r
+          FROM state s JOIN edges e ON e.source_node_id = s.at AND e.label IN ('follows', 'supports') JOIN n t ON t.id = e.target_node_id AND t.status = 'active' WHERE s.status = 'superseded')
+  SELECT id, at AS successor FROM state WHERE status = 'active' UNION ALL SELECT id, successor FROM led WHERE r = 1""")
 def successor(spark, d):
-    e = fx.edges(spark, d).filter(F.col("label") == "follows").withColumn("label", F.lit("superseded_by"))
-    n = fx.nodes(spark, d)
-    return views.successors(n.select("id"), e, n)
+    e = fx.edges(spark, d)
+    swap = e.filter(F.col("label") == "contradicts").groupBy(F.col("source_node_id").alias("old")).agg(F.min("target_node_id").alias("new"))
+    hops = e.filter(F.col("label").isin("follows", "supports")).withColumn("label", F.lit("superseded_by"))
+    n = fx.nodes(spark, d).withColumn("status", F.when(F.col("status") == "stale", "superseded").otherwise(F.col("status")))
+    return views.successors(n.select("id"), hops, n, swap)
 
 
 @query(f"WITH {q.KNN.format(k=10)}, near AS (SELECT query_id AS s, id AS t FROM knn WHERE distance <= 1.15 AND query_id <> id) SELECT s AS source_node_id, t AS target_node_id, 'related' AS label FROM near UNION SELECT t, s, 'related' FROM near")
@@ -802,3 +825,6 @@ def bm25_phrases(spark, d):
     n, words = fx.nodes(spark, d), text.index_terms(F.col("text"))
     asked = fx.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.array_join(F.slice(words, 1, 2), "-"), F.lit(" "), F.array_join(F.slice(words, 3, 1), "")).alias("text"))
     return search.keyword_search(fx.index_docs(n), store.active(n).select("id"), asked)
+
+
+from . import lookups, writes  # noqa: E402, F401  their queries register themselves here

@@ -72,6 +72,30 @@ jobs AS (SELECT job_id, arg_max(status, seq) AS status, arg_min(event_id, seq) A
 KNN = """vec AS (SELECT 'v' || vec_id AS id, vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 dist AS (SELECT q.id AS query_id, c.id AS id, list_distance(q.v, c.v) AS d FROM vec q CROSS JOIN vec c WHERE q.vec_id < 10),
 knn AS (SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM dist) WHERE rank <= {k})"""
-REVISIONS = """d AS (SELECT source AS document, doc_id AS ord, doc_id::VARCHAR AS id, text AS body FROM documents),
-old AS (SELECT *, sha256(body) AS hash FROM d WHERE ord % 2 = 0),
-new AS (SELECT *, sha256(body) AS hash FROM (SELECT * FROM d WHERE ord % 2 = 1 UNION ALL SELECT document, ord, 'n' || id, body FROM d WHERE ord % 4 = 0 UNION ALL SELECT document, ord, 'n' || id, body || ' revised edition' FROM d WHERE ord % 8 = 2))"""
+#: The parts that pages are compared by: normalised claims, keywords and tokens as sets, and the entity.
+COMPARED = f"""sha256(body) AS hash, list_filter(list_distinct(list_transform(string_split(body, '. ')[1:3], lambda c: array_to_string({tokens('c')}, ' '))), lambda x: x <> '') AS claims,
+  list_distinct({tokens('body')}) AS words, list_transform(list_filter(list_zip({tokens('body')}, range(1, len({tokens('body')}) + 1)), lambda z: list_position({tokens('body')}, z[1]) = z[2])[1:6], lambda z: z[1]) AS keywords, coalesce(({tokens('body')})[1], '') AS entity"""
+REVISIONS = f"""d AS (SELECT source AS document, doc_id AS ord, doc_id::VARCHAR AS id, text AS body FROM documents),
+old AS (SELECT *, {COMPARED} FROM d WHERE ord % 2 = 0),
+new AS (SELECT *, {COMPARED} FROM (SELECT * FROM d WHERE ord % 2 = 1 UNION ALL SELECT document, ord, 'n' || id, body FROM d WHERE ord % 4 = 0 UNION ALL SELECT document, ord, 'n' || id, body || ' revised edition' FROM d WHERE ord % 8 = 2))"""
+
+
+def jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+#: All pairs of a document with their score.
+SCORED = f"""scored AS (
+  SELECT o.document, o.id AS old_id, o.ord AS old_ord, n.id AS new_id, n.ord AS new_ord,
+         least(1.0, greatest({jaccard('o.claims', 'n.claims')}, 0.8 * {jaccard('o.keywords', 'n.keywords')}, 0.65 * {jaccard('o.words', 'n.words')}) + CASE WHEN o.entity <> '' AND o.entity = n.entity THEN 0.2 ELSE 0.0 END) AS score
+  FROM old o JOIN new n ON o.document = n.document)"""
+
+
+def set_digest(table: str, name: str) -> str:
+    """CTEs up to one row ``name``_root (its digest, its number) over the ids of a table: leaves of about 256 by hash prefix, then levels of 16."""
+    return f"""
+{name}_size AS (SELECT count(DISTINCT id) AS n, greatest(0, ceil(ln(greatest(1, count(DISTINCT id)) / 256.0) / ln(16) - 1e-9))::INTEGER AS depth FROM {table}),
+{name}_leaf AS (SELECT substr(sha256(id), 1, depth) AS p, sha256(string_agg(id, '|' ORDER BY id)) AS d, any_value(depth) AS depth, any_value(n) AS n FROM (SELECT DISTINCT id FROM {table}), {name}_size GROUP BY 1),
+{name}_two AS (SELECT substr(p, 1, 2) AS p, CASE WHEN any_value(depth) > 2 THEN sha256(string_agg(p || ':' || d, '|' ORDER BY p)) ELSE any_value(d) END AS d, any_value(depth) AS depth, any_value(n) AS n FROM {name}_leaf GROUP BY 1),
+{name}_one AS (SELECT substr(p, 1, 1) AS p, CASE WHEN any_value(depth) > 1 THEN sha256(string_agg(p || ':' || d, '|' ORDER BY p)) ELSE any_value(d) END AS d, any_value(depth) AS depth, any_value(n) AS n FROM {name}_two GROUP BY 1),
+{name}_root AS (SELECT CASE WHEN any_value(depth) > 0 THEN sha256(string_agg(p || ':' || d, '|' ORDER BY p)) ELSE any_value(d) END AS {name}d, any_value(n) AS {name}n FROM {name}_one)"""

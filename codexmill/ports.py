@@ -43,12 +43,54 @@ class HashedTokens:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+#: What a refusal says that a shorter text may mend. Fixed values.
+TOO_LONG = ("context length", "input_tokens", "too many tokens", "out of memory", "cuda error")
+
+
+def in_parts(embed: Callable[[list[str]], np.ndarray], text: str) -> np.ndarray:
+    """The vector of a text that the port refuses as too long: the mean over 2, 3, ... runs of lines, the fewest that it takes.
+
+    There are never more runs than lines, so it ends; other errors go on as they are.
+    """
+    lines = text.splitlines()
+    if not lines:
+        raise ValueError("the text can't be split")
+    for count in range(2, max(2, len(lines)) + 1):
+        size = -(-len(lines) // min(count, len(lines)))
+        runs = ["\n".join(lines[i : i + size]) for i in range(0, len(lines), size)]
+        try:
+            return np.mean(embed([r for r in runs if r.strip()]), axis=0)
+        except Exception as error:
+            if not too_long(error):
+                raise
+    raise ValueError("the text is too long even by lines")
+
+
+def too_long(error: Exception) -> bool:
+    return any(t in str(error).lower() for t in TOO_LONG)
+
+
+def embedded_each(port: Embedder, texts: list[str]) -> list[np.ndarray]:
+    """Vectors of texts: all at once, and if the port refuses that, halves of them, down to single texts, which are split by lines."""
+    if not texts:
+        return []
+    try:
+        return list(port.embed(texts))
+    except Exception as error:
+        if not too_long(error):
+            raise
+    if len(texts) == 1:
+        return [in_parts(port.embed, texts[0])]
+    half = len(texts) // 2
+    return embedded_each(port, texts[:half]) + embedded_each(port, texts[half:])
+
+
 def embedded(df: DataFrame, text: str, port: Embedder, out: str = "embedding") -> DataFrame:
     """df with the vectors of a text column; image markup and inline data are taken out first."""
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(port.embed(texts.fillna("").tolist())))
+            yield pd.Series(embedded_each(port, texts.fillna("").tolist()))
 
     return df.withColumn(out, vectors(embed_safe(F.col(text))))
 

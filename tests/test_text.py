@@ -88,7 +88,11 @@ def test_images(spark):
     assert value(spark, text.image_line_numbers(F.col("t")), t=t) == [0, 4]
     unit = "a <image-unit><image-media>M</image-media><image-description>D</image-description></image-unit> b"
     assert value(spark, text.strip_image_media(F.col("t")), t=unit) == "a D b"
-    assert value(spark, text.embed_safe(F.col("t")), t="x data:image/png;base64,AAAA") == "x [image omitted]"
+    marked = "a \n\n[Embedded image description]\nD\n[/Embedded image description]\n\n b"
+    assert value(spark, text.embed_safe(F.col("t")), t=unit) == marked
+    bare = "a <image-unit><image-media>M</image-media><image-description> </image-description></image-unit> b <image-media>N</image-media>"
+    assert value(spark, text.embed_safe(F.col("t")), t=bare) == "a \n\n[Embedded image omitted: no description available]\n\n b \n\n[Embedded image media omitted]\n\n"
+    assert value(spark, text.embed_safe(F.col("t")), t="x data:image/png;base64,AA\nAA==, y") == "x data:image;base64,[omitted], y"
 
 
 def test_blocks_and_tables(spark):
@@ -121,4 +125,4 @@ def test_image_units_do_not_reach_into_each_other(spark):
     df = spark.createDataFrame([(k,) for k in rows], "t string")
     assert {r[0]: r[1] for r in df.select("t", text.strip_image_media(F.col("t"))).collect()} == rows
     safe = spark.createDataFrame([("x data:image/png;base64,AAAA= following words",)], "t string").select(text.embed_safe(F.col("t"))).first()[0]
-    assert safe == "x [image omitted] following words"
+    assert safe == "x data:image;base64,[omitted] following words"
