@@ -33,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there, so that loops keep short plans."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, but by a Parquet table: what the optimiser knew of the old plan goes too, which in long loops grows with every round."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

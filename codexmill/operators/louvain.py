@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import written
 
 #: Rise in modularity below which a round or a level counts for nothing.
-ROUND_RISE, LEVEL_RISE = 1e-5, 1e-7
+ROUND_RISE, LEVEL_RISE = 1e-3, 1e-7
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -76,11 +76,11 @@ def moved(moves: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def one_level(edges: DataFrame, resolution: float) -> tuple[DataFrame, float, float]:
     """((id, community), modularity before, modularity after) of one level's moves."""
-    near, state = cut(both_ways(edges)), cut(start(edges))
+    near, state = written(both_ways(edges)), written(start(edges))
     twice = state.agg(F.sum("k")).first()[0] or 0.0
     if not twice:
         return state.select("id", "community"), 0.0, 0.0
-    now = cut(best_moves(near, state, twice, resolution))
+    now = written(best_moves(near, state, twice, resolution))
     first = reached = modularity_of(now, twice, resolution)
     turn = 0
     while True:
@@ -88,7 +88,7 @@ def one_level(edges: DataFrame, resolution: float) -> tuple[DataFrame, float, fl
         half = gaining.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
         rise = 0.0
         for chosen in (half, apart(gaining)):
-            tried = cut(best_moves(near, moved(now, chosen), twice, resolution))
+            tried = written(best_moves(near, moved(now, chosen), twice, resolution))
             value = modularity_of(tried, twice, resolution)
             if value - reached > ROUND_RISE:
                 rise, reached, now = value - reached, value, tried
@@ -110,16 +110,16 @@ def louvain(nodes: DataFrame, weights: DataFrame, resolution: float = 1.0) -> Da
     weights: a, b, weight of undirected edges, each pair once; loops (a = b) may be there.
     Nodes without edges stay alone. The result depends on nothing but the input.
     """
-    edges = cut(weights.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("weight")))
+    edges = written(weights.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("weight")))
     labels = None
     while True:
         own, before, after = one_level(edges, resolution)
         if labels is not None and after - before <= LEVEL_RISE:
             break
-        labels = cut(own if labels is None else labels.join(own.toDF("community", "_up"), "community").select("id", F.col("_up").alias("community")))
+        labels = written(own if labels is None else labels.join(own.toDF("community", "_up"), "community").select("id", F.col("_up").alias("community")))
         if after - before <= LEVEL_RISE:
             break
-        edges = cut(contracted(edges, own))
+        edges = written(contracted(edges, own))
     named = labels.join(labels.groupBy("community").agg(F.min("id").alias("_name")), "community").select(F.col("id").alias("_id"), "_name")
     return nodes.select("id").distinct().join(named, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_name", "id").alias("community"))
 

@@ -643,11 +643,11 @@ def valid_structure(spark, d):
 # Stale nodes are taken as superseded; follows and supports edges say by what, contradicts edges what replaces what.
 @query(f"""WITH {q.EDGES}, n AS (SELECT id, CASE WHEN status = 'stale' THEN 'superseded' ELSE status END AS status FROM nodes),
   swap AS (SELECT source_node_id AS old, min(target_node_id) AS new FROM edges WHERE label = 'contradicts' GROUP BY 1),
-  met AS (SELECT a.id, coalesce(swap.new, a.id) AS at FROM n a LEFT JOIN swap ON swap.old = a.id),
-  state AS (SELECT met.id, met.at, n.status FROM met JOIN n ON n.id = met.at),
+  met AS (SELECT a.id, coalesce(swap.new, a.id) AS here FROM n a LEFT JOIN swap ON swap.old = a.id),
+  state AS (SELECT met.id, met.here, n.status FROM met JOIN n ON n.id = met.here),
   led AS (SELECT s.id, e.target_node_id AS successor, row_number() OVER (PARTITION BY s.id ORDER BY e.created_at DESC, e.target_node_id) AS r
-          FROM state s JOIN edges e ON e.source_node_id = s.at AND e.label IN ('follows', 'supports') JOIN n t ON t.id = e.target_node_id AND t.status = 'active' WHERE s.status = 'superseded')
-  SELECT id, at AS successor FROM state WHERE status = 'active' UNION ALL SELECT id, successor FROM led WHERE r = 1""")
+          FROM state s JOIN edges e ON e.source_node_id = s.here AND e.label IN ('follows', 'supports') JOIN n t ON t.id = e.target_node_id AND t.status = 'active' WHERE s.status = 'superseded')
+  SELECT id, here AS successor FROM state WHERE status = 'active' UNION ALL SELECT id, successor FROM led WHERE r = 1""")
 def successor(spark, d):
     e = fx.edges(spark, d)
     swap = e.filter(F.col("label") == "contradicts").groupBy(F.col("source_node_id").alias("old")).agg(F.min("target_node_id").alias("new"))

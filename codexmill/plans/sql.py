@@ -84,11 +84,17 @@ def jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
 
+def shared(part: str) -> str:
+    """CTE ``{part}_j`` (o, n, j): the Jaccard measure of a part for pairs of a document that share something of it."""
+    side = lambda t: f"(SELECT document, id, len({part}) AS size, unnest({part}) AS x FROM {t})"
+    return f"{part}_j AS (SELECT a.id AS o, b.id AS n, count(*)::DOUBLE / (any_value(a.size) + any_value(b.size) - count(*)) AS j FROM {side('old')} a JOIN {side('new')} b ON a.document = b.document AND a.x = b.x GROUP BY a.id, b.id)"
+
+
 #: All pairs of a document with their score.
-SCORED = f"""scored AS (
+SCORED = f"""{shared('claims')}, {shared('keywords')}, {shared('words')}, scored AS (
   SELECT o.document, o.id AS old_id, o.ord AS old_ord, n.id AS new_id, n.ord AS new_ord,
-         least(1.0, greatest({jaccard('o.claims', 'n.claims')}, 0.8 * {jaccard('o.keywords', 'n.keywords')}, 0.65 * {jaccard('o.words', 'n.words')}) + CASE WHEN o.entity <> '' AND o.entity = n.entity THEN 0.2 ELSE 0.0 END) AS score
-  FROM old o JOIN new n ON o.document = n.document)"""
+         least(1.0, greatest(coalesce(c.j, 0.0), 0.8 * coalesce(k.j, 0.0), 0.65 * coalesce(w.j, 0.0)) + CASE WHEN o.entity <> '' AND o.entity = n.entity THEN 0.2 ELSE 0.0 END) AS score
+  FROM old o JOIN new n ON o.document = n.document LEFT JOIN claims_j c ON c.o = o.id AND c.n = n.id LEFT JOIN keywords_j k ON k.o = o.id AND k.n = n.id LEFT JOIN words_j w ON w.o = o.id AND w.n = n.id)"""
 
 
 def set_digest(table: str, name: str) -> str:
