@@ -72,12 +72,12 @@ jobs AS (SELECT job_id, arg_max(status, seq) AS status, arg_min(event_id, seq) A
 KNN = """vec AS (SELECT 'v' || vec_id AS id, vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 dist AS (SELECT q.id AS query_id, c.id AS id, list_distance(q.v, c.v) AS d FROM vec q CROSS JOIN vec c WHERE q.vec_id < 10),
 knn AS (SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM dist) WHERE rank <= {k})"""
-#: The parts that pages are compared by: normalised claims, keywords and tokens as sets, and the entity.
+#: The parts that pages are compared by: normalised claims, keywords and tokens (tok) as sets, and the entity.
 COMPARED = f"""sha256(body) AS hash, list_filter(list_distinct(list_transform(string_split(body, '. ')[1:3], lambda c: array_to_string({tokens('c')}, ' '))), lambda x: x <> '') AS claims,
-  list_distinct({tokens('body')}) AS words, list_transform(list_filter(list_zip({tokens('body')}, range(1, len({tokens('body')}) + 1)), lambda z: list_position({tokens('body')}, z[1]) = z[2])[1:6], lambda z: z[1]) AS keywords, coalesce(({tokens('body')})[1], '') AS entity"""
+  list_distinct(tok) AS words, list_transform(list_filter(list_zip(tok, range(1, len(tok) + 1)), lambda z: list_position(tok, z[1]) = z[2])[1:6], lambda z: z[1]) AS keywords, coalesce(tok[1], '') AS entity"""
 REVISIONS = f"""d AS (SELECT source AS document, doc_id AS ord, doc_id::VARCHAR AS id, text AS body FROM documents),
-old AS (SELECT *, {COMPARED} FROM d WHERE ord % 2 = 0),
-new AS (SELECT *, {COMPARED} FROM (SELECT * FROM d WHERE ord % 2 = 1 UNION ALL SELECT document, ord, 'n' || id, body FROM d WHERE ord % 4 = 0 UNION ALL SELECT document, ord, 'n' || id, body || ' revised edition' FROM d WHERE ord % 8 = 2))"""
+old AS (SELECT * EXCLUDE (tok), {COMPARED} FROM (SELECT *, {tokens('body')} AS tok FROM d WHERE ord % 2 = 0)),
+new AS (SELECT * EXCLUDE (tok), {COMPARED} FROM (SELECT *, {tokens('body')} AS tok FROM (SELECT * FROM d WHERE ord % 2 = 1 UNION ALL SELECT document, ord, 'n' || id, body FROM d WHERE ord % 4 = 0 UNION ALL SELECT document, ord, 'n' || id, body || ' revised edition' FROM d WHERE ord % 8 = 2)))"""
 
 
 def jaccard(a: str, b: str) -> str:

@@ -351,7 +351,9 @@ def rocks(spark):
 def test_the_bounded_queue(rocks, tmp_path):
     rnd, source, commands = random.Random(2), str(tmp_path / "in"), {"a": [], "b": []}
     for seq in range(120):
-        commands[rnd.choice("ab")].append((seq, f"j{rnd.randint(max(0, seq - 6), seq)}" if rnd.random() < 0.3 else f"j{seq}", rnd.choice(["enqueue"] * 5 + ["take", "take", "finish", "fail", "cancel"])))
+        own = commands[rnd.choice("ab")]
+        command = rnd.choice(["enqueue"] * 5 + ["take", "take", "finish", "fail", "cancel", "cancel"])
+        own.append((seq, rnd.choice(own[-6:])[1] if own and command == "cancel" else f"j{seq}", command))
     rows = sorted((s, k, j, c) for k, v in commands.items() for s, j, c in v)
     for part in (rows[:50], rows[50:]):
         frame(rocks, [(k, s, j, c) for s, k, j, c in part], "queue string, seq long, job_id string, command string").coalesce(1).write.mode("append").parquet(source)
