@@ -26,7 +26,7 @@ PLACES = 64
 STRETCH = 4
 #: Hex digits of a place in the fingerprint.
 DIGITS = 4
-#: Stands for null where rows are matched by doc_id.
+#: Stands for null where rows are matched by doc_id; as a doc_id of its own it counts as null.
 NO_ID = -(2**63)
 
 
@@ -72,17 +72,20 @@ def likeness(one: str, other: str) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did, th, doc_id, text: rows alike in did and th are alike in doc_id and text."""
-    own = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("did"), F.xxhash64(text_of()).alias("th"), own.alias("doc_id"), text_of().alias("text"))
+    """did, th, text: rows alike in did and th are alike in doc_id and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
+
+
+def doc_id() -> Column:
+    return F.nullif(F.col("did"), F.lit(NO_ID)).alias("doc_id")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex): one row for each distinct pair of doc_id and text."""
-    rows = keyed(docs).groupBy("did", "th").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    terms = rows.select("did", "th", "doc_id", F.explode(words_of(F.col("text"))).alias("word"))
-    counted = terms.groupBy("did", "th", "doc_id", F.xxhash64("word").alias("term")).agg(F.count(F.when(F.col("word") != "", 1)).alias("n"))
-    return least_samples(counted, ["did", "th", "doc_id"], {"own": "n"}).select("doc_id", F.lower(F.hex("own")).alias("fingerprint"))
+    rows = keyed(docs).groupBy("did", "th").agg(F.first("text").alias("text"))
+    terms = rows.select("did", "th", F.explode(words_of(F.col("text"))).alias("word"))
+    counted = terms.groupBy("did", "th", F.xxhash64("word").alias("term")).agg(F.count(F.when(F.col("word") != "", 1)).alias("n"))
+    return least_samples(counted, ["did", "th"], {"own": "n"}).select(doc_id(), F.lower(F.hex("own")).alias("fingerprint"))
 
 
 def ring(keys: DataFrame) -> DataFrame:
@@ -111,23 +114,24 @@ def ring(keys: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """did, th, doc_id, n_chars, text, edited, own_next, copies, ndid, nth: each distinct row and its edited text.
+    """did, th, n_chars, text, edited, own_next, copies, ndid, nth: each distinct row and its edited text.
 
     Of rows alike in doc_id and text all but the last are followed by their like; these
     are one row more, with own_next true and their number as copies.
     """
     rows = keyed(docs)
     keys = rows.groupBy("did", "th").agg(F.max(F.length("text")).alias("n_chars"))
-    texts = rows.groupBy("did", "th").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = rows.groupBy("did", "th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     met = texts.join(cut(ring(keys)).hint("merge"), (F.col("did") == F.col("k_did")) & (F.col("th") == F.col("k_th")))
-    heads = met.select(F.col("pdid").alias("h_did"), F.col("pth").alias("h_th"), F.left("text", F.floor(F.col("p_chars") / 4).cast("int")).alias("head"))
+    # With the same columns on both sides (hence copies, which are always some) one shuffle of the texts serves both.
+    heads = met.filter(F.col("copies") > 0).select(F.col("pdid").alias("h_did"), F.col("pth").alias("h_th"), F.left("text", F.floor(F.col("p_chars") / 4).cast("int")).alias("head"))
     both = met.join(heads.hint("merge"), (F.col("did") == F.col("h_did")) & (F.col("th") == F.col("h_th")))
     q = F.floor(F.col("k_n_chars") / 4).cast("int")
     kept = F.left("text", F.col("k_n_chars") - q)
     last = F.struct(F.lit(False).alias("own_next"), F.concat(kept, F.col("head")).alias("edited"), F.lit(1).cast("long").alias("copies"), "ndid", "nth")
     rest = F.struct(F.lit(True).alias("own_next"), F.concat(kept, F.left("text", q)).alias("edited"), (F.col("copies") - 1).alias("copies"), F.col("did").alias("ndid"), F.col("th").alias("nth"))
     each = F.explode(F.when(F.col("copies") > 1, F.array(last, rest)).otherwise(F.array(last))).alias("e")
-    return both.select("did", "th", "doc_id", F.col("k_n_chars").alias("n_chars"), "text", each).select("did", "th", "doc_id", "n_chars", "text", "e.*")
+    return both.select("did", "th", F.col("k_n_chars").alias("n_chars"), "text", each).select("did", "th", "n_chars", "text", "e.*")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     * An empty table gives no rows; further columns of the input play no part.
     """
     rows = with_edited(docs)
-    keys = ["did", "th", "own_next", "doc_id", "n_chars", "copies", "ndid", "nth", "sha"]
+    keys = ["did", "th", "own_next", "n_chars", "copies", "ndid", "nth", "sha"]
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("s")
     bodies = rows.select(*keys[:-1], F.unhex(F.sha2("edited", 256)).alias("sha"), sides)
     words = bodies.select(*keys, "s.side", F.explode(words_of(F.col("s.body"))).alias("word"))
@@ -150,7 +154,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     following = made.filter(~F.col("own_next")).select(F.col("did").alias("f_did"), F.col("th").alias("f_th"), F.col("own").alias("following"))
     hexed = lambda c: F.lower(F.hex(c))
     near = made.join(following, (F.col("ndid") == F.col("f_did")) & (F.col("nth") == F.col("f_th")))
-    out = near.select("doc_id", "n_chars", "copies", hexed("sha").alias("edited_sha256"), hexed("own").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"), hexed("following").alias("_next"))
+    out = near.select(doc_id(), "n_chars", "copies", hexed("sha").alias("edited_sha256"), hexed("own").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"), hexed("following").alias("_next"))
     out = out.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", likeness("fingerprint", "_next"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_k")
     return out.select(each, *[c for c in out.columns if c not in ("copies", "_next")]).drop("_k").withColumn("n_chars", F.col("n_chars").cast("long"))
