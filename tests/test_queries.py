@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from codexmill.plans import queries as engine
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["node_ids", "chunk_small", "upsert_nodes", "remap_edges", "bm25_nodes", "knn_l2", "rrf_pools", "follow_link", "health_stats", "cascade_bfs", "tfidf_keywords", "best_match", "doc_library", "queue_position", "exact_match", "match_score", "read_node", "query_by_id", "successor", "merged_reports", "citations", "described", "edge_scan", "edges_one_way", "items_by_id", "source_lookup", "vector_lookup", "delete_items", "set_vectors", "set_meta", "sidebar", "keyword_edges", "communities_by_size", "library_order", "bm25_phrases"]
+SOME = ["node_ids", "chunk_small", "upsert_nodes", "remap_edges", "bm25_nodes", "knn_l2", "rrf_pools", "follow_link", "health_stats", "cascade_bfs", "tfidf_keywords", "best_match", "doc_library", "queue_position", "exact_match", "match_score", "read_node", "query_by_id", "successor", "merged_reports", "citations", "described", "edge_scan", "edges_one_way", "items_by_id", "source_lookup", "vector_lookup", "delete_items", "set_vectors", "set_meta", "sidebar", "keyword_edges", "communities_by_size", "library_order", "bm25_phrases", "cluster_signature", "link_notes", "markdown_segments", "evidence_items", "note_titles"]
 
 
 def test_every_sql_has_a_query():
