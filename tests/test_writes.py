@@ -246,6 +246,16 @@ def test_updating_a_node_moves_edges_and_tells_notes(spark):
     assert {r["id"] for r in after.items.collect()} == {"i2"}
 
 
+def test_notes_edited_to_one_body_become_one_node(spark):
+    """All of its columns are those of the last note by id, whatever the order of rows."""
+    nodes = [(f"n{i}", "exogenous", "active", f"d{i}", f"note {i}", "2020") for i in range(9)]
+    t = tables(spark, nodes=nodes[4:] + nodes[:4])
+    after = twice(t, changes.updated(frame(spark, [(n[0], "one body") for n in nodes[4:] + nodes[:4]], "id string, body string"), t, NOW, 1))
+    got = [(r["status"], r["original_document_name"]) for r in after.nodes.filter(F.col("body") == "one body").collect()]
+    assert got == [("active", "d8")]
+    assert {r["id"] for r in after.nodes.filter(F.col("status") == "superseded").collect()} == {n[0] for n in nodes}
+
+
 def test_notes_are_written_anew_where_they_can_be(spark):
     t = tables(spark, **GRAPH)
 
