@@ -303,6 +303,14 @@ def test_creating_a_document(spark):
 # stored tables and the index
 
 
+def test_a_stored_table_keeps_the_first_write_of_an_id(spark, tmp_path):
+    """Document 13 isn't in the table that the merge finds, so 16, of the same text, must not be either."""
+    frame(spark, [(i, "same" if i in (13, 16) else f"text {i}", "en", "s") for i in range(24)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, [(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = {r["title"]: (r["created_at"], r["updated_at"]) for r in writes.upsert_stored(spark, str(tmp_path)).collect()}
+    assert len(rows) == 23 and rows["same"] == ("2024-01-01T00:00:13", "2024-01-01T00:00:16")
+
+
 def test_a_merge_leaves_other_buckets_alone(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = frame(spark, [(f"k{i}", i) for i in range(200)], "id string, v long")
