@@ -168,6 +168,19 @@ def test_pages_of_one_common_word_meet_few(spark):
         revise.likely_pairs(a, b, "document", 0.0)
 
 
+def test_blocks_find_what_one_block_does_and_copies_make_no_square(spark):
+    """Pages over several blocks give the same pairs; of a family of copies each new page takes one pair a block along."""
+    rnd = random.Random(5)
+    old, new = (frame(spark, some_pages(rnd, side, 40), PAGE) for side in "on")
+    shown = lambda df: sorted((r["old_id"], r["new_id"], r["score"]) for r in df.collect())
+    assert shown(revise.scored_pairs(old, new, block=100)) == shown(revise.scored_pairs(old, new))
+    ranked = lambda df: sorted((r["new_id"], r["old_id"], r["score"]) for r in revise.best_match(df).collect())
+    assert ranked(revise.scored_pairs(old, new, best=True, block=100)) == ranked(revise.scored_pairs(old, new))
+    copies = [[("d", i, f"{side}{i}", "one text of many words", None, [], None, "h") for i in range(50)] for side in "on"]
+    pairs = revise.scored_pairs(*[frame(spark, c, PAGE) for c in copies], best=True)
+    assert pairs.count() == 50 and {r["old_id"] for r in pairs.collect()} == {"o0"}
+
+
 def test_rounds_match_as_one_walk_does(spark):
     rnd = random.Random(8)
     pairs = [(d, f"{d}o{o}", o, f"{d}n{n}", n // 2, rnd.choice([0.5, 0.6, 0.7, 0.9])) for d in "xyz" for o in range(12) for n in range(12) if rnd.random() < 0.35]
