@@ -18,7 +18,7 @@ HITS = f"""{q.INDEX}, {q.QUESTIONS}, {q.bm25_sql('docs', 'questions')},
 @query(f"WITH {q.EDGES}, {HITS} SELECT DISTINCT query_id, e.id, label FROM edges e JOIN top ON top.id IN (source_node_id, target_node_id)")
 def query_by_keyword(spark, d):
     n = fx.nodes(spark, d)
-    hits = search.keyword_search(fx.index_docs(n), store.active(n).select("id"), fx.questions(spark, d), 50)
+    hits = search.keyword_search(fx.live_docs(n), None, fx.questions(spark, d), 50)
     return views.query("Keyword", hits, n, fx.edges(spark, d))[1]
 
 
@@ -44,8 +44,7 @@ def item_hits(spark, d):
     """The 150 best titles and small chunks of each question, with all columns of the item but its text."""
     n = fx.nodes(spark, d)
     items = fx.items(n).filter(F.col("field") != "big_chunk")
-    own = items.join(store.active(n).select(F.col("id").alias("node_id")), "node_id", "left_semi").select("id")
-    hits = search.keyword_search(items.select("id", "text"), own, fx.questions(spark, d), 150)
+    hits = search.keyword_search(items.select("id", "text", "live"), None, fx.questions(spark, d), 150)
     return views.item_rows(hits, items).select("query_id", "rank", "id", "node_id", "field", "ordinal", "start_char", "end_char", F.round("score", 6).alias("score"))
 
 
