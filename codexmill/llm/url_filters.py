@@ -9,6 +9,8 @@ verdict. A host is blocked when its distrust outweighs its trust.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ DAMPING = 0.85
 STRETCH = 4
 #: Scores are taken as equal within this share of them, and mass below it, of 1 in all, as nothing.
 EQUAL = 1e-12
+#: Edges that a task of a round takes in, about; there are no more tasks than the shuffle's width.
+TASK_EDGES = 50_000
 #: Blocked when distrust is over this multiple of trust.
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,8 +81,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     is open (``still_open``). A number of rounds is for comparisons alone.
     """
     e = edges.select(keyed(F.col("kind"), F.col("src")).alias("s"), keyed(F.col("kind"), F.col("dst")).alias("key"), (damping * F.col("w")).alias("w"))
-    e = cut(e.repartition("s"))
-    base = cut(seeds.select(keyed(F.col("kind"), F.col("host")).alias("key"), ((1 - damping) * F.col("share")).alias("score")))
+    e = cut(e)
+    # Each round is a shuffle of its own; one with as many files as partitions costs more than the few rows in them.
+    tasks = max(1, math.ceil(e.count() / TASK_EDGES))
+    base = cut(seeds.select(keyed(F.col("kind"), F.col("host")).alias("key"), ((1 - damping) * F.col("share")).alias("score")).coalesce(tasks))
+    e = e.coalesce(tasks)
     written = base.withColumn("step", F.col("score"))
     k, settled, shrink = 1, False, {}
     while k != rounds and not settled:
@@ -86,13 +93,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         for _ in range(min(STRETCH, rounds - k) if rounds else STRETCH):
             k += 1
             moved = e.join(rank.select(F.col("key").alias("s"), "score").hint("merge"), "s").select("key", (F.col("w") * F.col("score")).alias("score"))
-            rank = moved.unionByName(base).groupBy("key").agg(F.sum("score").alias("score"))
+            rank = moved.unionByName(base).coalesce(tasks).groupBy("key").agg(F.sum("score").alias("score"))
         now = rank.select("key", "score", F.lit(0.0).alias("was"), F.lit(0.0).alias("before"))
         then = written.select("key", F.lit(0.0).alias("score"), F.col("score").alias("was"), F.col("step").alias("before"))
-        both = now.unionByName(then).groupBy("key").agg(F.sum("score").alias("score"), F.sum("was").alias("was"), F.sum("before").alias("before"))
+        both = now.unionByName(then).coalesce(tasks).groupBy("key").agg(F.sum("score").alias("score"), F.sum("was").alias("was"), F.sum("before").alias("before"))
         grown = F.col("score") - F.col("was")
         step = F.when(grown > EQUAL / 1000 * F.col("score"), grown).otherwise(0.0)  # less is rounding
-        written = cut(both.select("key", "score", step.alias("step"), "before"))
+        written = cut(both.select("key", "score", step.alias("step"), "before").coalesce(tasks))
         settled, shrink = (False, {}) if rounds else still_open(written, shrink, damping**STRETCH, ratio)
     return written.select(F.when(F.col("key").startswith("t"), "trust").otherwise("distrust").alias("kind"), F.expr("substring(key, 2)").alias("host"), "score")
 
