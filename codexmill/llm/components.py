@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, on_hot
 
+#: Edges that a task of a round takes in, about; there are no more tasks than the shuffle's width.
+TASK_EDGES = 50_000
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of an edge (u, v); root is the smallest node of its component.
@@ -22,7 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         total, settled = state(now)
         if settled:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        now = cut(small_star(large_star(now, total), total))
+        # Few edges take few tasks, however wide the shuffle is.
+        tasks = max(1, math.ceil(total / TASK_EDGES))
+        now = cut(small_star(large_star(now.coalesce(tasks), total).coalesce(tasks), total).coalesce(tasks))
     raise RuntimeError("components did not settle")
 
 

@@ -30,3 +30,10 @@ def test_scores_of_few_hosts_are_few_tasks(spark, wide):
     got = {(r["kind"], r["host"]): r["score"] for r in url_filters.propagate(edges, seeds).collect()}
     assert got["trust", "h3"] == pytest.approx(0.15 * 0.85**3)
     assert wide[1:] and max(wide[1:]) == 1
+
+
+def test_components_of_few_edges_are_few_tasks(spark, wide):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], "u string, v string")
+    got = {r["node"]: r["root"] for r in components.components(chain).collect()}
+    assert got == {f"n{i:02d}": "n00" for i in range(21)} | {"x": "x", "y": "x"}
+    assert wide[1:] and max(wide[1:]) == 1
