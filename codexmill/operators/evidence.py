@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.functions.ids import item_id, strip, text_or
+from codexmill.functions.ids import blank, item_id, stripped
 from codexmill.functions.text import chunks
 
 #: Size and overlap of body windows, in characters.
@@ -23,5 +23,6 @@ def search_items(nodes: DataFrame, big: tuple[int, int] = BIG, small: tuple[int,
     plain = lambda field, text, i: F.struct(F.lit(field).alias("field"), text.alias("text"), i.cast("int").alias("ordinal"), nowhere.alias("start_char"), nowhere.alias("end_char"))
     claims = F.transform(F.coalesce("claims", F.array().cast("array<string>")), lambda c, i: plain("claim", c, i))
     parts = F.concat(F.array(plain("title", F.col("title"), F.lit(0)), plain("summary", F.col("summary"), F.lit(0))), claims, window("big_chunk", big), window("small_chunk", small))
-    rows = nodes.select(F.col("id").alias("node_id"), F.explode(parts).alias("p"), F.col("source_path"), F.col("source_material_hash").alias("source_hash")).select("node_id", "p.field", strip(text_or(F.col("p.text"))).alias("text"), "p.ordinal", "p.start_char", "p.end_char", "source_path", "source_hash")
-    return rows.filter(F.col("text") != "").select(item_id(F.col("node_id"), F.col("field"), F.col("ordinal")).alias("id"), *rows.columns)
+    rows = nodes.select(F.col("id").alias("node_id"), F.explode(parts).alias("p"), F.col("source_path"), F.col("source_material_hash").alias("source_hash")).filter(~blank(F.col("p.text")))
+    rows = rows.select("node_id", "p.field", stripped(F.col("p.text")).alias("text"), "p.ordinal", "p.start_char", "p.end_char", "source_path", "source_hash")
+    return rows.select(item_id(F.col("node_id"), F.col("field"), F.col("ordinal")).alias("id"), *rows.columns)

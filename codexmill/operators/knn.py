@@ -39,7 +39,8 @@ def nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             for at in range(0, len(q), 32):
                 d = np.sqrt(((q[at : at + 32, None, :] - m[None]) ** 2).sum(-1))
                 for j, row_d in enumerate(d):
-                    order = np.lexsort((ids, row_d))[:k]
+                    near = np.flatnonzero(row_d <= np.partition(row_d, k - 1)[k - 1]) if len(row_d) > k else np.arange(len(row_d))
+                    order = near[np.lexsort((ids[near], row_d[near]))][:k]
                     out["query_id"] += [q_ids[at + j]] * len(order)
                     out["id"] += ids[order].tolist()
                     out["distance"] += row_d[order].tolist()

@@ -1,5 +1,7 @@
 """Hand-worked cases of the column expressions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,13 @@ def test_image_units_do_not_reach_into_each_other(spark):
     assert {r[0]: r[1] for r in df.select("t", text.strip_image_media(F.col("t"))).collect()} == rows
     safe = spark.createDataFrame([("x data:image/png;base64,AAAA= following words",)], "t string").select(text.embed_safe(F.col("t"))).first()[0]
     assert safe == "x data:image;base64,[omitted] following words"
+
+
+def test_windows_of_a_long_text_cost_no_square(spark):
+    body = "ab é" * 150_000
+    rows = spark.createDataFrame([(body,)], "t string").select(F.explode(text.chunks(F.col("t"), 3, 1)).alias("c")).select("c.*")
+    began = time.perf_counter()
+    got = [tuple(r) for r in rows.collect()]
+    assert time.perf_counter() - began < 40
+    want = [(i, min(i + 3, len(body)), body[i : i + 3]) for i in range(0, len(body) - 1, 2)]
+    assert got == [w for w in want if w[2].strip()]
