@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, on_hot, take, text_hash, text_of
-from .components import components
+from .components import components, forest
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -139,21 +139,6 @@ def similar_pairs(sizes: np.ndarray, parts: list[np.ndarray], n: int, threshold:
     return (1 + threshold) * apart <= (1 - threshold) * both + 1e-6
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each node's component."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all() and (root[a] == root[b]).all():
-            break
-        root = new
-    return root
-
-
 def verify(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
     """Links between a block of far texts and another block, and a spanning tie for each text that has one."""
     table = table.sort_by("_key")

@@ -1,6 +1,7 @@
 """Rounds over small tables take few tasks, however wide the shuffle is."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codexmill.llm import components, url_filters
 
@@ -37,3 +38,25 @@ def test_components_of_few_edges_are_few_tasks(spark, wide):
     got = {r["node"]: r["root"] for r in components.components(chain).collect()}
     assert got == {f"n{i:02d}": "n00" for i in range(21)} | {"x": "x", "y": "x"}
     assert wide[1:] and max(wide[1:]) == 1
+
+
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    plans, plain = [], components.cut
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString().count("Aggregate"))
+        return plain(df)
+
+    monkeypatch.setattr(components, "cut", told)
+    monkeypatch.setattr(components, "TASK_EDGES", 100)
+    n = 1500
+    chain = spark.range(n).select(F.format_string("n%05d", F.col("id")).alias("u"), F.format_string("n%05d", F.pmod(F.col("id") * 7 + 1, F.lit(n)).alias("v")).alias("v")).repartition(7)
+    got = {r["node"]: r["root"] for r in components.components(chain).collect()}
+    root = list(range(n))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(n):
+        x, y = find(a), find((a * 7 + 1) % n)
+        root[max(x, y)] = min(x, y)
+    alone = {i for i in range(n) if (i * 7 + 1) % n == i}
+    assert got == {f"n{i:05d}": f"n{find(i):05d}" for i in range(n) if i not in alone}
+    assert max(plans) < 20
