@@ -4,7 +4,8 @@ A document that changes or goes leaves a tombstone on its old postings and puts
 ones into the delta; the numbers that scores rest on (documents of each term, documents
 in all, their length in all) are kept up by what is added less what is taken off, so a
 query reads no more than the postings of its own terms. ``compacted`` writes base
-and delta as one.
+and delta as one. A document is one row with its terms and their counts, so documents,
+not postings, are what is shuffled.
 """
 
 from __future__ import annotations
@@ -15,39 +16,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .search import B, K1, LEAST_IDF, postings, term_table
+from .search import B, K1, LEAST_IDF, MOST_TERMS, postings, term_table
 
 
 @dataclass(frozen=True)
 class Index:
-    """base and delta: (id, length, term, tf); gone: (id) whose base postings don't count; df: (term, df); lengths: (id, length) of live documents; n and total of these."""
+    """base and delta: (id, length, terms, tf); gone: (id) whose base rows don't count; df: (term, df); n and total: number and length of live documents."""
 
     base: DataFrame
     delta: DataFrame
     gone: DataFrame
     df: DataFrame
-    lengths: DataFrame
     n: int
     total: int
 
 
-def lengths_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, length) of all docs, those without terms included."""
-    own = found.select(F.col("id").alias("_i"), "length").distinct()
-    return docs.select("id").join(own, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
-
-
-def summed(lengths: DataFrame) -> tuple[int, int]:
-    row = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+def summed(rows: DataFrame) -> tuple[int, int]:
+    row = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
 def built(docs: DataFrame) -> Index:
     """The index of docs (id, text), ids distinct."""
     base = cut(postings(docs))
-    lengths = cut(lengths_of(docs, base))
-    n, total = summed(lengths)
-    return Index(base, base.limit(0), lengths.select("id").limit(0), cut(base.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), lengths, n, total)
+    df = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return Index(base, base.limit(0), base.select("id").limit(0), cut(df), *summed(base))
 
 
 def live(index: Index) -> DataFrame:
@@ -56,21 +49,17 @@ def live(index: Index) -> DataFrame:
 
 def changed(index: Index, docs: DataFrame, removed: DataFrame) -> Index:
     """The index after docs (id, text) are put, new or again, and removed (id) go; an id in both is put."""
-    put = cut(docs.select("id", "text"))
-    touched = cut(put.select("id").unionByName(removed.select("id")).distinct())
+    fresh = cut(postings(docs.select("id", "text")))
+    touched = cut(fresh.select("id").unionByName(removed.select("id")).distinct())
     mark = touched.select(F.col("id").alias("_t"))
-    # Only the postings of touched documents are looked at.
-    lost = live(index).join(mark, F.col("id") == F.col("_t"), "left_semi")
-    fresh = cut(postings(put))
-    shift = lost.select("term", F.lit(-1).alias("by")).unionByName(fresh.select("term", F.lit(1).alias("by"))).groupBy("term").agg(F.sum("by").alias("df"))
-    df = index.df.unionByName(shift).groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
-    old = summed(index.lengths.join(mark, F.col("id") == F.col("_t"), "left_semi"))
-    new_lengths = lengths_of(put, fresh)
-    new = summed(new_lengths)
+    # Only the rows of touched documents are looked at.
+    lost = cut(live(index).join(mark, F.col("id") == F.col("_t"), "left_semi"))
+    by = lambda rows, n: rows.select(F.explode("terms").alias("term"), F.lit(n).cast("long").alias("df"))
+    df = index.df.unionByName(by(lost, -1)).unionByName(by(fresh, 1)).groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
+    old, new = summed(lost), summed(fresh)
     gone = index.gone.unionByName(touched).distinct()
     delta = index.delta.join(mark, F.col("id") == F.col("_t"), "left_anti").unionByName(fresh)
-    lengths = index.lengths.join(mark, F.col("id") == F.col("_t"), "left_anti").unionByName(new_lengths)
-    return Index(index.base, cut(delta), cut(gone), cut(df), cut(lengths), index.n - old[0] + new[0], index.total - old[1] + new[1])
+    return Index(index.base, cut(delta), cut(gone), cut(df), index.n - old[0] + new[0], index.total - old[1] + new[1])
 
 
 def compacted(index: Index) -> Index:
@@ -79,13 +68,16 @@ def compacted(index: Index) -> Index:
     return replace(index, base=base, delta=base.limit(0), gone=index.gone.limit(0))
 
 
-def search(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) as ``search.bm25`` over the live documents, for words; the index has no places, hence no phrases."""
+def search(index: Index, queries: DataFrame, k1: float = K1, b: float = B, most: int = MOST_TERMS) -> DataFrame:
+    """(query_id, id, score) as ``search.bm25`` over the live documents, for words; the index has no places, hence no phrases.
+
+    Up to ``most`` terms of queries are sent to where the documents lie, more are shuffled.
+    """
     asked = term_table(queries).filter(F.size("words") == 1).drop("words")
-    wanted = asked.select(F.col("term").alias("_q")).distinct()
-    tf = live(index).join(wanted, F.col("term") == F.col("_q"), "left_semi")
     idf = F.greatest(F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weights = index.df.join(wanted, F.col("term") == F.col("_q"), "left_semi").select("term", idf.alias("idf")).join(asked, "term")
+    weights = cut(index.df.join(asked.withColumnRenamed("term", "_q"), F.col("term") == F.col("_q")).select("query_id", F.col("term").alias("_q"), (F.col("weight") * idf).alias("_w")))
+    weights = F.broadcast(weights) if weights.count() <= most else weights
+    tf = live(index).select("id", "length", F.explode(F.arrays_zip("terms", "tf")).alias("_p")).select("id", "length", F.col("_p.terms").alias("term"), F.col("_p.tf").alias("tf"))
     mean = index.total / index.n if index.n else 1.0
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    part = F.col("_w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+    return tf.join(weights, F.col("term") == F.col("_q")).groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -21,10 +21,22 @@ LEAST_IDF = 1e-6
 SEGMENT, BATCH, MOST_TERMS = 4096, 512, 1 << 17
 
 
+def packed_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, words) with each word once and its count."""
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(batch["words"]), 0), dtype=np.int64)
+        coded = batch["words"].flatten().dictionary_encode()
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        key, tf = np.unique(rows * (1 << 32) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(key >> 32, minlength=len(lengths))))).astype(np.int32))
+        terms, counts = coded.dictionary.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string()), pa.array(tf.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, counts)], ["id", "length", "terms", "tf"])
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, length, term, tf) of every term of docs (id, text): the keyword index as a table."""
-    terms = docs.select("id", index_terms(F.col("text")).alias("_t"))
-    return terms.select("id", F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, length, terms, tf) of docs (id, text): the keyword index as a table of one row for each document, its distinct terms and their counts side by side."""
+    words = docs.select("id", index_terms(F.col("text")).alias("words"))
+    return words.mapInArrow(packed_terms, f"id {docs.schema['id'].dataType.simpleString()}, length int, terms array<string>, tf array<int>")
 
 
 def term_table(queries: DataFrame) -> DataFrame:

@@ -358,6 +358,15 @@ def test_the_index_by_differences_is_the_index_built_anew(spark):
         assert index.n == len(docs)
 
 
+def test_index_has_one_row_for_each_document(spark):
+    docs = frame(spark, [("a", "fig fig plum"), ("b", None), ("c", "fig")], "id string, text string")
+    index = keyword_index.built(docs)
+    assert sorted((r["id"], r["length"], sorted(zip(r["terms"], r["tf"], strict=True))) for r in index.base.collect()) == [("a", 3, [("fig", 2), ("plum", 1)]), ("b", 0, []), ("c", 1, [("fig", 1)])]
+    queries = frame(spark, [("q", "fig plum"), ("r", "fig")], "query_id string, text string")
+    few, many = (sorted(map(tuple, keyword_index.search(index, queries, most=m).collect())) for m in (9, 0))
+    assert few == many and len(few) == 4
+
+
 # streams
 
 
