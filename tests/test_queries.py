@@ -38,3 +38,10 @@ def test_against_sql(spark, name):
 def test_flagship(spark):
     rows = contract.entry(spark).collect()
     assert rows and all(1 <= r["rank"] <= 20 and r["n_evidence"] <= 3 for r in rows)
+
+
+def test_deleting_items_cuts_texts_once(spark):
+    from codexmill.plans import queries
+
+    plan = queries.QUERIES["delete_items"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "posexplode" not in plan
