@@ -138,3 +138,10 @@ def test_windows_of_a_long_text_cost_no_square(spark):
     assert time.perf_counter() - began < 40
     want = [(i, min(i + 3, len(body)), body[i : i + 3]) for i in range(0, len(body) - 1, 2)]
     assert got == [w for w in want if w[2].strip()]
+
+
+def test_only_texts_with_accents_are_folded(spark):
+    rows = spark.createDataFrame([("Écru, naïve x-1",), ("plain Text 2",), (None,), ("日本 ß",)], "t string").select(text.index_terms(F.col("t")).alias("v"))
+    assert [r["v"] for r in rows.collect()] == [["ecru", "naive", "x", "1"], ["plain", "text", "2"], [], ["日本", "ß"]]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN RLIKE" in plan and plan.index("CASE WHEN RLIKE") < plan.index("translate(")
