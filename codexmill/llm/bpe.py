@@ -112,18 +112,46 @@ def thin(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
+def strides(n: int) -> list[slice]:
+    return [slice(a, a + STRIDE) for a in range(0, n, STRIDE)]
+
+
+def grouped(numbers: np.ndarray, shift: int = 0) -> Iterator[tuple[slice, np.ndarray]]:
+    """Each stride of the numbers, and where its members stand when all are grouped by value without ``shift`` bits, equal ones in order.
+
+    What an argsort of the whole would give, but no temporary array is longer than a stride.
+    """
+    sizes = np.zeros(max((int(numbers[at].max()) >> shift for at in strides(len(numbers))), default=-1) + 1, dtype=np.int64)
+    for at in strides(len(numbers)):
+        found = np.bincount(numbers[at] >> shift)
+        sizes[: len(found)] += found
+    start = np.cumsum(sizes) - sizes
+    for at in strides(len(numbers)):
+        values = numbers[at] >> shift
+        order = np.argsort(values, kind="stable")
+        held, counts = np.unique(values, return_counts=True)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.repeat(start[held] - np.cumsum(counts) + counts, counts) + np.arange(len(order))
+        start[held] += counts
+        yield at, place
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, compressed: the upper bytes, then the low bytes grouped by what stands above them."""
-    high = (numbers >> 8).astype("<u4")
-    low = (numbers & 255).astype(np.uint8)[np.argsort(high, kind="stable")]
-    return zstandard.compress(np.ascontiguousarray(high.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes() + low.tobytes(), LEVEL)
+    planes = np.empty((4, len(numbers)), dtype=np.uint8)
+    for at, place in grouped(numbers, 8):
+        planes[:3, at] = (numbers[at] >> 8).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+        planes[3, place] = numbers[at] & 255
+    return zstandard.compress(planes.data, LEVEL)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).astype(np.int64).reshape(4, -1)
-    high = planes[0] | planes[1] << 8 | planes[2] << 16
-    out = high << 8
-    out[np.argsort(high, kind="stable")] |= planes[3]
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
+    out = np.zeros((planes.shape[1], 4), dtype=np.uint8)
+    out[:, :3] = planes[:3].T
+    out = out.view("<u4").reshape(-1)
+    for at, place in grouped(out):
+        out[at] = out[at] << 8 | planes[3, place]
     return out
 
 
@@ -135,18 +163,25 @@ def numbered(batches: Iterator[pa.RecordBatch], added: list[str], chunk_words: i
     splitter, chunk = Splitter(added), TaskContext.get().partitionId() << 32
     numbers: dict[str, int] = {}
     doc_ids, texts, total = [], [], 0
+    pa.default_memory_pool().release_unused()  # what the worker's earlier tasks have left
 
     def closed() -> pa.RecordBatch:
-        flat = np.concatenate(texts)
-        order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+        lengths, flat = [len(t) for t in texts], np.concatenate(texts)
+        texts.clear()  # a chunk's places are held once
+        counts = np.zeros(len(numbers), dtype=np.int64)
+        for at in strides(len(flat)):
+            counts += np.bincount(flat[at], minlength=len(numbers))
+        order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order))
+        for at in strides(len(flat)):
+            flat[at] = rank[flat[at]]
         words = np.array(list(numbers), dtype=object)[order]
         of = (pd.util.hash_array(words, categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else order
         by = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=buckets))[:-1])
         lists_ = [zstandard.compress(json.dumps(words[at].tolist(), ensure_ascii=False).encode(), LEVEL) if len(at) else None for at in by]
-        row = {"chunk": [chunk], "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))}
-        return pa.RecordBatch.from_pydict(row | {"places": [packed(rank[flat])], "buckets": [packed(of)], "words": pa.array([lists_], pa.list_(pa.binary()))})
+        row = {"chunk": [chunk], "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32()))}
+        return pa.RecordBatch.from_pydict(row | {"places": [packed(flat)], "buckets": [packed(of)], "words": pa.array([lists_], pa.list_(pa.binary()))})
 
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):

@@ -1,6 +1,7 @@
 """BPE and token counts against the tokenizers library and a plain restatement."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -55,6 +56,17 @@ def test_the_word_table_gives_the_plain_ids(spark, docs, path, chunk_words):
     assert [(r["n_tokens"], r["ids"], r["decoded_sha256"]) for r in got] == [(len(ids[i]), ids[i], hashlib.sha256(texts[i].encode()).hexdigest()) for i in [3, 0, 1, 2, 4, 5, 6, 7]]
 
 
+def test_packing_holds_little_more_than_the_numbers():
+    numbers = (np.random.default_rng(5).integers(0, 150_000, 4_000_000) ** 2 // 150_000).astype(np.uint32)
+    held, given = [], numbers
+    for step in (bpe.packed, bpe.unpacked):
+        tracemalloc.start()
+        given = step(given)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (given == numbers).all() and max(held) < 12 * len(numbers), held
+
+
 def test_only_empty_texts(spark, path):
     rows = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     nothing = hashlib.sha256(b"").hexdigest()
