@@ -6,6 +6,10 @@ the nodes counts only if modularity has risen; else a round follows in which eve
 community loses or takes one node at most: moves between separate pairs of communities
 add up exactly. When no move gains any more, communities are contracted to nodes of the
 next level, edges inside them to loops, until a level raises modularity no further.
+
+Ids are numbered in their order, so that rounds shuffle numbers alone. A round tells each
+node's community and that community's total along the edges, and shuffles what they carry
+once more, by the node it is told to.
 """
 
 from __future__ import annotations
@@ -17,6 +21,20 @@ from .lineage import written
 
 #: Rise in modularity below which a round or a level counts for nothing.
 ROUND_RISE, LEVEL_RISE = 1e-3, 1e-7
+#: Rounds whose draws of half of the nodes are kept as bits of one number.
+DRAWS = 62
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(name, id): the distinct ids (one column) by numbers that are in order as they are."""
+    spread = ids.toDF("name").distinct().repartitionByRange("name").sortWithinPartitions("name")
+    return written(spread.withColumn("id", F.monotonically_increasing_id()))
+
+
+def draws(names: DataFrame, first: int) -> DataFrame:
+    """(id, draws): a bit for each of the ``DRAWS`` rounds from ``first`` on, set if the name is drawn in it."""
+    bits = [F.when(F.pmod(F.xxhash64("name", F.lit(first + i)), F.lit(2)) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(DRAWS)]
+    return names.select("id", F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda x, y: x + y).alias("draws"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -33,26 +51,28 @@ def start(edges: DataFrame) -> DataFrame:
 
 
 def best_moves(near: DataFrame, state: DataFrame, twice: float, resolution: float) -> DataFrame:
-    """(id, k, inside, community, to, gain, own): each node's best community, its own if none gains; ties to the smaller name.
+    """(id, k, inside, draws, community, to, gain, own): each node's best community, its own if none gains; ties to the smaller one.
 
-    near: both_ways; gain: what the move adds to modularity, times half of ``twice``.
-    own: the node's weight to its own community.
+    near: both_ways with the degree k of id; gain: what the move adds to modularity, times
+    half of ``twice``. own: the node's weight to its own community.
     """
-    met = near.join(state.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w"))
-    stay = state.select("id", "community", F.lit(0.0).alias("w"))
     sums = state.groupBy("community").agg(F.sum("k").alias("total"))
-    options = met.unionByName(stay).groupBy("id", "community").agg(F.sum("w").alias("w")).join(sums, "community")
-    mine = state.select("id", "k", "inside", F.col("community").alias("mine"))
-    other = F.col("total") - F.when(F.col("community") == F.col("mine"), F.col("k")).otherwise(0.0)
+    told = state.join(sums, "community")
+    none = F.lit(None)
+    met = near.join(told.select(F.col("id").alias("other"), "community", "total"), "other").select("id", "community", "total", "k", F.col("weight").alias("w"), none.cast("double").alias("inside"), none.cast("long").alias("draws"))
+    stay = told.select("id", "community", "total", "k", F.lit(0.0).alias("w"), "inside", "draws")
+    # Both groupings find their rows where the one shuffle by id has put them.
+    options = met.unionByName(stay).repartition("id").groupBy("id", "community").agg(F.sum("w").alias("w"), *[F.max(c).alias(c) for c in ("total", "k", "inside", "draws")])
+    at_home = F.col("inside").isNotNull()
+    other = F.col("total") - F.when(at_home, F.col("k")).otherwise(0.0)
     # Rounded, so that the order in which sums were added up decides no tie.
     value = F.round(F.col("w") - resolution * F.col("k") * other / twice, 9)
-    valued = options.join(mine, "id").select("id", "k", "inside", "mine", "community", "w", value.alias("value"))
-    at_home = F.col("community") == F.col("mine")
+    valued = options.withColumn("value", value)
     found = valued.groupBy("id").agg(
-        F.min(F.struct((-F.col("value")).alias("loss"), (~at_home).alias("away"), "community")).alias("best"), F.max(F.when(at_home, F.struct("value", "w", "k", "inside", "mine"))).alias("home")
+        F.min(F.struct((-F.col("value")).alias("loss"), (~at_home).alias("away"), "community")).alias("best"), F.max(F.when(at_home, F.struct("value", "w", "k", "inside", "draws", "community"))).alias("home")
     )
     gain = F.round(-F.col("best.loss") - F.col("home.value"), 9)
-    return found.select("id", "home.k", "home.inside", F.col("home.mine").alias("community"), F.col("best.community").alias("to"), gain.alias("gain"), F.col("home.w").alias("own"))
+    return found.select("id", "home.k", "home.inside", "home.draws", "home.community", F.col("best.community").alias("to"), gain.alias("gain"), F.col("home.w").alias("own"))
 
 
 def modularity_of(moves: DataFrame, twice: float, resolution: float) -> float:
@@ -71,24 +91,28 @@ def apart(moves: DataFrame) -> DataFrame:
 
 def moved(moves: DataFrame, chosen: DataFrame) -> DataFrame:
     now = chosen.select("id", F.col("to").alias("_to"))
-    return moves.join(now, "id", "left").select("id", "k", "inside", F.coalesce("_to", "community").alias("community"))
+    return moves.join(now, "id", "left").select("id", "k", "inside", "draws", F.coalesce("_to", "community").alias("community"))
 
 
-def one_level(edges: DataFrame, resolution: float) -> tuple[DataFrame, float, float]:
+def one_level(edges: DataFrame, names: DataFrame, resolution: float) -> tuple[DataFrame, float, float]:
     """((id, community), modularity before, modularity after) of one level's moves."""
-    near, state = written(both_ways(edges)), written(start(edges))
+    state = written(start(edges).join(draws(names, 0), "id"))
     twice = state.agg(F.sum("k")).first()[0] or 0.0
     if not twice:
         return state.select("id", "community"), 0.0, 0.0
+    near = written(both_ways(edges).join(state.select("id", "k"), "id"))
     now = written(best_moves(near, state, twice, resolution))
     first = reached = modularity_of(now, twice, resolution)
     turn = 0
     while True:
-        gaining = now.filter((F.col("gain") > 0) & (F.col("to") != F.col("community")))
-        half = gaining.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+        if turn and turn % DRAWS == 0:
+            now = written(now.drop("draws").join(draws(names, turn), "id"))
+        gains = (F.col("gain") > 0) & (F.col("to") != F.col("community"))
+        drawn = F.col("draws").bitwiseAND(F.lit(1 << turn % DRAWS).cast("long")) != 0
+        half = now.withColumn("community", F.when(gains & drawn, F.col("to")).otherwise(F.col("community"))).drop("to", "gain", "own")
         rise = 0.0
-        for chosen in (half, apart(gaining)):
-            tried = written(best_moves(near, moved(now, chosen), twice, resolution))
+        for choice in (lambda now=now, half=half: half, lambda now=now, gains=gains: moved(now, apart(now.filter(gains)))):
+            tried = written(best_moves(near, choice(), twice, resolution))
             value = modularity_of(tried, twice, resolution)
             if value - reached > ROUND_RISE:
                 rise, reached, now = value - reached, value, tried
@@ -110,17 +134,21 @@ def louvain(nodes: DataFrame, weights: DataFrame, resolution: float = 1.0) -> Da
     weights: a, b, weight of undirected edges, each pair once; loops (a = b) may be there.
     Nodes without edges stay alone. The result depends on nothing but the input.
     """
-    edges = written(weights.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("weight")))
+    weights = written(weights.select("a", "b", F.col("weight").cast("double").alias("weight")))
+    names = numbered(weights.select("a").union(weights.select("b")))
+    ends = weights.join(names.toDF("a", "_a"), "a").join(names.toDF("b", "_b"), "b")
+    edges = written(ends.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.sum("weight").alias("weight")))
     labels = None
     while True:
-        own, before, after = one_level(edges, resolution)
+        own, before, after = one_level(edges, names, resolution)
         if labels is not None and after - before <= LEVEL_RISE:
             break
         labels = written(own if labels is None else labels.join(own.toDF("community", "_up"), "community").select("id", F.col("_up").alias("community")))
         if after - before <= LEVEL_RISE:
             break
         edges = written(contracted(edges, own))
-    named = labels.join(labels.groupBy("community").agg(F.min("id").alias("_name")), "community").select(F.col("id").alias("_id"), "_name")
+    first = labels.groupBy("community").agg(F.min("id").alias("_first")).join(names.toDF("_name", "_first"), "_first")
+    named = labels.join(first, "community").join(names.toDF("_id", "id"), "id").select("_id", "_name")
     return nodes.select("id").distinct().join(named, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_name", "id").alias("community"))
 
 

@@ -76,6 +76,18 @@ def plain_louvain(edges):
         weight = again
 
 
+def test_rounds_shuffle_numbers_in_the_order_of_the_ids(spark):
+    names = louvain.numbered(frame(spark, [(f"{i * 7919 % 97:x}é",) for i in range(97)], "id string"))
+    rows = sorted((r["id"], r["name"]) for r in names.collect())
+    assert len(rows) == 97 and [n for _, n in rows] == sorted(n for _, n in rows)
+    for turn in (0, 61, 62, 200):
+        first = turn // louvain.DRAWS * louvain.DRAWS
+        met = names.join(louvain.draws(names, first), "id").select(F.col("draws").bitwiseAND(F.lit(1 << turn - first).cast("long")) != 0, F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(2)) == 0)
+        assert all(a == b for a, b in met.collect())
+    near, state = frame(spark, [(1, 2, 1.0, 1.0), (2, 1, 1.0, 1.0)], "id long, other long, weight double, k double"), frame(spark, [(1, 1.0, 0.0, 0, 1), (2, 1.0, 0.0, 0, 2)], "id long, k double, inside double, draws long, community long")
+    assert "string" not in {t for _, t in louvain.best_moves(near, state, 2.0, 1.0).dtypes}
+
+
 def test_levels_reach_the_modularity_of_plain_louvain(spark):
     rnd = random.Random(5)
     edges = {}
