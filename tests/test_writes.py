@@ -500,3 +500,8 @@ def test_texts_that_a_port_refuses_are_averaged_over_parts(spark):
             ports.in_parts(Picky().embed, text)
     rows = ports.embedded(frame(spark, [("a",), ("a b\nc",), ("b",), ("",), ("c d",)], "t string"), "t", Picky()).collect()
     assert [r["embedding"][0] for r in rows] == [1.0, 1.5, 1.0, 0.0, 2.0]
+
+
+def test_the_graph_of_change_sets_is_made_once(spark):
+    t = writes.tables(spark, "/root/testdata/sf0.001")
+    assert not [f for f in t.edges.inputFiles() + t.nodes.inputFiles() if "testdata" in f]
