@@ -271,6 +271,14 @@ def test_updating_a_node_moves_edges_and_tells_notes(spark):
     assert {r["id"] for r in after.items.collect()} == {"i2"}
 
 
+def test_all_notes_of_an_edited_node_go_stale(spark):
+    nodes = [("p", "endogenous", "active", "d", "page", "2020")] + [(f"n{i:03}", "exogenous", "active", None, f"note {i}", "2020") for i in range(130)]
+    edges = [(f"e{i}", "p", f"n{i:03}", "supports", "2020") for i in range(130)]
+    t = tables(spark, nodes=nodes, edges=edges)
+    after = twice(t, changes.updated(frame(spark, [("p", "page edited")], "id string, body string"), t, NOW, 1))
+    assert after.nodes.filter((F.col("type") == "exogenous") & (F.col("status") == "stale")).count() == 130
+
+
 def test_notes_edited_to_one_body_become_one_node(spark):
     """All of its columns are those of the last note by id, whatever the order of rows."""
     nodes = [(f"n{i}", "exogenous", "active", f"d{i}", f"note {i}", "2020") for i in range(9)]
