@@ -1,11 +1,11 @@
 """A keyword index that is kept up by differences: base, delta and tombstones.
 
-A document that changes or goes leaves a tombstone on its old postings and puts new
-ones into the delta; the numbers that scores rest on (documents of each term, documents
-in all, their length in all) are kept up by what is added less what is taken off, so a
-query reads no more than the postings of its own terms. ``compacted`` writes base
-and delta as one. A document is one row with its terms and their counts, so documents,
-not postings, are what is shuffled.
+A document that changes or goes leaves a tombstone on its old row and puts a new one into
+the delta; the numbers that scores rest on (documents of each term, documents in all,
+their length in all) are kept up by what is added less what is taken off, so a query
+reads no more than the postings of its own terms. ``compacted`` writes base and delta as
+one. A document is one row with its terms and their counts, written once; rows have
+numbers, and these, not rows, are what tombstones are and what is shuffled.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, written
 from .search import B, K1, LEAST_IDF, MOST_TERMS, postings, term_table
 
+#: Tombstones that are sent to all tasks, and tables of a delta that are read side by side, at most.
+MOST_GONE, MANY = 1 << 20, 8
+
 
 @dataclass(frozen=True)
 class Index:
-    """base and delta: (id, length, terms, tf); gone: (id) whose base rows don't count; df: (term, df); n and total: number and length of live documents."""
+    """base and delta: (id, length, terms, tf, row); gone: (row) that don't count, and how many; df: (term, df); n and total: number and length of live documents; begin: the first free number; parts: tables of the delta."""
 
     base: DataFrame
     delta: DataFrame
@@ -29,43 +32,65 @@ class Index:
     df: DataFrame
     n: int
     total: int
+    dead: int = 0
+    begin: int = 0
+    parts: int = 0
+
+
+def stored(docs: DataFrame, begin: int) -> tuple[DataFrame, int]:
+    """Rows of docs (id, text) under numbers from ``begin`` on, and the first number after them."""
+    rows = written(postings(docs.select("id", "text")).withColumn("row", F.monotonically_increasing_id() + F.lit(begin)))
+    return rows, int(rows.agg(F.coalesce(F.max("row") + 1, F.lit(begin))).first()[0])
+
 
+def counted(rows: DataFrame, sign: int) -> DataFrame:
+    """(term, df, length) by which rows change the counts, where the term null stands for documents themselves."""
+    one = F.lit(sign).cast("long")
+    return rows.select(F.col("length").cast("long").alias("length"), F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term")).select("term", one.alias("df"), F.when(F.col("term").isNull(), one * F.col("length")).otherwise(F.lit(0)).alias("length"))
 
-def summed(rows: DataFrame) -> tuple[int, int]:
-    row = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+
+def settled(changes: DataFrame) -> tuple[DataFrame, int, int]:
+    """(term, df) that are left of counts, and the number of documents and their length in all."""
+    sums = written(changes.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).filter(F.col("df") != 0))
+    row = sums.filter(F.col("term").isNull()).first()
+    return sums.filter(F.col("term").isNotNull()).select("term", "df"), int(row["df"]) if row else 0, int(row["length"]) if row else 0
 
 
 def built(docs: DataFrame) -> Index:
     """The index of docs (id, text), ids distinct."""
-    base = cut(postings(docs))
-    df = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(base, base.limit(0), base.select("id").limit(0), cut(df), *summed(base))
+    base, begin = stored(docs, 0)
+    return Index(base, base.limit(0), base.select("row").limit(0), *settled(counted(base, 1)), begin=begin)
+
+
+def at(rows: DataFrame, numbers: DataFrame, n: int, how: str) -> DataFrame:
+    """Rows that are (left_semi) or aren't (left_anti) among the numbers (row); up to ``MOST_GONE`` numbers go to where the rows lie."""
+    own = numbers.select(F.col("row").alias("_r"))
+    return rows.join(F.broadcast(own) if n <= MOST_GONE else own, F.col("row") == F.col("_r"), how)
 
 
 def live(index: Index) -> DataFrame:
-    return index.base.join(index.gone.select(F.col("id").alias("_g")), F.col("id") == F.col("_g"), "left_anti").unionByName(index.delta)
+    rows = index.base.unionByName(index.delta) if index.parts else index.base
+    return at(rows, index.gone, index.dead, "left_anti") if index.dead else rows
 
 
 def changed(index: Index, docs: DataFrame, removed: DataFrame) -> Index:
     """The index after docs (id, text) are put, new or again, and removed (id) go; an id in both is put."""
-    fresh = cut(postings(docs.select("id", "text")))
-    touched = cut(fresh.select("id").unionByName(removed.select("id")).distinct())
-    mark = touched.select(F.col("id").alias("_t"))
-    # Only the rows of touched documents are looked at.
-    lost = cut(live(index).join(mark, F.col("id") == F.col("_t"), "left_semi"))
-    by = lambda rows, n: rows.select(F.explode("terms").alias("term"), F.lit(n).cast("long").alias("df"))
-    df = index.df.unionByName(by(lost, -1)).unionByName(by(fresh, 1)).groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
-    old, new = summed(lost), summed(fresh)
-    gone = index.gone.unionByName(touched).distinct()
-    delta = index.delta.join(mark, F.col("id") == F.col("_t"), "left_anti").unionByName(fresh)
-    return Index(index.base, cut(delta), cut(gone), cut(df), index.n - old[0] + new[0], index.total - old[1] + new[1])
+    fresh, begin = stored(docs, index.begin)
+    touched = fresh.select("id").unionByName(removed.select("id")).distinct().select(F.col("id").alias("_t"))
+    # Ids and numbers alone are looked through for the rows of touched documents.
+    hit = written(live(index).select("id", "row").join(touched, F.col("id") == F.col("_t"), "left_semi").select("row"))
+    n = hit.count()
+    kept = index.df.select("term", "df", F.lit(0).cast("long").alias("length"))
+    whole = index.df.sparkSession.createDataFrame([(None, index.n, index.total)], "term string, df long, length long")
+    counts = settled(kept.unionByName(whole).unionByName(counted(at(live(index), hit, n, "left_semi"), -1)).unionByName(counted(fresh, 1)))
+    after = Index(index.base, index.delta.unionByName(fresh) if index.parts else fresh, written(index.gone.unionByName(hit)), *counts, dead=index.dead + n, begin=begin, parts=index.parts + 1)
+    return replace(after, delta=written(at(after.delta, after.gone, after.dead, "left_anti")), parts=1) if after.parts > MANY else after
 
 
 def compacted(index: Index) -> Index:
     """Base and delta as one base."""
-    base = cut(live(index))
-    return replace(index, base=base, delta=base.limit(0), gone=index.gone.limit(0))
+    base = written(live(index))
+    return replace(index, base=base, delta=base.limit(0), gone=index.gone.limit(0), dead=0, parts=0)
 
 
 def search(index: Index, queries: DataFrame, k1: float = K1, b: float = B, most: int = MOST_TERMS) -> DataFrame:

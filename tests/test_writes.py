@@ -378,6 +378,33 @@ def test_the_index_by_differences_is_the_index_built_anew(spark):
         assert index.n == len(docs)
 
 
+def test_a_change_of_the_index_writes_the_changed_documents_alone(spark, monkeypatch):
+    """Neither the rows that are taken off nor those of earlier changes are written again, until there are many tables of them."""
+    rows, plain = [], keyword_index.written
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count() if "terms" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(keyword_index, "written", counted)
+    monkeypatch.setattr(keyword_index, "MANY", 2)
+    docs = {f"d{i}": f"fig plum{i % 3}" for i in range(20)}
+    index = keyword_index.built(frame(spark, list(docs.items()), "id string, text string"))
+    queries = frame(spark, [("q1", "fig plum1"), ("q2", "new")], "query_id string, text string")
+    wrote = []
+    for turn in range(4):
+        monkeypatch.setattr(keyword_index, "MOST_GONE", 0 if turn == 2 else 100)
+        put = {f"d{turn}": "new fig", "d9": f"plum1 turn{turn}"}
+        docs = {k: v for k, v in docs.items() if k != f"d{turn + 10}"} | put
+        rows.clear()
+        index = keyword_index.changed(index, frame(spark, list(put.items()), "id string, text string"), frame(spark, [(f"d{turn + 10}",)], "id string"))
+        wrote.append(sum(rows))
+        want = search.bm25(frame(spark, list(docs.items()), "id string, text string"), queries)
+        assert sorted(map(tuple, keyword_index.search(index, queries).collect())) == sorted(map(tuple, want.collect()))
+    assert wrote == [2, 2, 2 + 4, 2] and index.n == len(docs) and index.total == sum(len(t.split()) for t in docs.values())
+
+
 def test_index_has_one_row_for_each_document(spark):
     docs = frame(spark, [("a", "fig fig plum"), ("b", None), ("c", "fig")], "id string, text string")
     index = keyword_index.built(docs)
