@@ -322,6 +322,19 @@ def test_ingesting_revises_what_is_known(spark):
     assert {r["document_name"]: r["source_hash"] for r in after.sources.collect()} == {"d": "v1", "f": "v1"} and after.items.count() == 0
 
 
+def test_ingesting_a_family_of_pages_takes_no_round_for_each(spark):
+    """All new pages of a document are as like to all old ones, so that they take them in order."""
+    words = " ".join(f"w{i}" for i in range(30))
+    t = tables(spark, nodes=[(f"o{i:02}", "endogenous", "active", "d", f"{words} old{i:02}", "2020") for i in range(30)], sources=[("d", "v0")])
+    pages = pages_of(spark, [("d", i, f"p{i:02}", f"{words} new{i:02}", "v1") for i in range(34)])
+    spark.sparkContext.setJobGroup("ingest", "")
+    _, actions = changes.ingested(pages, changes.edges_of(frame(spark, [], "a string, b string"), "follows", "", NOW), frame(spark, [], "id string"), t, NOW, 1)
+    got = {(r["id"], r["action"], r["old_id"]) for r in actions.collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(f"p{i:02}", "superseded", f"o{i:02}") for i in range(30)} | {(f"p{i:02}", "new", None) for i in range(30, 34)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ingest")) < 90
+
+
 def test_creating_a_document(spark):
     words = " ".join(f"w{i}" for i in range(30))
     t = tables(spark, nodes=[("was", "endogenous", "active", "d", words, "2020"), ("left", "endogenous", "active", "d", "quite other", "2020"), ("kept", "endogenous", "active", "e", "the same", "2020"), ("n1", "exogenous", "active", None, "note", "2020")], edges=[("e1", "left", "n1", "supports", "2020")])
